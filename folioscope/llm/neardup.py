@@ -100,33 +100,41 @@ def _band_keys(coordinates: np.ndarray, rows: int) -> np.ndarray:
     return key.view(np.int64)
 
 
-def shingle_sets(df: DataFrame, key: str, text: str, width: int, least_words: int) -> DataFrame:
-    """``key``, ``shingles`` (sorted array of bigint) of the documents of at least ``least_words`` words."""
+def _made(df: DataFrame, key: str, text: str, width: int, least_words: int, schema: str, row) -> DataFrame:
+    """``key`` and what ``row`` makes of the shingles of each document that has any."""
+    names = [part.split()[0] for part in schema.split(", ")]
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         import folioscope.llm.neardup as here
 
         s = here.Shingler(width)
         for b in batches:
-            made = [(k, x.view(np.int64)) for k, t in zip(b[key], b[text], strict=True) if t and (x := s.shingles(t, least_words)) is not None]
-            yield pd.DataFrame({key: [k for k, _ in made], "shingles": [x for _, x in made]})
+            made = [(k, *row(x)) for k, t in zip(b[key], b[text], strict=True) if t and (x := s.shingles(t, least_words)) is not None]
+            yield pd.DataFrame(dict(zip([key, *names], zip(*made), strict=True)) if made else {c: [] for c in [key, *names]})
 
-    rows = df.select(F.col(key).cast("long").alias(key), text).filter(F.col(key).isNotNull() & F.col(text).isNotNull())
-    return spread(rows).mapInPandas(run, f"{key} long, shingles array<long>")
+    return df.mapInPandas(run, f"{key} long, {schema}")
 
 
-def _banded(reps: DataFrame, bands: int, rows: int, seed: int) -> DataFrame:
-    """``id``, ``band`` (bigint, the band's number is hashed in) for every band of every representative."""
+def texts(df: DataFrame, key: str, text: str) -> DataFrame:
+    return spread(df.select(F.col(key).cast("long").alias(key), text).filter(F.col(key).isNotNull() & F.col(text).isNotNull()))
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        import folioscope.llm.neardup as here
 
-        for b in batches:
-            keys = [here._band_keys(here.sketch(np.asarray(x, dtype=np.int64).view(np.uint64), bands * rows, seed), rows) for x in b["shingles"]]
-            if keys:
-                yield pd.DataFrame({"id": np.repeat(b["id"].to_numpy(np.int64), bands), "band": np.concatenate(keys)})
+def sketches(df: DataFrame, key: str, text: str, width: int, least_words: int, bands: int, rows: int, seed: int = 0) -> DataFrame:
+    """key, n, h, g, bands: the size of a document's shingle set, 128 bits that stand for it, and a key for each band.
+
+    The shingles themselves are not kept: only candidates need them, and get them from their texts again.
+    """
+
+    def row(x: np.ndarray) -> tuple:
+        h, g = mix(x).sum(dtype=np.uint64), mix(x ^ _M3).sum(dtype=np.uint64)
+        return len(x), int(h.view(np.int64)), int(g.view(np.int64)), _band_keys(sketch(x, bands * rows, seed), rows)
+
+    return _made(df, key, text, width, least_words, "n int, h long, g long, bands array<long>", row)
 
-    return reps.select("id", "shingles").mapInPandas(run, "id long, band long")
+
+def shingle_sets(df: DataFrame, key: str, text: str, width: int, least_words: int) -> DataFrame:
+    """``key``, ``shingles`` (sorted array of bigint) of the documents of at least ``least_words`` words."""
+    return _made(df, key, text, width, least_words, "shingles array<long>", lambda x: (x.view(np.int64),))
 
 
 def similar(a: Column, b: Column, threshold: float) -> Column:
@@ -135,65 +143,61 @@ def similar(a: Column, b: Column, threshold: float) -> Column:
     return both * F.lit(1000) >= F.lit(round(threshold * 1000)) * (F.size(a) + F.size(b) - both)
 
 
-def candidate_pairs(reps: DataFrame, bands: int, rows: int, hot: int = 64, levels: int = 3) -> DataFrame:
-    """Distinct pairs ``a`` < ``b`` of representatives that agree in a band.
+def candidate_pairs(banded: DataFrame, finer, hot: int = 64, levels: int = 3) -> DataFrame:
+    """Distinct pairs ``a`` < ``b`` of the ids in ``banded`` (id, band) that agree in a band.
 
     Buckets of at most ``hot`` members are expanded by a self-join. In larger ones a pair must also agree in a band of another
-    sketch (another seed), and so on for ``levels`` levels, so that no task gets a bucket's pairs at once;
-    what is still hot at the last level is expanded by a join that is salted on one side.
+    sketch, got from ``finer(ids, level)``, and so on for ``levels`` levels, so that no task gets a hot bucket's pairs at
+    once; what is still hot at the last level is expanded by a join that is salted on one side. No bucket is dropped.
     """
-    rows_of = _banded(reps, bands, rows, 0)
-    done = None
+    done, rows_of = None, banded
     for level in range(levels + 1):
-        rows_of = cut(rows_of)
-        size = rows_of.groupBy("band").agg(F.count("*").alias("n")).filter("n > 1")
-        if level == levels:
-            cold, warm = rows_of.join(size.select("band"), "band"), None
-        else:
-            cold = rows_of.join(size.filter(F.col("n") <= hot).select("band"), "band")
-            warm = rows_of.join(size.filter(F.col("n") > hot).select("band"), "band")
-        left = cold.select("band", F.col("id").alias("a"))
-        right = cold.select("band", F.col("id").alias("b"))
-        if level == levels:
+        size = rows_of.groupBy("band").agg(F.count("*").alias("m")).filter("m > 1")
+        # Most buckets hold one member; only the others are kept for what follows.
+        shared = cut(rows_of.join(size, "band"))
+        last = level == levels
+        cold = shared if last else shared.filter(F.col("m") <= hot)
+        left, right = cold.select("band", F.col("id").alias("a")), cold.select("band", F.col("id").alias("b"))
+        if last:
             salts = 16
             left = left.withColumn("_s", F.pmod(F.xxhash64("a"), F.lit(salts)).cast("int"))
             right = right.withColumn("_s", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
-            pairs = left.join(right, ["band", "_s"])
-        else:
-            pairs = left.join(right, "band")
-        pairs = pairs.filter("a < b").select("a", "b").distinct()
+        pairs = left.join(right, ["band", *(["_s"] if last else [])]).filter("a < b").select("a", "b").distinct()
         done = pairs if done is None else done.unionByName(pairs)
-        if warm is None or warm.isEmpty():
+        warm = shared.filter(F.col("m") > hot).select("id", "band")
+        if last or warm.isEmpty():
             break
-        finer = _banded(reps.join(warm.select("id").distinct(), "id"), bands, rows, level + 1).withColumnRenamed("band", "finer")
-        rows_of = warm.join(finer, "id").select("id", F.xxhash64("band", "finer").alias("band"))
+        more = finer(warm.select("id").distinct(), level + 1).withColumnRenamed("band", "finer")
+        rows_of = cut(warm.join(more, "id").select("id", F.xxhash64("band", "finer").alias("band")))
     return done.distinct()
 
 
-def classes(sets: DataFrame, key: str) -> tuple[DataFrame, DataFrame]:
-    """(members: key, id) and (representatives: id, shingles) of the classes of documents with equal shingle sets; id is the smallest key."""
-    # The set's hash and size stand for the set: 128 bits, so that two different sets do not meet by chance.
-    marked = sets.withColumns({"_h": F.xxhash64("shingles"), "_g": F.xxhash64(F.lit(1), F.reverse("shingles"))})
-    first = marked.groupBy("_h", "_g").agg(F.min(key).alias("id"))
-    members = marked.select(key, "_h", "_g").join(first, ["_h", "_g"]).select(key, "id")
-    reps = sets.join(members.filter(F.col(key) == F.col("id")).select(F.col(key)), key).select(F.col(key).alias("id"), "shingles")
-    return members, reps
+def class_pairs(df: DataFrame, key: str, text: str, width: int = 5, threshold: float = 0.8, least_words: int = 1, bands: int = 40, rows: int = 5) -> tuple[DataFrame, DataFrame]:
+    """(members: key, id), (pairs: a, b) of class representatives whose sets reach ``threshold``; a < b.
+
+    A class holds the documents with equal shingle sets; its id is the smallest key.
+    """
+    docs = texts(df, key, text)
+    made = cut(sketches(docs, key, text, width, least_words, bands, rows))
+    first = made.groupBy("h", "g").agg(F.min(key).alias("id"))
+    members = cut(made.select(key, "h", "g", "n").join(first, ["h", "g"]).select(key, "id", "n"))
+    banded = made.join(members.filter(F.col(key) == F.col("id")).select(key), key).select(F.col(key).alias("id"), F.explode("bands").alias("band"))
 
+    def finer(ids: DataFrame, level: int) -> DataFrame:
+        again = docs.join(ids.withColumnRenamed("id", key), key)
+        return sketches(again, key, text, width, least_words, bands, rows, level).select(F.col(key).alias("id"), F.explode("bands").alias("band"))
 
-def class_pairs(df: DataFrame, key: str, text: str, width: int = 5, threshold: float = 0.8, least_words: int = 1, bands: int = 40, rows: int = 5) -> tuple[DataFrame, DataFrame]:
-    """(members: key, id), (pairs: a, b) of class representatives whose sets reach ``threshold``; a < b."""
-    sets = cut(shingle_sets(df, key, text, width, least_words))
-    members, reps = classes(sets, key)
-    members, reps = cut(members), cut(reps)
-    pairs = candidate_pairs(reps, bands, rows)
-    left = reps.select(F.col("id").alias("a"), F.col("shingles").alias("sa"))
-    right = reps.select(F.col("id").alias("b"), F.col("shingles").alias("sb"))
+    pairs = candidate_pairs(banded, finer)
     # Sizes alone rule out many candidates before the sets are compared.
-    n = reps.select("id", F.size("shingles").alias("n"))
+    n = members.filter(F.col(key) == F.col("id")).select("id", "n")
     pairs = pairs.join(n.select(F.col("id").alias("a"), F.col("n").alias("na")), "a").join(n.select(F.col("id").alias("b"), F.col("n").alias("nb")), "b")
-    pairs = pairs.filter(F.least("na", "nb") * 1000 >= F.lit(round(threshold * 1000)) * F.greatest("na", "nb")).select("a", "b")
+    pairs = cut(pairs.filter(F.least("na", "nb") * 1000 >= F.lit(round(threshold * 1000)) * F.greatest("na", "nb")).select("a", "b"))
+    ends = pairs.select(F.explode(F.array("a", "b")).alias(key)).distinct()
+    sets = cut(shingle_sets(docs.join(ends, key), key, text, width, least_words))
+    left = sets.select(F.col(key).alias("a"), F.col("shingles").alias("sa"))
+    right = sets.select(F.col(key).alias("b"), F.col("shingles").alias("sb"))
     checked = pairs.join(left, "a").join(right, "b").filter(similar(F.col("sa"), F.col("sb"), threshold)).select("a", "b")
-    return members, cut(checked)
+    return members.select(key, "id"), cut(checked)
 
 
 #: Parameters of p2_found as TESTDATA.md states them, with bands that find a pair at 0.7 with probability 0.9998.
