@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from folioscope.llm import groups, mixing, neardup, survivors, tokens
+from folioscope.llm import abuse, groups, mixing, neardup, survivors, tokens
 from folioscope.tables import table
 
 
@@ -41,7 +41,19 @@ def p9_shares(spark, d):
     return mixing.shares(mixing.select(mixing.sizes_of(table(spark, d, "documents")), targets), targets)
 
 
-QUERIES = {f.__name__: f for f in (p2_found, p2_groups, p3_found, p7_found, p7_trusted, p8_ids, p9_mix, p9_shares)}
+def p10_found(spark, d):
+    return abuse.found(table(spark, d, "documents"))
+
+
+def p10_scores(spark, d):
+    return abuse.scores(table(spark, d, "documents"))
+
+
+def p10_rates(spark, d):
+    return abuse.rates(table(spark, d, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (p2_found, p2_groups, p3_found, p7_found, p7_trusted, p8_ids, p9_mix, p9_shares, p10_found, p10_scores, p10_rates)}
 
 _GROUPS = """
 WITH RECURSIVE link AS (SELECT DISTINCT entity_id AS e, canonical_id AS c FROM entity_aliases WHERE entity_id IS NOT NULL AND canonical_id IS NOT NULL),
