@@ -2,10 +2,18 @@
 
 from __future__ import annotations
 
-from folioscope.llm import abuse, groups, mixing, neardup, survivors, tokens
+from folioscope.llm import abuse, groups, mixing, neardup, scans, survivors, tokens
 from folioscope.tables import table
 
 
+def p1_found(spark, d):
+    return scans.found(table(spark, d, "documents"))
+
+
+def p1_repaired(spark, d):
+    return scans.repaired(table(spark, d, "documents"))
+
+
 def p2_found(spark, d):
     return neardup.found(table(spark, d, "documents"))
 
@@ -53,7 +61,7 @@ def p10_rates(spark, d):
     return abuse.rates(table(spark, d, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (p2_found, p2_groups, p3_found, p7_found, p7_trusted, p8_ids, p9_mix, p9_shares, p10_found, p10_scores, p10_rates)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_repaired, p2_found, p2_groups, p3_found, p7_found, p7_trusted, p8_ids, p9_mix, p9_shares, p10_found, p10_scores, p10_rates)}
 
 _GROUPS = """
 WITH RECURSIVE link AS (SELECT DISTINCT entity_id AS e, canonical_id AS c FROM entity_aliases WHERE entity_id IS NOT NULL AND canonical_id IS NOT NULL),
