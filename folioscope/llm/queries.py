@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from folioscope.llm import abuse, groups, mail, mixing, neardup, scans, survivors, tokens
+from folioscope.llm import abuse, groups, mail, mixing, names, neardup, scans, survivors, tokens
 from folioscope.tables import table
 
 
@@ -34,6 +34,14 @@ def p4_new_text(spark, d):
     return mail.new_text(table(spark, d, "documents"), table(spark, d, "email_metadata"), table(spark, d, "thread_messages"))
 
 
+def p6_found(spark, d):
+    return names.found(table(spark, d, "entities"), table(spark, d, "canonical_entities"))
+
+
+def p6_linked(spark, d):
+    return names.linked(table(spark, d, "entities"), table(spark, d, "canonical_entities"))
+
+
 def p7_found(spark, d):
     aliases = table(spark, d, "entity_aliases")
     return survivors.canonical_survivors(table(spark, d, "canonical_entities"), aliases, table(spark, d, "entities"), groups.groups(aliases))
@@ -69,7 +77,7 @@ def p10_rates(spark, d):
     return abuse.rates(table(spark, d, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_repaired, p2_found, p2_groups, p3_found, p4_found, p4_new_text, p7_found, p7_trusted, p8_ids, p9_mix, p9_shares, p10_found, p10_scores, p10_rates)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_repaired, p2_found, p2_groups, p3_found, p4_found, p4_new_text, p6_found, p6_linked, p7_found, p7_trusted, p8_ids, p9_mix, p9_shares, p10_found, p10_scores, p10_rates)}
 
 _GROUPS = """
 WITH RECURSIVE link AS (SELECT DISTINCT entity_id AS e, canonical_id AS c FROM entity_aliases WHERE entity_id IS NOT NULL AND canonical_id IS NOT NULL),
