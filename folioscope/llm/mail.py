@@ -385,7 +385,8 @@ def known_closings(mail: DataFrame) -> DataFrame:
 
         for b in batches:
             rows = [(s, x) for t, s in zip(b["full_text"], b["sender"], strict=True) if s for x in {"", *here.closing_lines(t, s)}]
-            yield pd.DataFrame({"sender": [r[0] for r in rows], "line": [r[1] for r in rows]})
+            if rows:
+                yield pd.DataFrame({"sender": [r[0] for r in rows], "line": [r[1] for r in rows]})
 
     counted = mail.select("full_text", "sender").mapInPandas(run, "sender string, line string").groupBy("sender", "line").agg(F.count("*").alias("n"))
     total = counted.filter("line = ''").select("sender", F.col("n").alias("all"))
@@ -423,14 +424,16 @@ def found(documents: DataFrame, email_metadata: DataFrame, thread_messages: Data
                 new = here.subtract(lines, new, patterns)
                 ids += [d] * len(new)
                 nos += [k + 1 for k in new]
-            yield pd.DataFrame({"field": "full_text", "doc_id": ids, "message_index": -1, "line_no": nos})
+            if ids:
+                yield pd.DataFrame({"field": ["full_text"] * len(ids), "doc_id": ids, "message_index": [-1] * len(ids), "line_no": nos})
 
     def of_previews(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         import folioscope.llm.mail as here
 
         for b in batches:
             out = [(d, i, k + 1) for d, i, who, t in zip(b["doc_id"], b["message_index"], b["author"], b["content_preview"], strict=True) for k in here.preview_lines(t, who)]
-            yield pd.DataFrame({"field": "content_preview", "doc_id": [r[0] for r in out], "message_index": [r[1] for r in out], "line_no": [r[2] for r in out]})
+            if out:
+                yield pd.DataFrame({"field": ["content_preview"] * len(out), "doc_id": [r[0] for r in out], "message_index": [r[1] for r in out], "line_no": [r[2] for r in out]})
 
     schema = "field string, doc_id long, message_index long, line_no long"
     return rows.mapInPandas(of_mails, schema).unionByName(spread(previews).mapInPandas(of_previews, schema)).distinct()

@@ -2,7 +2,7 @@
 
 Each name is read into parts: title, given name or initials, middle initial and surname; or the root and the kind of an organisation.
 Surnames and roots are compared by suffix blocking: every distinct one is indexed under its suffixes of ``LEAST_SUFFIX`` letters
-or more, of the word and of its mirror image (typing errors near the end spare the beginning). Short suffixes, which are common, are refined
+(fewer in words of under nine) or more, of the word and of its mirror image (typing errors near the end spare the beginning). Short suffixes, which are common, are refined
 with other letters and with the initials of the names that they come with; none is dropped. Pairs within a block are compared by the ratio
 of their longest common subsequence.
 
@@ -195,7 +195,8 @@ def _parse(rows: DataFrame, known: dict[str, str]) -> DataFrame:
                     made = (root, "", formal, ini, mid, form)
                 if root:
                     out.append((kind, i, type_, *made))
-            yield pd.DataFrame(out, columns=["kind", "id", "type", "root", "cls", "given", "ini", "mid", "form"])
+            if out:
+                yield pd.DataFrame(out, columns=["kind", "id", "type", "root", "cls", "given", "ini", "mid", "form"])
 
     return rows.mapInPandas(run, "kind string, id long, type string, root string, cls string, given array<string>, ini string, mid string, form string")
 
@@ -227,7 +228,8 @@ def near_roots(roots: DataFrame) -> DataFrame:
             out = []
             for type_, cls, root, ini in zip(b["type"], b["cls"], b["root"], b["ini"], strict=True):
                 out += [(type_, cls, root, key) for key in here.block_keys(root, ini)]
-            yield pd.DataFrame(out, columns=["type", "cls", "root", "key"])
+            if out:
+                yield pd.DataFrame(out, columns=["type", "cls", "root", "key"])
 
     initials = F.when(F.size("given") > 0, F.transform("given", lambda g: F.substring(g, 1, 1))).otherwise(F.array("ini"))
     keyed = roots.select("type", "cls", "root", F.explode(initials).alias("ini")).distinct().mapInPandas(blocks, "type string, cls string, root string, key string").distinct()
@@ -250,11 +252,11 @@ def block_keys(root: str, ini: str) -> set[str]:
     """Suffixes of a word and of its mirror image; those shorter than six letters come with what else an error there would spare."""
     n, out = len(root), set()
     for mark, w in (("<", root), (">", root[::-1])):
-        for size in range(LEAST_SUFFIX, n + 1):
+        for size in range(min(LEAST_SUFFIX, max(2, (n - 1) // 2)), n + 1):
             tail = w[n - size :]
             if size >= 6 or size >= n - 1:
                 out.add(mark + tail)
-            else:
+            if size < 6:
                 # An error in the middle spares the first letter of the word and of the given name.
                 out.add(f"{mark}{tail}/{w[0]}/{ini}")
     return out

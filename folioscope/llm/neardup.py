@@ -8,8 +8,8 @@ Coordinates are banded; documents that agree in a whole band are candidates, and
 exactly on the shingles.
 
 Copies with equal shingle sets are one class and take part through one representative. A bucket of a band that
-holds more than ``hot`` representatives is not expanded to all pairs: its members are split by further bands of
-coordinates from a second sketch, level by level, each level again finding pairs at the threshold with the same recall.
+holds more than ``hot`` representatives is spread over salts, and its pairs leave the join only if their sizes and a bit of
+each coordinate leave it open that they reach the threshold.
 """
 
 from __future__ import annotations
@@ -110,7 +110,8 @@ def _made(df: DataFrame, key: str, text: str, width: int, least_words: int, sche
         s = here.Shingler(width)
         for b in batches:
             made = [(k, *row(x)) for k, t in zip(b[key], b[text], strict=True) if t and (x := s.shingles(t, least_words)) is not None]
-            yield pd.DataFrame(dict(zip([key, *names], zip(*made), strict=True)) if made else {c: [] for c in [key, *names]})
+            if made:
+                yield pd.DataFrame(dict(zip([key, *names], zip(*made), strict=True)))
 
     return df.mapInPandas(run, f"{key} long, {schema}")
 
@@ -119,17 +120,24 @@ def texts(df: DataFrame, key: str, text: str) -> DataFrame:
     return spread(df.select(F.col(key).cast("long").alias(key), text).filter(F.col(key).isNotNull() & F.col(text).isNotNull()))
 
 
-def sketches(df: DataFrame, key: str, text: str, width: int, least_words: int, bands: int, rows: int, seed: int = 0) -> DataFrame:
-    """key, n, h, g, bands: the size of a document's shingle set, 128 bits that stand for it, and a key for each band.
+def sketches(df: DataFrame, key: str, text: str, width: int, least_words: int, bands: int, rows: int) -> DataFrame:
+    """key, n, h, g, bits, bands: the size of a document's shingle set, 128 bits that stand for it, a bit of each coordinate, and a key for each band.
 
     The shingles themselves are not kept: only candidates need them, and get them from their texts again.
     """
 
     def row(x: np.ndarray) -> tuple:
         h, g = mix(x).sum(dtype=np.uint64), mix(x ^ _M3).sum(dtype=np.uint64)
-        return len(x), int(h.view(np.int64)), int(g.view(np.int64)), _band_keys(sketch(x, bands * rows, seed), rows)
+        s = sketch(x, bands * rows)
+        return len(x), int(h.view(np.int64)), int(g.view(np.int64)), coordinate_bits(s), _band_keys(s, rows)
 
-    return _made(df, key, text, width, least_words, "n int, h long, g long, bands array<long>", row)
+    return _made(df, key, text, width, least_words, "n int, h long, g long, bits array<long>, bands array<long>", row)
+
+
+def coordinate_bits(coordinates: np.ndarray) -> np.ndarray:
+    """One bit of each coordinate, packed: two sets agree in a bit with probability (1 + similarity) / 2."""
+    bits = (mix(coordinates) & np.uint64(1)).astype(np.uint8)
+    return np.packbits(np.pad(bits, (0, -len(bits) % 64))).view(np.uint64).view(np.int64)
 
 
 def shingle_sets(df: DataFrame, key: str, text: str, width: int, least_words: int) -> DataFrame:
@@ -143,33 +151,39 @@ def similar(a: Column, b: Column, threshold: float) -> Column:
     return both * F.lit(1000) >= F.lit(round(threshold * 1000)) * (F.size(a) + F.size(b) - both)
 
 
-def candidate_pairs(banded: DataFrame, finer, hot: int = 64, levels: int = 3) -> DataFrame:
-    """Distinct pairs ``a`` < ``b`` of the ids in ``banded`` (id, band) that agree in a band.
+def may_be_similar(a: Column, b: Column, words: int, coordinates: int, threshold: float) -> Column:
+    """Whether the bits of two sketches leave it open that the sets reach ``threshold``: within six standard deviations of what they would show."""
+    agree = (1 + threshold) / 2
+    most = int(coordinates * (1 - agree) + 6 * (coordinates * agree * (1 - agree)) ** 0.5)
+    differ = sum((F.bit_count(a[k].bitwiseXOR(b[k])) for k in range(words)), F.lit(0))
+    return differ <= most
+
+
+def candidate_pairs(banded: DataFrame, marks: DataFrame, fits, hot: int = 64, salts: int = 16) -> DataFrame:
+    """Distinct pairs ``a`` < ``b`` of the ids in ``banded`` (id, band) that agree in a band and whose ``marks`` fit.
 
-    Buckets of at most ``hot`` members are expanded by a self-join. In larger ones a pair must also agree in a band of another
-    sketch, got from ``finer(ids, level)``, and so on for ``levels`` levels, so that no task gets a hot bucket's pairs at
-    once; what is still hot at the last level is expanded by a join that is salted on one side. No bucket is dropped.
+    Buckets of at most ``hot`` members are expanded by a self-join. Members of larger ones are compared too, as each of their
+    pairs may be similar, but in blocks: one side is spread over ``salts``, and a pair leaves the join only if
+    the marks (size and sketch bits) of both leave it open that it reaches the threshold. No bucket is dropped or cut.
     """
-    done, rows_of = None, banded
-    for level in range(levels + 1):
-        size = rows_of.groupBy("band").agg(F.count("*").alias("m")).filter("m > 1")
-        # Most buckets hold one member; only the others are kept for what follows.
-        shared = cut(rows_of.join(size, "band"))
-        last = level == levels
-        cold = shared if last else shared.filter(F.col("m") <= hot)
-        left, right = cold.select("band", F.col("id").alias("a")), cold.select("band", F.col("id").alias("b"))
-        if last:
-            salts = 16
-            left = left.withColumn("_s", F.pmod(F.xxhash64("a"), F.lit(salts)).cast("int"))
-            right = right.withColumn("_s", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
-        pairs = left.join(right, ["band", *(["_s"] if last else [])]).filter("a < b").select("a", "b").distinct()
-        done = pairs if done is None else done.unionByName(pairs)
-        warm = shared.filter(F.col("m") > hot).select("id", "band")
-        if last or warm.isEmpty():
-            break
-        more = finer(warm.select("id").distinct(), level + 1).withColumnRenamed("band", "finer")
-        rows_of = cut(warm.join(more, "id").select("id", F.xxhash64("band", "finer").alias("band")))
-    return done.distinct()
+    size = banded.groupBy("band").agg(F.count("*").alias("m")).filter("m > 1")
+    # Most buckets hold one member; only the others are kept for what follows.
+    shared = cut(banded.join(size, "band"))
+
+    def side(df: DataFrame, name: str) -> DataFrame:
+        return df.select(*[F.col(c).alias(name if c == "id" else c if c == "band" else f"{c}_{name}") for c in df.columns])
+
+    cold = shared.filter(F.col("m") <= hot)
+    pairs = side(cold.select("band", "id"), "a").join(side(cold.select("band", "id"), "b"), "band").filter("a < b").select("a", "b").distinct()
+    done = pairs.join(side(marks, "a"), "a").join(side(marks, "b"), "b").filter(fits).select("a", "b")
+    warm = shared.filter(F.col("m") > hot).select("band", "id")
+    if warm.isEmpty():
+        return done
+    marked = cut(warm.join(marks, "id"))
+    left = side(marked, "a").withColumn("_s", F.pmod(F.xxhash64("a"), F.lit(salts)).cast("int"))
+    right = side(marked, "b").withColumn("_s", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+    hot_pairs = left.join(right, ["band", "_s"]).filter("a < b").filter(fits).select("a", "b")
+    return done.unionByName(hot_pairs).distinct()
 
 
 def class_pairs(df: DataFrame, key: str, text: str, width: int = 5, threshold: float = 0.8, least_words: int = 1, bands: int = 40, rows: int = 5) -> tuple[DataFrame, DataFrame]:
@@ -181,17 +195,13 @@ def class_pairs(df: DataFrame, key: str, text: str, width: int = 5, threshold: f
     made = cut(sketches(docs, key, text, width, least_words, bands, rows))
     first = made.groupBy("h", "g").agg(F.min(key).alias("id"))
     members = cut(made.select(key, "h", "g", "n").join(first, ["h", "g"]).select(key, "id", "n"))
-    banded = made.join(members.filter(F.col(key) == F.col("id")).select(key), key).select(F.col(key).alias("id"), F.explode("bands").alias("band"))
-
-    def finer(ids: DataFrame, level: int) -> DataFrame:
-        again = docs.join(ids.withColumnRenamed("id", key), key)
-        return sketches(again, key, text, width, least_words, bands, rows, level).select(F.col(key).alias("id"), F.explode("bands").alias("band"))
-
-    pairs = candidate_pairs(banded, finer)
-    # Sizes alone rule out many candidates before the sets are compared.
-    n = members.filter(F.col(key) == F.col("id")).select("id", "n")
-    pairs = pairs.join(n.select(F.col("id").alias("a"), F.col("n").alias("na")), "a").join(n.select(F.col("id").alias("b"), F.col("n").alias("nb")), "b")
-    pairs = cut(pairs.filter(F.least("na", "nb") * 1000 >= F.lit(round(threshold * 1000)) * F.greatest("na", "nb")).select("a", "b"))
+    own = made.join(members.filter(F.col(key) == F.col("id")).select(key), key)
+    banded = own.select(F.col(key).alias("id"), F.explode("bands").alias("band"))
+    marks = own.select(F.col(key).alias("id"), "n", "bits")
+    # Sizes and sketch bits alone rule out most candidates before the sets are compared.
+    whole = F.lit(round(threshold * 1000))
+    fits = (F.least("n_a", "n_b") * 1000 >= whole * F.greatest("n_a", "n_b")) & may_be_similar(F.col("bits_a"), F.col("bits_b"), -(-bands * rows // 64), bands * rows, threshold)
+    pairs = cut(candidate_pairs(banded, marks, fits))
     ends = pairs.select(F.explode(F.array("a", "b")).alias(key)).distinct()
     sets = cut(shingle_sets(docs.join(ends, key), key, text, width, least_words))
     left = sets.select(F.col(key).alias("a"), F.col("shingles").alias("sa"))
