@@ -79,7 +79,8 @@ def hybrid(docs: DataFrame, key: str, text: str, scorer: Scorer | None = None, k
             out = []
             for k, d, c, g in zip(b[key], b["doc_type"], b["confidence"], got, strict=True):
                 out.append((k, g[0], float(g[1]), "llm", g[2]) if g and g[1] >= accept else (k, d, c, "regex", None))
-            yield pd.DataFrame(out, columns=[key, "doc_type", "confidence", "method", "reasoning"])
+            if out:
+                yield pd.DataFrame(out, columns=[key, "doc_type", "confidence", "method", "reasoning"])
 
     asked = ruled.filter(~sure).select(key, text, "doc_type", "confidence").mapInPandas(run, f"{key} {kind}, doc_type string, confidence double, method string, reasoning string")
     return ruled.filter(sure).drop(text).unionByName(asked)

@@ -107,7 +107,8 @@ def mentions(docs: DataFrame, key: str, text: str, strict: bool = True) -> DataF
 
         for b in batches:
             rows = [(k, *m) for k, t in zip(b[key], b[text], strict=True) if t for m in here.found_in(t, strict)]
-            yield pd.DataFrame(rows, columns=[key, "type", "ordinal", "text", "position_start", "position_end", "context"])
+            if rows:
+                yield pd.DataFrame(rows, columns=[key, "type", "ordinal", "text", "position_start", "position_end", "context"])
 
     raw = spread(docs.select(key, text)).mapInPandas(run, f"{key} {kind}, {MENTION}")
     fits = F.when(F.col("type") == "person", likely_person(F.col("text"))).when(F.col("type") == "organization", F.char_length("text") > 3).otherwise(True)
