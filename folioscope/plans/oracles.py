@@ -85,7 +85,9 @@ SQL = {
     "scn_emails": _SCORES + " SELECT filepath, round(best, 9) AS confidence FROM k WHERE kind = 'email' AND best >= 0.6",
     "cls_types": _CLS + " SELECT doc_id, found_type, round(CASE found_type WHEN 'email' THEN 0.95 WHEN 'legal' THEN least(legal, 0.95::DOUBLE) WHEN 'news' THEN 0.85 WHEN 'congressional' THEN 0.9 WHEN 'narrative' THEN 0.7 ELSE 0.5 END::DOUBLE, 9) AS confidence, CASE found_type WHEN 'legal' THEN sub WHEN 'news' THEN 'article' END AS subtype FROM f",
     "cls_histogram": _CLS + " SELECT found_type, count(*) AS n, round(count(*) * 100.0::DOUBLE / sum(count(*)) OVER (), 4) AS percentage FROM f GROUP BY found_type",
-    "ent_dates": r"SELECT DISTINCT doc_id, text FROM (SELECT doc_id, unnest(regexp_extract_all(full_text, '\b\d{1,2}/\d{1,2}/\d{2,4}\b')) AS text FROM documents)",
+    "ent_dates": r"SELECT DISTINCT doc_id, text FROM (SELECT doc_id, unnest(list_concat(regexp_extract_all(full_text, '\b\d{1,2}/\d{1,2}/\d{2,4}\b'), regexp_extract_all(full_text, '\b\d{4}-\d{2}-\d{2}\b'), regexp_extract_all(full_text, '(?i)\b(?:January|February|March|April|May|June|July|August|September|October|November|December)\s+\d{1,2},?\s+\d{4}\b'), regexp_extract_all(full_text, '(?i)\b(?:Jan|Feb|Mar|Apr|May|Jun|Jul|Aug|Sep|Oct|Nov|Dec)\.?\s+\d{1,2},?\s+\d{4}\b'))) AS text FROM documents)",
+    "ent_locations": r"SELECT DISTINCT doc_id, regexp_replace(text, '^\s+|\s+$', '', 'g') AS text FROM (SELECT doc_id, unnest(list_concat(regexp_extract_all(full_text, '\b[A-Z][a-z]+(?:\s+[A-Z][a-z]+)*,\s*[A-Z]{2}(?:\s|$)'), regexp_extract_all(full_text, '\b\d+\s+[A-Z][a-z]+(?:\s+[A-Z][a-z]+)*\s+(?:Street|St\.|Avenue|Ave\.|Road|Rd\.|Boulevard|Blvd\.|Way|Drive|Dr\.|Lane|Ln\.)\b'))) AS text FROM documents)",
+    "ent_organizations": r"SELECT DISTINCT doc_id, text FROM (SELECT doc_id, regexp_replace(unnest(list_concat(regexp_extract_all(full_text, '\b[A-Z][A-Za-z\s&]{2,40}(?:Inc\.|LLC|Corp\.|Corporation|Company|Co\.)\b'), regexp_extract_all(full_text, '\b[A-Z][A-Za-z\s]{2,30}(?:University|College|Institute|Foundation)\b'), regexp_extract_all(full_text, '\b[A-Z][A-Za-z\s]{2,30}(?:Department|Agency|Commission|Bureau)\b'), regexp_extract_all(full_text, '\b[A-Z][A-Za-z\s]{2,30}(?:Bank|Group|Partners|Associates)\b'))), '^\s+|\s+$', '', 'g') AS text FROM documents) WHERE length(text) > 3",
     "ent_normalised": r"SELECT entity_id, CASE WHEN type IN ('person', 'organization') THEN replace(replace(n, '.', ''), ',', '') ELSE n END AS normal FROM (SELECT *, lower(regexp_replace(regexp_replace(text, '\s+', ' ', 'g'), '^ | $', '', 'g')) AS n FROM entities)",
     "ent_contexts": "SELECT DISTINCT mention_id, substring(full_text, greatest(position_start - 50, 0) + 1, least(position_end + 50, length(full_text)) - greatest(position_start - 50, 0)) AS around FROM document_entities JOIN documents USING (doc_id) WHERE position_start IS NOT NULL",
     "ent_merged": "SELECT doc_id, type, lower(trim(text)) AS name, max(confidence) AS confidence FROM document_entities JOIN entities USING (entity_id) GROUP BY ALL",
@@ -138,7 +140,7 @@ SQL = {
     "rel_one_context": "SELECT entity_id, min_by(context, mention_id) AS context FROM document_entities WHERE context IS NOT NULL GROUP BY entity_id",
     "rel_latest": "WITH " + _MAILS + " SELECT doc_id, from_addr, subject, date FROM mails",
     "rel_token_sets": "WITH t AS (SELECT entity_id, list_distinct(" + _TOKENS.format("text") + ") AS a, list_distinct(" + _TOKENS.format("normalized_text") + ") AS b FROM entities WHERE type = 'organization') SELECT entity_id, len(list_intersect(a, b)) AS shared, len(list_distinct(list_concat(a, b))) AS either FROM t",
-    "snk_upsert": "WITH o AS (SELECT canonical_id, min(total_mentions) AS total_mentions FROM canonical_entities GROUP BY 1), n AS (SELECT canonical_id, max(total_mentions) + 1000 AS total_mentions FROM canonical_entities WHERE canonical_id % 3 = 0 AND total_mentions IS NOT NULL GROUP BY 1) SELECT o.canonical_id, coalesce(n.total_mentions, o.total_mentions) AS total_mentions FROM o LEFT JOIN n USING (canonical_id)",
+    "snk_upsert": "WITH o AS (SELECT canonical_id, min(total_mentions) AS total_mentions FROM canonical_entities GROUP BY 1), n AS (SELECT canonical_id, max(total_mentions) + 1000 AS total_mentions FROM canonical_entities WHERE entity_type = 'person' AND total_mentions IS NOT NULL GROUP BY 1) SELECT o.canonical_id, coalesce(n.total_mentions, o.total_mentions) AS total_mentions FROM o LEFT JOIN n USING (canonical_id)",
     "snk_ignore": "SELECT entity_id, count(*) AS documents FROM (SELECT DISTINCT doc_id, entity_id FROM document_entities) GROUP BY entity_id",
     "snk_load": "WITH f AS (SELECT filepath, max(full_text) AS t FROM documents WHERE full_text <> '' GROUP BY 1), c AS (SELECT DISTINCT filepath FROM documents) SELECT count(*) FILTER (c.filepath IS NOT NULL AND c.filepath <> '' AND t IS NOT NULL) AS loaded, count(*) FILTER (c.filepath IS NULL OR c.filepath = '') AS skipped, count(*) FILTER (c.filepath <> '' AND t IS NULL) AS error FROM c LEFT JOIN f USING (filepath)",
     "pip_assembled": "WITH " + _MAILS + ", m AS (SELECT doc_id, type, text, max(confidence) AS c FROM document_entities JOIN entities USING (entity_id) GROUP BY ALL), r AS (SELECT *, row_number() OVER (PARTITION BY doc_id, type ORDER BY c DESC, text) AS p FROM m), l AS (SELECT doc_id, string_agg(text, '|' ORDER BY p) FILTER (type = 'person' AND p <= 20) AS people, string_agg(text, '|' ORDER BY p) FILTER (type = 'organization' AND p <= 10) AS organizations, string_agg(text, '|' ORDER BY p) FILTER (type = 'location' AND p <= 10) AS locations FROM r GROUP BY 1), n AS (SELECT doc_id, count(*) AS mentions FROM m GROUP BY 1) SELECT d.doc_id, d.doc_type, coalesce(people, '') AS people, coalesce(organizations, '') AS organizations, coalesce(locations, '') AS locations, coalesce(mentions, 0) AS mentions, subject FROM documents d LEFT JOIN l USING (doc_id) LEFT JOIN n USING (doc_id) LEFT JOIN mails USING (doc_id)",

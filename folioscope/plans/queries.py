@@ -152,14 +152,17 @@ def ent_mentions(spark, d):
 
 @query
 def ent_dates(spark, d):
-    m = entities.mentions(docs(spark, d), "doc_id", "full_text").filter("type = 'date'")
-    return m.filter(F.col("text").rlike(r"^\d{1,2}/\d{1,2}/\d{2,4}$")).select("doc_id", "text").distinct()
+    return entities.mentions(docs(spark, d), "doc_id", "full_text").filter("type = 'date'").select("doc_id", "text")
 
 
 @query
 def ent_locations(spark, d):
-    m = entities.mentions(docs(spark, d), "doc_id", "full_text").filter("type = 'location'")
-    return m.filter(F.col("text").rlike(r",\s*[A-Z]{2}$")).select("doc_id", "text")
+    return entities.mentions(docs(spark, d), "doc_id", "full_text").filter("type = 'location'").select("doc_id", "text")
+
+
+@query
+def ent_organizations(spark, d):
+    return entities.mentions(docs(spark, d), "doc_id", "full_text").filter("type = 'organization'").select("doc_id", "text")
 
 
 @query
@@ -578,7 +581,7 @@ def rel_token_sets(spark, d):
 def snk_upsert(spark, d):
     c = table(spark, d, "canonical_entities")
     old = c.groupBy("canonical_id").agg(F.min("total_mentions").alias("total_mentions"))
-    new = c.filter("canonical_id % 3 = 0 and total_mentions is not null").select("canonical_id", (F.col("total_mentions") + 1000).alias("total_mentions")).distinct()
+    new = c.filter("entity_type = 'person' and total_mentions is not null").select("canonical_id", (F.col("total_mentions") + 1000).alias("total_mentions")).distinct()
     return sinks.upsert(old, new, ["canonical_id"], "total_mentions")
 
 

@@ -75,3 +75,29 @@ def test_api(spark):
     assert s[("total", None)] == 3 and s[("type", "email")] == 2 and s[("entity", "A")] == 3
     mails = spark.createDataFrame([(1, "s", "x", None), (2, "s", "x", "[]"), (3, "s", "x", '["bad"]')], "doc_id int, subject string, from_addr string, parsing_issues string")
     assert [r.doc_id for r in api.dead_letters(mails, d).collect()] == [3]
+
+
+def test_commands(spark, tmp_path):
+    from folioscope.plans import commands
+    from folioscope.sources import corpus
+
+    (tmp_path / "a.txt").write_text("From: Ann Example <a@x.org>\nTo: b@x.org\nSubject: x\nSent: 1/2/2015\n\nAnn Example met Bob Sample.\n")
+    (tmp_path / "b.txt").write_text("Bob Sample wrote to Bob Samplee on 1/2/2015.\n")
+    classified, report = commands.run_survey(spark, str(tmp_path), {"Ann": r"\bAnn\b"})
+    assert report.collect()[0].total_documents == 2
+    docs, named, counts = commands.load(classified, corpus.read_corpus(spark, str(tmp_path)))
+    assert counts.collect()[0].loaded == 2 and named.collect()[0].entity_name == "Ann"
+    tables = commands.extract(docs)
+    c = commands.extraction_counters(tables, docs).collect()[0]
+    assert (c.documents, c.emails) == (2, 1) and c.entities == 4 and c.mentions == 6
+    again = commands.extract(docs)
+    assert sorted(map(tuple, again["entities"].collect())) == sorted(map(tuple, tables["entities"].collect()))
+    canon, aliases = canonical.initialise(tables["entities"])
+    pairs = commands.find_duplicates(tables["entities"], "person", 1)
+    assert pairs.count() == 1
+    merged, left, log = commands.auto_merge(pairs, aliases, canon, tables["entities"], 0.8)
+    assert log.collect()[0].status == "merged" and left.count() == canon.count() - 1
+    assert left.agg(F.sum("total_mentions")).collect()[0][0] == canon.agg(F.sum("total_mentions")).collect()[0][0]
+    after, verdicts = commands.review(pairs, tables["document_entities"].withColumn("mention_id", F.lit(1)), aliases, lambda *x: (True, ""), 0.7, 1.0)
+    assert verdicts.count() == 1 and after.filter("not is_canonical").count() == 1
+    assert commands.auto_merge(pairs, aliases, canon, tables["entities"], 0.8, dry_run=True)[0] is aliases
