@@ -16,6 +16,7 @@ HEAD, ATTORNEY_HEAD, BODY_LINES = 3000, 5000, 1000
 CASE = r"(?i)Case\s+(\d+:\d+-[a-z]+-\d+)"
 FILED = r"(?i)Document\s+(\d+)\s+Filed\s+(\d+/\d+/\d+)"
 COURT = r"(?i)(UNITED\s+STATES\s+(?:DISTRICT\s+COURT|COURT\s+OF\s+APPEALS))\s+([A-Z\s]+(?:DISTRICT|CIRCUIT))"
+VERSUS = r"(?i)(?:Plaintiff|Petitioner)s?,?\s+v\.?\s"
 PARTIES = r"(?is)([A-Za-z][A-Za-z\s,.]+?),?\s+(?:et\s+al\.?)?,?\s+(?:Plaintiff|Petitioner)s?,?\s+v\.?\s+([A-Za-z][A-Za-z\s,.]+?),?\s+(?:et\s+al\.?)?,?\s+(?:Defendant|Respondent)s?"
 TYPES = (("motion", r"MOTION\s+(?:TO|FOR)"), ("memorandum", r"MEMORANDUM\s+(?:OF\s+LAW|IN\s+SUPPORT)"), ("deposition", r"DEPOSITION|EXAMINATION\s+OF"), ("order", r"ORDER(?:\s+AND|\s+GRANTING|\s+DENYING)"), ("complaint", "COMPLAINT"), ("answer", r"ANSWER\s+TO"), ("brief", r"BRIEF\s+IN\s+SUPPORT"))
 SECTION = re.compile(r"Attorneys?\s+for\s+(?:Plaintiff|Defendant)s?:?\s*\n(.+?)(?:\n\n|\Z)", re.I | re.S)
@@ -77,8 +78,9 @@ def parse(docs: DataFrame, key: str, text: str) -> DataFrame:
         filing_date(_found(head, FILED, 2)).alias("filing_date"),
         trimmed(_found(head, COURT, 1)).alias("court"),
         trimmed(_found(head, COURT, 2)).alias("district"),
-        F.when(head.rlike(PARTIES), parties(F.regexp_extract(head, PARTIES, 1))).otherwise(F.array().cast("array<string>")).alias("plaintiffs"),
-        F.when(head.rlike(PARTIES), parties(F.regexp_extract(head, PARTIES, 2))).otherwise(F.array().cast("array<string>")).alias("defendants"),
+        # The pattern of both parties backtracks; it runs only where what must stand between them is there.
+        F.when(head.rlike(VERSUS), parties(F.regexp_extract(head, PARTIES, 1))).otherwise(F.array().cast("array<string>")).alias("plaintiffs"),
+        F.when(head.rlike(VERSUS), parties(F.regexp_extract(head, PARTIES, 2))).otherwise(F.array().cast("array<string>")).alias("defendants"),
         kind.alias("document_type"),
         trimmed(_found(head, r"(?md)^([A-Z][A-Z\s]{10,100})$", 1)).alias("title"),
         body(content).alias("body"),

@@ -9,7 +9,7 @@ from folioscope.functions import urls as url_functions
 from folioscope.operators import canonical, classify, emails, entities, legal, news, resolve, search, survey, timestamps
 from folioscope.plans import api
 from folioscope.plans.oracles import SQL
-from folioscope.session import cut
+from folioscope.session import cut, spread
 from folioscope.sources import sinks
 from folioscope.streaming import manifest
 from folioscope.tables import latest, table
@@ -31,6 +31,11 @@ def docs(spark, d):
     return table(spark, d, "documents")
 
 
+def texts(spark, d):
+    """The documents for work on whole texts, spread over the cores where the scan has fewer partitions."""
+    return spread(docs(spark, d))
+
+
 def named(spark, d):
     """doc_id, entity_name of stored mentions."""
     return table(spark, d, "document_entities").select("doc_id", "entity_id").distinct().join(table(spark, d, "entities").select("entity_id", F.col("text").alias("entity_name")), "entity_id").select("doc_id", "entity_name").distinct()
@@ -69,7 +74,7 @@ def scn_doc_id(spark, d):
 
 @query
 def scn_scores(spark, d):
-    return survey.scored(docs(spark, d)).select("doc_id", *[F.round(c, 9).alias(c) for c in ("mail_score", "narrative_score", "html_score")], "document_type", F.round("score", 9).alias("score"))
+    return survey.scored(texts(spark, d)).select("doc_id", *[F.round(c, 9).alias(c) for c in ("mail_score", "narrative_score", "html_score")], "document_type", F.round("score", 9).alias("score"))
 
 
 @query
@@ -84,38 +89,38 @@ def scn_sample_lines(spark, d):
 
 @query
 def scn_issues(spark, d):
-    return docs(spark, d).select("doc_id", F.explode(survey.issues(F.col("full_text"), lines(F.col("full_text")))).alias("issue"))
+    return texts(spark, d).select("doc_id", F.explode(survey.issues(F.col("full_text"), lines(F.col("full_text")))).alias("issue"))
 
 
 @query
 def scn_classify(spark, d):
-    c = survey.classify(docs(spark, d), SEEDS)
+    c = survey.classify(texts(spark, d), SEEDS)
     return c.select("filepath", "file_size", "line_count", "document_type", F.round("confidence", 9).alias("confidence"), F.size("entity_mentions").alias("seeds"), F.size("issues").alias("issues"))
 
 
 @query
 def scn_types(spark, d):
-    return survey.type_report(survey.classify(docs(spark, d), SEEDS))
+    return survey.type_report(survey.classify(texts(spark, d), SEEDS))
 
 
 @query
 def scn_totals(spark, d):
-    return survey.totals(survey.classify(docs(spark, d), SEEDS))
+    return survey.totals(survey.classify(texts(spark, d), SEEDS))
 
 
 @query
 def scn_mentions(spark, d):
-    return survey.mention_counts(survey.classify(docs(spark, d), SEEDS))
+    return survey.mention_counts(survey.classify(texts(spark, d), SEEDS))
 
 
 @query
 def scn_emails(spark, d):
-    return survey.emails(survey.classify(docs(spark, d), SEEDS), 0.6).select("filepath", F.round("confidence", 9).alias("confidence"))
+    return survey.emails(survey.classify(texts(spark, d), SEEDS), 0.6).select("filepath", F.round("confidence", 9).alias("confidence"))
 
 
 @query
 def scn_report(spark, d):
-    return survey.report(survey.classify(docs(spark, d), SEEDS)).select(F.to_json(F.struct("*")).alias("report"))
+    return survey.report(survey.classify(texts(spark, d), SEEDS)).select(F.to_json(F.struct("*")).alias("report"))
 
 
 # ---------------------------------------------------------------- structural classifier
@@ -123,12 +128,12 @@ def scn_report(spark, d):
 
 @query
 def cls_types(spark, d):
-    return docs(spark, d).select("doc_id", classify.document_type(F.col("full_text")).alias("t")).select("doc_id", F.col("t.doc_type").alias("found_type"), F.round("t.confidence", 9).alias("confidence"), "t.subtype")
+    return texts(spark, d).select("doc_id", classify.document_type(F.col("full_text")).alias("t")).select("doc_id", F.col("t.doc_type").alias("found_type"), F.round("t.confidence", 9).alias("confidence"), "t.subtype")
 
 
 @query
 def cls_histogram(spark, d):
-    typed = docs(spark, d).select(classify.document_type(F.col("full_text"))["doc_type"].alias("found_type"))
+    typed = texts(spark, d).select(classify.document_type(F.col("full_text"))["doc_type"].alias("found_type"))
     return classify.histogram(typed, "found_type")
 
 
@@ -139,7 +144,7 @@ def cls_hybrid(spark, d):
     def scorer(texts):
         return [("memoir", 0.8, "first person") if " I " in t or "Memoir" in t else ("other", 0.4, "") for t in texts]
 
-    return classify.hybrid(docs(spark, d), "doc_id", "full_text", scorer)
+    return classify.hybrid(texts(spark, d), "doc_id", "full_text", scorer)
 
 
 # ---------------------------------------------------------------- entities
@@ -282,12 +287,12 @@ def eml_skips(spark, d):
 
 @query
 def leg_fields(spark, d):
-    return legal.parse(docs(spark, d), "doc_id", "full_text").drop("body")
+    return legal.parse(texts(spark, d), "doc_id", "full_text").drop("body")
 
 
 @query
 def leg_body(spark, d):
-    return legal.parse(docs(spark, d).filter("doc_type = 'legal_document'"), "doc_id", "full_text").select("doc_id", F.char_length("body").alias("chars"))
+    return legal.parse(texts(spark, d).filter("doc_type = 'legal_document'"), "doc_id", "full_text").select("doc_id", F.char_length("body").alias("chars"))
 
 
 @query
@@ -297,12 +302,12 @@ def leg_attorneys(spark, d):
 
 @query
 def nws_fields(spark, d):
-    return news.parse(docs(spark, d), "doc_id", "full_text").select("doc_id", "publication", "section", "article_type")
+    return news.parse(texts(spark, d), "doc_id", "full_text").select("doc_id", "publication", "section", "article_type")
 
 
 @query
 def nws_body(spark, d):
-    return news.parse(docs(spark, d).filter("doc_type = 'news_article'"), "doc_id", "full_text", loose=True).select("doc_id", "author", "headline", "publication_date_str", F.char_length("body").alias("chars"), F.char_length("summary").alias("summary_chars"))
+    return news.parse(texts(spark, d).filter("doc_type = 'news_article'"), "doc_id", "full_text", loose=True).select("doc_id", "author", "headline", "publication_date_str", F.char_length("body").alias("chars"), F.char_length("summary").alias("summary_chars"))
 
 
 # ---------------------------------------------------------------- similar entities
@@ -402,17 +407,17 @@ def can_review(spark, d):
 
 @query
 def fts_terms(spark, d):
-    p = search.postings(docs(spark, d), "doc_id", "full_text")
+    p = search.postings(texts(spark, d), "doc_id", "full_text")
     return p.groupBy("term").agg(F.count("*").alias("documents"), F.sum("tf").alias("uses"))
 
 
 @query
 def fts_lengths(spark, d):
-    return search.lengths(docs(spark, d), "doc_id", "full_text")
+    return search.lengths(texts(spark, d), "doc_id", "full_text")
 
 
 def _ranked(spark, d, text):
-    dd = docs(spark, d)
+    dd = texts(spark, d)
     return search.ranked(search.postings(dd, "doc_id", "full_text"), search.lengths(dd, "doc_id", "full_text"), text).select("doc_id", F.round("rank", 6).alias("rank"))
 
 
@@ -438,7 +443,7 @@ def fts_prefix(spark, d):
 
 @query
 def fts_search(spark, d):
-    dd = docs(spark, d)
+    dd = texts(spark, d)
     found = search.search(dd.select("doc_id", "filepath", "full_text"), search.postings(dd, "doc_id", "full_text"), search.lengths(dd, "doc_id", "full_text"), "insurance adjuster", 20)
     return found.select("doc_id", "filepath", F.round("rank", 6).alias("rank"), "snippet")
 
@@ -483,7 +488,7 @@ def api_dead_letters(spark, d):
 
 @query
 def api_list_emails(spark, d):
-    return api.list_emails(survey.classify(docs(spark, d), SEEDS), 0.6, "Trust").select("filepath", F.round("confidence", 9).alias("confidence"))
+    return api.list_emails(survey.classify(texts(spark, d), SEEDS), 0.6, "Trust").select("filepath", F.round("confidence", 9).alias("confidence"))
 
 
 # ---------------------------------------------------------------- relational forms
