@@ -374,7 +374,8 @@ def closing_lines(text: str, author: str | None) -> list[str]:
 def mails(documents: DataFrame, email_metadata: DataFrame) -> DataFrame:
     """doc_id, full_text, sender of every document that email_metadata lists; repeated rows count once."""
     sender = email_metadata.filter(F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.max("from_addr").alias("sender"))
-    return documents.select("doc_id", "full_text").filter(F.col("full_text").isNotNull()).join(sender, "doc_id")
+    # Spread at the scan: asking a joined plan for its partitions would run its shuffles.
+    return spread(documents.select("doc_id", "full_text").filter(F.col("full_text").isNotNull())).join(sender, "doc_id")
 
 
 def known_closings(mail: DataFrame) -> DataFrame:
@@ -399,7 +400,7 @@ def found(documents: DataFrame, email_metadata: DataFrame, thread_messages: Data
 
     Null and empty texts have no lines; a mail without sender has only names unknown. Repeated rows count once.
     """
-    mail = cut(spread(mails(documents, email_metadata)))
+    mail = cut(mails(documents, email_metadata))
     previews = thread_messages.filter("content_preview is not null and doc_id is not null").select("doc_id", F.col("message_index").cast("long").alias("message_index"), "author", "content_preview").distinct()
     per_thread = previews.groupBy("doc_id").agg(F.collect_list(F.struct("author", "content_preview")).alias("earlier"))
     closings = known_closings(mail).withColumn("_s", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
@@ -436,7 +437,7 @@ def found(documents: DataFrame, email_metadata: DataFrame, thread_messages: Data
                 yield pd.DataFrame({"field": ["content_preview"] * len(out), "doc_id": [r[0] for r in out], "message_index": [r[1] for r in out], "line_no": [r[2] for r in out]})
 
     schema = "field string, doc_id long, message_index long, line_no long"
-    return rows.mapInPandas(of_mails, schema).unionByName(spread(previews).mapInPandas(of_previews, schema)).distinct()
+    return rows.mapInPandas(of_mails, schema).unionByName(previews.mapInPandas(of_previews, schema)).distinct()
 
 
 def new_text(documents: DataFrame, email_metadata: DataFrame, thread_messages: DataFrame) -> DataFrame:
