@@ -24,6 +24,26 @@ def postings(docs: DataFrame, key: str, text: str) -> DataFrame:
     return t.groupBy("term", "doc_id").agg(F.count("*").alias("tf"), F.sort_array(F.collect_list("pos")).alias("positions"))
 
 
+#: Folders of a stored index; a query for whole words reads only those of its words.
+BUCKETS = 64
+
+
+def write_index(docs: DataFrame, key: str, text: str, path: str) -> None:
+    """Store postings, in folders by the hash of the term and sorted by it, and lengths."""
+    p = postings(docs, key, text).withColumn("bucket", F.pmod(F.xxhash64("term"), F.lit(BUCKETS)).cast("int"))
+    p.repartition(BUCKETS, "bucket").sortWithinPartitions("bucket", "term").write.mode("overwrite").partitionBy("bucket").parquet(f"{path}/postings")
+    lengths(docs, key, text).write.mode("overwrite").parquet(f"{path}/lengths")
+
+
+def read_index(spark, path: str) -> tuple[DataFrame, DataFrame]:
+    return spark.read.parquet(f"{path}/postings"), spark.read.parquet(f"{path}/lengths")
+
+
+def _of_term(index: DataFrame, term: str) -> DataFrame:
+    hit = index.filter(F.col("term") == term)
+    return hit.filter(F.col("bucket") == F.pmod(F.xxhash64(F.lit(term)), F.lit(BUCKETS)).cast("int")) if "bucket" in index.columns else hit
+
+
 def lengths(docs: DataFrame, key: str, text: str) -> DataFrame:
     return docs.select(F.col(key).alias("doc_id"), F.size(tokens(F.coalesce(F.col(text), F.lit("")))).alias("len"))
 
@@ -118,11 +138,11 @@ def matches(index: DataFrame, p: Phrase) -> DataFrame:
 
     def of(k: int) -> DataFrame:
         term = p.terms[k]
-        hit = F.col("term").startswith(term) if p.prefix and k == last else F.col("term") == term
-        return index.filter(hit).select("doc_id", F.explode("positions").alias("pos")).select("doc_id", (F.col("pos") - k).alias("start"))
+        hit = index.filter(F.col("term").startswith(term)) if p.prefix and k == last else _of_term(index, term)
+        return hit.select("doc_id", F.explode("positions").alias("pos")).select("doc_id", (F.col("pos") - k).alias("start"))
 
     if last == 0 and not p.prefix:
-        return index.filter(F.col("term") == p.terms[0]).select("doc_id", F.col("tf").cast("long").alias("tf"))
+        return _of_term(index, p.terms[0]).select("doc_id", F.col("tf").cast("long").alias("tf"))
     starts = reduce(lambda a, b: a.join(b, ["doc_id", "start"]), [of(k) for k in range(last + 1)])
     return starts.groupBy("doc_id").agg(F.count("*").alias("tf"))
 

@@ -61,7 +61,11 @@ def ship(spark: SparkSession) -> None:
     if getattr(sc, "_folioscope_shipped", False):
         return
     root = Path(__file__).resolve().parent
-    target = Path(tempfile.mkdtemp(prefix="folioscope-code-")) / "folioscope.zip"
+    shared = str(spark.conf.get("spark.checkpoint.dir", None) or "").removeprefix("file://")
+    # Spark serves the file from the driver; it lies in the shared folder where that is one of the file system.
+    if shared.startswith("/"):
+        Path(shared).mkdir(parents=True, exist_ok=True)
+    target = Path(tempfile.mkdtemp(prefix="folioscope-code-", dir=shared if shared.startswith("/") else None)) / "folioscope.zip"
     with zipfile.ZipFile(target, "w") as z:
         for p in sorted(root.rglob("*.py")):
             z.write(p, p.relative_to(root.parent))

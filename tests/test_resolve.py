@@ -66,6 +66,14 @@ def test_search(spark):
             pass
 
 
+def test_stored_index(spark, tmp_path):
+    search.write_index(docs(spark), "doc_id", "full_text", str(tmp_path))
+    p, z = search.read_index(spark, str(tmp_path))
+    assert sorted(r.doc_id for r in search.ranked(p, z, "donation OR caf*").collect()) == [1, 2, 3]
+    plan = search.matches(p, search.phrase("donation"))._jdf.queryExecution().toString()
+    assert "PartitionFilters: [isnotnull(bucket" in plan
+
+
 def test_api(spark):
     d = spark.createDataFrame([(1, "f1", "email", 0.9), (2, "f2", "email", 0.5), (3, "f3", "other", 0.7)], "doc_id int, filepath string, doc_type string, confidence double")
     m = spark.createDataFrame([(1, "A"), (2, "A"), (3, "A"), (3, "B")], "doc_id int, entity_name string")
