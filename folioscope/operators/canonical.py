@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 
@@ -131,7 +130,3 @@ def reviewed(cases: DataFrame, decide, low: float = 0.80) -> DataFrame:
     verdicts = cases.select("entity1_id", "entity2_id", "entity1_text", "entity2_text", "entity1_context", "entity2_context").mapInPandas(run, "entity1_id long, entity2_id long, should_merge boolean, note string")
     return cases.join(verdicts, ["entity1_id", "entity2_id"])
 
-
-def numbered(df: DataFrame, order: list[str], name: str) -> DataFrame:
-    """Consecutive numbers in a stable order, for surrogate keys of small tables."""
-    return df.withColumn(name, F.row_number().over(W.orderBy(*order)).cast("long"))

@@ -8,13 +8,13 @@ follows (normalising, merging, counting, ids) is DataFrame operations. ``strict`
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from folioscope.operators.numbering import numbered
 from folioscope.session import spread
 
 # The patterns by kind, in the order in which they are tried; case counts except for dates.
@@ -118,6 +118,32 @@ def mentions(docs: DataFrame, key: str, text: str, strict: bool = True) -> DataF
     return raw.filter(fits).withColumns({"confidence": conf, "method": F.lit("regex")})
 
 
+#: An extractor maps texts to lists of (type, name), or None where its call failed.
+Extractor = Callable[[list[str]], list[list[tuple[str, str]] | None]]
+
+
+def by_model(docs: DataFrame, key: str, text: str, extractor: Extractor, read: int = 3000) -> DataFrame:
+    """Mentions that a model names, confidence 0.90, at their first place whatever the case; of texts that it failed on, none.
+
+    The model sees the first ``read`` characters. Names that the text does not hold have null positions.
+    """
+    kind = docs.schema[key].dataType.simpleString()
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            rows = []
+            for k, t, got in zip(b[key], b[text], extractor([(t or "")[:read] for t in b[text]]), strict=True):
+                for n, (type_, name) in enumerate(got or (), 1):
+                    at = (t or "").lower().find(name.lower()) if name else -1
+                    rows.append((k, TYPE_NAMES.get(type_, type_), n, name, at, at + len(name), (t or "")[max(0, at - WINDOW) : at + len(name) + WINDOW] if at >= 0 else None))
+            if rows:
+                yield pd.DataFrame(rows, columns=[key, "type", "ordinal", "text", "position_start", "position_end", "context"])
+
+    made = spread(docs.select(key, text)).mapInPandas(run, f"{key} {kind}, {MENTION}").filter("text <> ''")
+    there = F.col("position_start") >= 0
+    return made.withColumns({"confidence": F.lit(0.90), "method": F.lit("llm"), "position_end": F.when(there, F.col("position_end")), "position_start": F.when(there, F.col("position_start"))})
+
+
 def context(text: Column, start: Column, end: Column, window: int = WINDOW) -> Column:
     """The text around a span, as far as it goes."""
     begin = F.greatest(start - window, F.lit(0))
@@ -147,15 +173,12 @@ def validated(found: DataFrame, verdicts: DataFrame, key: str, below: float = 0.
 
 
 def entity_table(found: DataFrame, key: str) -> DataFrame:
-    """One row for each normal form and type: text first seen, document first seen in, and how many mentions.
-
-    Ids are consecutive in the order of first mention; numbering needs one global order, of the distinct entities and not of the mentions.
-    """
+    """One row for each normal form and type: text first seen, document first seen in, and how many mentions; ids in the order of first mention."""
     order = F.struct(F.col(key), F.array_position(F.array(*[F.lit(t) for t in PATTERNS]), F.col("type")), F.col("ordinal"))
     n = found.withColumn("normalized_text", normalise(F.col("text"), F.col("type"))).groupBy("normalized_text", "type").agg(
         F.count("*").alias("occurrence_count"), F.min_by("text", order).alias("text"), F.min_by(key, order).alias("first_seen_doc_id"), F.min(order).alias("_o")
     )
-    ranked = n.withColumn("entity_id", F.row_number().over(W.orderBy("_o", "normalized_text")).cast("long"))
+    ranked = numbered(n, ["_o", "normalized_text"], "entity_id")
     return ranked.select("entity_id", "text", "type", "normalized_text", "first_seen_doc_id", "occurrence_count")
 
 

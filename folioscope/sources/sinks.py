@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from folioscope.operators.numbering import numbered
+
 
 def upsert(old: DataFrame, new: DataFrame, keys: list[str], order: str | None = None) -> DataFrame:
     """``old`` with the rows of ``new`` in place of those with the same keys; of equal keys in ``new`` the greatest ``order`` (else row) stays."""
@@ -23,13 +25,11 @@ def insert_or_ignore(old: DataFrame, new: DataFrame, keys: list[str]) -> DataFra
 
 def entity_upsert(old: DataFrame, seen: DataFrame) -> DataFrame:
     """Entities with the counts of newly seen (normalized_text, type, text, doc_id) added; new ones get ids behind the greatest."""
-    from pyspark.sql import Window as W
-
     n = seen.groupBy("normalized_text", "type").agg(F.count("*").alias("_n"), F.min_by("text", "doc_id").alias("_t"), F.min("doc_id").alias("_d"))
     kept = old.join(n.select("normalized_text", "type", "_n"), ["normalized_text", "type"], "left").withColumn("occurrence_count", F.coalesce("occurrence_count", F.lit(0)) + F.coalesce("_n", F.lit(0))).select(*old.columns)
     top = old.agg(F.coalesce(F.max("entity_id"), F.lit(0)).alias("_top"))
     new = n.join(old.select("normalized_text", "type"), ["normalized_text", "type"], "left_anti").join(F.broadcast(top))  # one row
-    new = new.withColumn("entity_id", (F.col("_top") + F.row_number().over(W.orderBy("_d", "normalized_text", "type"))).cast("long"))
+    new = numbered(new, ["_d", "normalized_text", "type"], "entity_id", F.col("_top") + 1)
     made = new.select("entity_id", F.col("_t").alias("text"), "type", "normalized_text", F.col("_d").alias("first_seen_doc_id"), F.col("_n").alias("occurrence_count"))
     return kept.unionByName(made.select(*old.columns))
 
