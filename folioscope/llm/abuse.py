@@ -25,11 +25,12 @@ LEXICON = {
     "insult": (
         "idiot moron imbecile cretin loser scumbag lowlife bitch bastard pig asshole shithead dickhead whore slut prick wanker dumbass jerk "
         "idiots morons imbeciles cretins losers bastards idiota imbécil gilipollas cabrón drittsekk kødd jævel idioten arschloch trottel dreckskerl "
-        "mistkerl schwachkopf connard salaud salope abruti crétin imbécile wichser",
-        "piece of shit; piece of trash; hijo de puta; de mierda; de merde; pauvre con",
+        "mistkerl schwachkopf idiotin drecksau miststück hure fotze connard connasse salaud salope abruti crétin crétine imbécile merde ordure pute wichser "
+        "pendejo cabrona zorra puta payaso estúpido estúpida drittunge hore fitte kuksuger taper",
+        "piece of shit; piece of trash; hijo de puta; de mierda; pauvre con; stück scheiße; stück dreck",
     ),
     "slur": (
-        "rotten filthy useless worthless fucking pathetic stupid brainless spineless disgusting lying inútil jævla udugelige verdammte verdammter dummer blöder",
+        "rotten filthy useless worthless fucking pathetic stupid brainless spineless disgusting lying inútil jævla udugelige stygge dumme verdammte verdammter verdammtes dummer dummes blöder blödes dreckiger dreckiges wertloses wertloser inutile pauvre sale stupide asqueroso maldito maldita",
         "",
     ),
     "threat": (
