@@ -96,6 +96,7 @@ def _given(word: str, known: dict[str, str]) -> tuple[list[str], bool]:
         return [word], False
     if len(word) >= 3:
         near = sorted({w for w in {*_GIVEN, *known} if w not in _FORMAL and (close(word, w) if max(len(word), len(w)) >= 5 else len(w) >= 3 and lcs(word, w) >= max(len(word), len(w)) - 1 and word[0] == w[0])})
+        near = [w for w in near if w in known] or near
         if len(near) == 1:
             return near, False
         short = sorted({f for s, fs in _FORMAL.items() if len(s) >= 5 and close(word, s) for f in fs})
@@ -113,10 +114,12 @@ def read_person(text: str, known: dict[str, str]) -> tuple[str, list[str], str,
         comma, t = m[1], m[2]
     words = []
     for w in re.split(r"[\s]+", t):
+        dotted = w.endswith(".")
         w = w.strip(".,;()\"")
         if not w:
             continue
-        if w.lower() in TITLES and len(w) > 1:
+        # Two capitals without a full stop are initials, though they may look like a title.
+        if w.lower() in TITLES and len(w) > 1 and (dotted or not (len(w) == 2 and w.isupper())):
             continue
         split = re.fullmatch(r"([A-Z][a-z'-]+)([A-Z][a-z'-]+)", w)
         words += [split[1], split[2]] if split and len(split[1]) > 2 and len(split[2]) > 2 and not w.startswith(("Mc", "Mac")) else [w]

@@ -31,6 +31,16 @@ def test_links(spark):
     assert names.found(e.limit(0), c.limit(0)).count() == 0
 
 
+def test_readings():
+    known = {"dorothea": "dorothea", "michael": "michael"}
+    read = lambda t: names.read_person(t, known)
+    assert read("MS Chuuricebelm") == ("chuuricebelm", [], "m", "s", "initial")
+    assert read("Ms. Chuuricebelm") == ("chuuricebelm", [], "", "", "none")
+    assert read("Dorotha Tejujukix")[:2] == ("tejujukix", ["dorothea"]) and read("KUPIKIX, E. J.") == ("kupikix", [], "e", "j", "initial")
+    assert read("Prof. Mike Kupikix")[1] == ["michael"] and read("") == ("", [], "", "", "none")
+    assert names.read_organisation("The THETOTABRART Universty") == ("thetotabrart", "university") == names.read_organisation("Thetotabrart U.")
+
+
 def test_lcs_by_brute_force():
     import itertools
 
