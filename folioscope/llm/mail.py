@@ -317,8 +317,10 @@ def preview_lines(text: str, author: str | None) -> list[int]:
     out = Reader(author).new_lines(lines, base=base, drop=drop)
     if out and len(text) >= 199 and out[-1] == len(lines) - 1 and len(lines) > 1 and not unquoted(_plain(lines[-2])):
         # The cut fell into the first line of a block: of a closing, separator, device line or notice?
-        last = _norm(unquoted(_plain(lines[-1])))
-        if len(last) >= 4 and any(c.startswith(last) for c in _CLOSINGS) or Reader(author).full.startswith(last) and len(last) >= 3 or re.fullmatch(r"[-_*—=]{2,}.{0,20}", last):
+        whole = unquoted(_plain(lines[-1]))
+        last = _norm(whole)
+        begun = re.match(r"(?:On|Am|Le|El|Den|På) (?:\w{2,4}\.?,? )?.{0,14}\d", whole) or re.search(r"<[^<>]*$", whole) or re.match(r"(?:From|Von|Fra|De): [A-ZÅÄÖØÜÉ]", whole)
+        if begun or len(last) >= 3 and any(c.startswith(last) for c in _CLOSINGS) or Reader(author).full.startswith(last) and len(last) >= 3 or re.fullmatch(r"[-_*—=]{2,}.{0,20}", last):
             out.pop()
     return [k for k in out if _plain(lines[k]).strip(" \t\xa0>")]
 
