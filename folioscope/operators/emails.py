@@ -26,7 +26,7 @@ HIDDEN = "[REDACTED]"
 HEADERS = ("from", "to", "cc", "bcc", "subject", "sent", "date", "message-id", "in-reply-to", "references", "reply-to")
 SLASH_DATE = re.compile(r"(\d{1,2})/(\d{1,2})/(\d{4})\s+(\d{1,2}):(\d{2}):(\d{2})\s+(AM|PM)")
 DOTTED_DATE = re.compile(r"(\d{1,2})\.\s*(\w+)\.\s*(\d{4})\s*kl\.\s*(\d{1,2}):(\d{2})", re.I)
-DOTTED_MONTHS = "jan feb mar apr mai jun jul aug sep okt nov des".split()
+DOTTED_MONTHS = ["jan", "feb", "mar", "apr", "mai", "jun", "jul", "aug", "sep", "okt", "nov", "des"]
 QUOTE_MARKS = (r"(?m)^>\s*", r"(?m)^On .+ wrote:$", r"(?im)^-+\s*Original Message\s*-+", r"(?m)^From:.*\nSent:.*\nTo:.*\nSubject:")
 _WHEN = r"\w+\s+\d{1,2},\s+\d{4},?\s+at\s+[\d:]+\s+(?:AM|PM)"
 THREADS = (

@@ -44,9 +44,10 @@ PATTERNS = {
     ],
 }
 # What looks like a person's name and is none.
-NOT_NAMES = (
-    "The Court;The Judge;The Plaintiff;The Defendant;United States;New York;District Court;Supreme Court;Dear Sir;Dear Madam;Dear Mr;Dear Ms;Dear Dr;Palm Beach;Los Angeles;San Francisco;El Paso;Santa Barbara;Fort Lauderdale"
-).split(";")
+NOT_NAMES = [
+    "The Court", "The Judge", "The Plaintiff", "The Defendant", "United States", "New York", "District Court", "Supreme Court", "Dear Sir", "Dear Madam", "Dear Mr", "Dear Ms", "Dear Dr",
+    "Palm Beach", "Los Angeles", "San Francisco", "El Paso", "Santa Barbara", "Fort Lauderdale",
+]
 ORG_WORDS = ["University", "College", "Institute", "Foundation", "Department", "Agency", "Corporation", "Inc.", "LLC", "Corp."]
 PLACE_ENDS = [" Beach", " City", " Island", " County", " Park", " Way", " Street", " Avenue", " Road", " Boulevard", " Drive", " Lane"]
 CONFIDENCE = {"organization": 0.80, "location": 0.85, "date": 0.95}
