@@ -168,6 +168,7 @@ class Matcher:
                         self.stars[key] = t
         # A sentence is scored only if it holds one of these: of each harsh term its longest word.
         self.triggers = {max(t.split(), key=len) for t, r in self.roles.items() if r & (harsh | {"threat"})}
+        self.longest = max(map(len, self.solid))
         self.keep, self.known = keep, {}
 
     @staticmethod
@@ -224,7 +225,7 @@ class Matcher:
         """The terms that a run of single letters spells, taken greedily from the left; () if it spells none."""
         plain, out, at = letters.lower().translate(_SIGNS), [], 0
         while at < len(plain):
-            for end in range(len(plain), at + 2, -1):
+            for end in range(min(len(plain), at + self.longest), at + 2, -1):
                 if plain[at:end] in self.solid:
                     out += self.solid[plain[at:end]][0].split()
                     at = end

@@ -84,6 +84,16 @@ def test_kinds(spark):
     assert abuse.found(d.limit(0)).count() == 0 and abuse.scores(d.filter("doc_id >= 109")).count() == 2
 
 
+def test_long_texts_take_linear_time():
+    import time
+
+    s, began = abuse.Scorer(), time.time()
+    for text in ("a " * 200_000, "x" * 500_000, "*" * 200_000, "a-\n" * 100_000, "you idiot " * 30_000):
+        s.document(text)
+    assert time.time() - began < 20
+    assert s.document("so " * 5000 + ". You useless moron.")[0] >= abuse.THRESHOLD
+
+
 def test_trie_against_brute_force():
     terms = ["scumbag", "useless", "filthy", "vermin", "scumbags"]
     t = abuse.Trie(terms)
