@@ -105,7 +105,7 @@ def attribution(lines: list[str], k: int) -> int:
 def header_block(lines: list[str], k: int) -> int:
     """How many lines from ``k`` on are the headers of a quoted message (0 if fewer than two different ones)."""
     n, names = 0, set()
-    while k + n < len(lines):
+    while k + n < len(lines) and n < 40:  # no header block is longer, and a text of nothing else stays linear
         s = unquoted(_plain(lines[k + n]))
         m = _HEADER.match(s)
         if not m:
