@@ -6,14 +6,16 @@ by stars: every vertex points to the vertex of least priority in its local compo
 exchanged along rows and columns: of the several representatives of a vertex, that of least priority becomes
 its parent, and the stars, with both ends replaced by their parents, are the links of the next round. Priorities
 are scrambled anew in each round, so that long chains shrink by a constant factor a round; rounds go on until
-no link is left, or until all links fit one cell.
+the parents are stable, which is when no link is left.
 
-The grid bounds the work of one task: a vertex that holds a third of all links lies in one row of blocks, so its
-links are spread over all columns of that row. A round writes its links to the checkpoint folder.
+The grid has at least as many cells as the session has shuffle partitions, and never fewer than two blocks a side, so small inputs
+take the same way as large ones; more links give more blocks. It bounds the work of one task: a vertex that holds a third of all
+links lies in one row of blocks, so its links are spread over all columns of that row. A round writes its links to the checkpoint folder.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -23,10 +25,15 @@ from pyspark.sql import functions as F
 
 from folioscope.session import cut
 
-#: Links that one partition of the grid should hold; the side of the grid follows from the number of links.
+#: Links that one partition of the grid should hold; beyond what the session's partitions hold the grid grows with the links.
 CELL_LINKS = 400_000
 
 
+def side_of(total: int, partitions: int, cell_links: int = CELL_LINKS) -> int:
+    """Blocks a side: enough cells for the session's partitions and for the links, and never fewer than two."""
+    return max(2, math.isqrt(max(partitions, 1) - 1) + 1, math.isqrt(max(-(-total // cell_links), 1) - 1) + 1)
+
+
 def priorities(x: np.ndarray, seed: int) -> np.ndarray:
     """A bijective scramble of 64-bit numbers, another order for each seed."""
     z = x.astype(np.int64).view(np.uint64) + np.uint64((seed * 0x9E3779B97F4A7C15 + 0x632BE59BD9B4E019) & (2**64 - 1))
@@ -71,32 +78,33 @@ def _cells(seed: int):
     return run
 
 
-def components(links: DataFrame, u: str = "u", v: str = "v", cell_links: int = CELL_LINKS, most_rounds: int = 60) -> DataFrame:
+def components(links: DataFrame, u: str = "u", v: str = "v", cell_links: int = CELL_LINKS, most_rounds: int = 60, trace: list[dict] | None = None) -> DataFrame:
     """``x``, ``rep`` for every vertex in ``links`` (two bigint columns): equal ``rep`` means joined.
 
     Links with a null end join nothing and are left out; a vertex linked to itself is its own group; repeated
-    links change nothing; an empty table gives an empty one. ``rep`` is a vertex of the group, not the smallest.
+    links change nothing; an empty table gives an empty one. ``rep`` is a vertex of the group, not the smallest. ``trace`` gets
+    the links and the side of the grid of each round.
     """
     edges = links.select(F.col(u).cast("long").alias("u"), F.col(v).cast("long").alias("v")).filter("u is not null and v is not null").distinct()
     edges = cut(edges)
     total, out = edges.count(), None
+    side = side_of(total, int(edges.sparkSession.conf.get("spark.sql.shuffle.partitions")), cell_links)
     for seed in range(most_rounds):
-        side = max(1, int(np.ceil(np.sqrt(total / cell_links))))
+        if trace is not None:
+            trace.append({"links": total, "side": side})
         row, col = F.pmod(F.xxhash64("u"), F.lit(side)), F.pmod(F.xxhash64("v"), F.lit(side))
         stars = cut(edges.repartition(side * side, row, col).mapInPandas(_cells(seed), "x long, rep long, pr long"))
-        if side == 1:  # one cell held all links: nothing to exchange
-            here = stars.select("x", "rep")
-            return here if out is None else cut(_follow(out, here))
         # Row and column exchange: of all representatives of a vertex, that of least priority is its parent.
         parents = cut(stars.groupBy("x").agg(F.min_by("rep", "pr").alias("p")))
         # A star (x, rep) becomes the link between both ends' parents. The pairs (p, rep) are made distinct, with
         # partial aggregation, before they meet the parents of their reps, so a hub arrives there as few rows.
-        pairs = stars.join(parents, "x").select(F.col("p").alias("u"), F.col("rep").alias("x")).distinct()
+        pairs = stars.filter("x <> rep").join(parents, "x").select(F.col("p").alias("u"), F.col("rep").alias("x")).distinct()
         edges = cut(pairs.join(parents, "x").filter("u <> p").select("u", F.col("p").alias("v")).distinct())
         out = parents.select("x", F.col("p").alias("rep")) if out is None else cut(_follow(out, parents.withColumnRenamed("p", "rep")))
         total = edges.count()
         if total == 0:
             return out
+        side = side_of(total, int(edges.sparkSession.conf.get("spark.sql.shuffle.partitions")), cell_links)
     raise RuntimeError("parents did not stabilise")
 
 
@@ -107,7 +115,7 @@ def _follow(known: DataFrame, moved: DataFrame, salts: int = 16) -> DataFrame:
     return k.join(m, (F.col("rep") == F.col("_r")) & (F.col("_k") == F.col("_s")), "left").select("x", F.coalesce("_to", "rep").alias("rep"))
 
 
-def groups(aliases: DataFrame) -> DataFrame:
+def groups(aliases: DataFrame, trace: list[dict] | None = None) -> DataFrame:
     """p3_found: ``entity_id``, ``group_id`` for every non-null entity_id of ``entity_aliases``.
 
     Entities and canonical records are separate series of numbers, so they become even and odd vertices.
@@ -115,7 +123,7 @@ def groups(aliases: DataFrame) -> DataFrame:
     smallest entity_id of the group.
     """
     links = aliases.select((F.col("entity_id") * 2).alias("u"), (F.col("canonical_id") * 2 + 1).alias("v"))
-    rep = components(links)
+    rep = components(links, trace=trace)
     ents = aliases.filter("entity_id is not null").select("entity_id").distinct()
     known = ents.join(rep.filter("x % 2 = 0").select((F.col("x") / 2).cast("long").alias("entity_id"), "rep"), "entity_id", "left")
     known = known.withColumn("rep", F.coalesce("rep", F.col("entity_id") * 2))

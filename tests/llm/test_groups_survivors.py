@@ -2,6 +2,7 @@ import random
 from datetime import datetime
 
 from folioscope.llm import groups, survivors
+from folioscope.tables import table
 
 
 def union_find(pairs):
@@ -40,6 +41,21 @@ def test_groups(spark):
     assert groups.groups(d.limit(0)).count() == 0
 
 
+def test_found_takes_the_grid_at_every_size(spark, sf):
+    """Several cells and at least one exchange on the smallest tables too, with the groups of a plain union-find."""
+    a, trace = table(spark, sf, "entity_aliases"), []
+    got = {r.entity_id: r.group_id for r in groups.groups(a, trace).collect()}
+    assert len(trace) >= 2 and all(t["side"] >= 2 for t in trace) and trace[1]["links"] > 0
+    rows = a.select("entity_id", "canonical_id").collect()
+    want = union_find([(2 * r.entity_id, 2 * r.canonical_id + 1) for r in rows if r.entity_id is not None and r.canonical_id is not None])
+    least = {}
+    for v, rep in want.items():
+        if v % 2 == 0:
+            least[rep] = min(least.get(rep, v // 2), v // 2)
+    assert got == {r.entity_id: least[want[2 * r.entity_id]] if 2 * r.entity_id in want else r.entity_id for r in rows if r.entity_id is not None}
+    assert groups.side_of(10, 8) == 3 and groups.side_of(10, 1) == 2 and groups.side_of(10**9, 8) == 50
+
+
 def test_survivors_by_votes(spark):
     rows = [("g", "Ann", 1.0, 0.0), ("g", "ann", 1.0, 100.0), ("g", "Bob", 1.5, 0.0), ("g", None, 9.0, 0.0), ("h", None, 1.0, 0.0), (None, "x", 1.0, 0.0)]
     d = spark.createDataFrame(rows, "grp string, name string, trust double, age double")
