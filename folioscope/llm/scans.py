@@ -1,42 +1,46 @@
 """Noise in text from scanned pages (problem 1).
 
-Two averaged perceptrons do the work. The first is a character editor: for each character of a word it predicts keep, replace, delete or
-insert, and for a word that ends a line whether to join it to the next; the second classes lines by page-position features (what stands
-before and after, form feeds, repeats, numbers at the ends) as running line or text.
+An averaged-perceptron character editor decides on words: for each place of a word it weighs to keep the character against replacing,
+deleting or inserting (the operations that the corpus shows), and for a word that ends a line whether to join it to the next. What it
+weighs are features: the operation, the letters around it, and how often the word as it stands and the word that the operation makes
+occur. An edit is made only if it scores above keeping. A second perceptron classes lines by page-position features (what stands
+before and after, form feeds, repeats of titles, numbers at the ends) as running line or text.
 
 Nothing is labelled, so the models label their own examples. Word counts over all documents (mid-line words only) tell which rare word
-is a wrongly read form of a frequent one: the pairs at one or two confusions' distance teach the editor, and
-titles that come again at page ends teach the line classifier. Both are trained on the driver on a bounded sample (``PAIRS``
-pairs, ``SAMPLE`` documents); counts and everything else cover all documents. A word is taken as misread only if the editor's
-output is a word that is ``RATIO`` times as frequent, so that names and true variants stay.
+is a wrongly read form of a frequent one: the pairs teach which operations there are, and all listed words teach when to
+make them. Compounds and cut words of the list teach the joins, titles that come again at page ends the line classifier. Stamps, lines whose
+last number rises from page to page, are counted by their words over all documents. Training runs on the driver on bounded samples
+(``PAIRS`` words, ``SAMPLE`` documents of at most ``SAMPLE_CHARS`` characters); counts and everything else cover all documents.
 
-The word list that tasks need holds words of a document frequency of at least ``SHARE`` of the documents: there are at most
-(mean distinct words a document) / SHARE of these, whatever the size of the corpus. It is broadcast after a check of its size.
+The word list that tasks need holds words of a document frequency of at least ``SHARE`` / 4 of the documents: there are at most
+(mean distinct words a document) * 4 / SHARE of these, whatever the size of the corpus. It is broadcast after a check of its size.
 """
 
 from __future__ import annotations
 
 import difflib
+import math
 import re
 import unicodedata
 from collections import Counter, defaultdict
 from collections.abc import Iterator
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, replace
 
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from folioscope.llm.perceptron import Perceptron
+from folioscope.llm.perceptron import Perceptron, Ranker
 from folioscope.session import spread
 
 #: Least share of documents of a word in the list that is broadcast, and the most words that it may have.
 SHARE = 5e-4
 MOST_WORDS = 2_000_000
-#: How much more frequent the corrected word must be.
+#: How much more frequent the true word of a training pair must be.
 RATIO = 20
-#: Bounds of the training sample: documents whose lines are read, and pairs of misread and true word.
+#: Bounds of the training samples: documents whose lines are read, the longest of them, and words of each label.
 SAMPLE = 1500
+SAMPLE_CHARS = 200_000
 PAIRS = 4000
 
 _LETTERS = r"[^\W\d_]"
@@ -47,13 +51,13 @@ _HYPHEN = re.compile(r"([^\W\d_][\w'’-]*)[-¬\xad][ \t]*$")
 _NUMBER = r"(?:[\dlIOoS|¢†]{1,5}|[ivxl]{1,7})"
 # Shapes of a line with nothing but a page number.
 _PAGE = re.compile(rf"^(?:(?:[Pp]\S{{1,3}}|[Pp]\.|[Ss]eite|[Ss]ide)\s*{_NUMBER}(?:\s*(?:of|0f|av|von|de|/)\s*{_NUMBER})?|{_NUMBER}\s*(?:of|0f)\s*{_NUMBER}|[-–—]\s*{_NUMBER}\s*[-–—]|\[{_NUMBER}\]|{_NUMBER})$")
-# Shapes of the stamps that number the sheets.
-_STAMP = re.compile(r"^(?:[A-Z]{2,}[-_ ]|ARCHIVE COPY |[A-Za-z]+ set [A-Z]\s+|[A-Za-z]+ treatment \S+ / )[\dOolI]{4,}$", re.I)
+_STAMP = re.compile(r"(.*[^\dOolI])([\dOolI]{4,})")
 _END_NUMBER = re.compile(r"^(.*\S)\s{2,}([\dlIOoS|]{1,5}|[ivxl]{1,7})$")
 _START_NUMBER = re.compile(r"^([\dlIOoS|]{1,5}|[ivxl]{1,7})\s{2,}(\S.*)$")
 _HEADER = re.compile(r"^(?:From|Sent|To|Cc|Bcc|Date|Subject|Importance|Re|Von|An|Fra|Til|De|À)\s*:", re.I)
 _SUBJECT = re.compile(r"^Subject:\s*(.*)$", re.I)
 _REPLY = re.compile(r"^(?:(?:re|fwd?|aw|sv)\s*:\s*)+", re.I)
+_DIGITS = str.maketrans({"O": "0", "o": "0", "l": "1", "I": "1"})
 _EDGE = ".,;:!?\"'()[]{}<>«»„“”’‘…>"
 # Signs that disguise words on purpose, not by misreading.
 _ON_PURPOSE = set("$@*#%&=/\\~^+_<>")
@@ -63,13 +67,29 @@ def _plain(line: str) -> str:
     return line.replace("\r", "").replace("﻿", "").replace("\f", "")
 
 
+def stamp_of(s: str) -> tuple[str, int] | None:
+    """The words and the number of a line that may be the stamp of a sheet: a short line that ends in a number of four digits or more."""
+    m = _STAMP.fullmatch(s) if len(s) <= 60 else None
+    if not m or sum(c.isdigit() for c in m[2]) < 2:
+        return None
+    return re.sub(r"\s+", " ", m[1]).strip().lower(), int(m[2].translate(_DIGITS))
+
+
+def rising_stamps(text: str) -> set[str]:
+    """The words of stamps whose numbers rise, by twenty at most, from one to the next."""
+    last, out = {}, set()
+    for raw in text.split("\n"):
+        if len(raw) <= 80 and (got := stamp_of(_plain(raw).strip())):
+            words, n = got
+            if words in last and 0 < n - last[words] <= 20:
+                out.add(words)
+            last[words] = n
+    return out
+
+
 def _same(title: str) -> str:
-    """A title without case, reply marks, and letters that are often misread."""
-    t = _REPLY.sub("", title.strip()).lower()
-    t = re.sub(r"\s+", " ", t)
-    for a, b in (("rn", "m"), ("cl", "d"), ("vv", "w"), ("ri", "n"), ("ii", "u"), ("¢", "e"), ("c", "e"), ("†", "t"), ("f", "t"), ("|", "i"), ("1", "i"), ("l", "i"), ("0", "o"), ("5", "s"), ("9", "g"), ("6", "b"), ("h", "b")):
-        t = t.replace(a, b)
-    return t
+    """A title without case, reply marks and signs, and with runs of blanks as one."""
+    return re.sub(r"\s+", " ", _REPLY.sub("", title.strip()).lower())
 
 
 def line_features(lines: list[str], k: int, kinds: list[str]) -> list[str]:
@@ -101,8 +121,8 @@ def line_features(lines: list[str], k: int, kinds: list[str]) -> list[str]:
     ]
 
 
-def known_kinds(lines: list[str]) -> list[str]:
-    """page_no, stamp, blank, mark or text for each line, by its own shape."""
+def known_kinds(lines: list[str], stamps: frozenset[str] = frozenset()) -> list[str]:
+    """page_no, stamp (one of ``stamps``), blank, mark or text for each line, by its own shape."""
     out = []
     for raw in lines:
         s = _plain(raw).strip()
@@ -110,7 +130,7 @@ def known_kinds(lines: list[str]) -> list[str]:
             out.append("blank")
         elif len(s) <= 16 and _PAGE.match(s) and (any(c.isdigit() for c in s) or s in "lI|" or re.fullmatch(r"[ivxl]+|.*\s[ivxlI|]+.*|\W+[ivxlI|]+\W+|[lI|]{1,3}\d*", s)):
             out.append("page_no")
-        elif len(s) <= 60 and _STAMP.match(s):
+        elif stamps and (got := stamp_of(s)) and got[0] in stamps:
             out.append("stamp")
         elif s[0] == ">":
             out.append("mark")
@@ -136,12 +156,12 @@ def titles_of(lines: list[str]) -> dict[str, int]:
 
 
 def _alike(a: str, b: str) -> bool:
-    """Equal, or with a letter or two cut off or exchanged."""
+    """Equal, or with a few letters cut off or wrongly read."""
     if a == b:
         return True
-    if min(len(a), len(b)) < 8 or abs(len(a) - len(b)) > 3:
+    if min(len(a), len(b)) < 8 or abs(len(a) - len(b)) > 4:
         return False
-    return a.startswith(b) or b.startswith(a) or difflib.SequenceMatcher(None, a, b, autojunk=False).ratio() > 0.92
+    return a.startswith(b) or b.startswith(a) or difflib.SequenceMatcher(None, a, b, autojunk=False).ratio() > 0.84
 
 
 def _bare(s: str) -> tuple[str, bool]:
@@ -158,67 +178,84 @@ def _bare(s: str) -> tuple[str, bool]:
 _TABLE = re.compile(r"\d[\d,]*\.\d\d$")
 
 
-def running(lines: list[str], kinds: list[str], model: Perceptron | None = None) -> set[int]:
-    """The places of running lines: stamps, titles that come again at a page's end, and what the model takes for one there."""
-    out = {k for k, kind in enumerate(kinds) if kind == "stamp"}
+@dataclass
+class Candidate:
+    """A line that may be a running one, with what page-position and repeats say of it."""
+
+    text: str
+    numbered: bool
+    tight: bool
+    title: bool
+    again: bool
+    caps: bool
+
+    def sure(self, k: int) -> bool:
+        """Whether it teaches the classifier as a running line: a title that comes again, or a head with its page number."""
+        t = self.text
+        return self.title or self.numbered and len(t) > 6 and (t[0].isupper() or bool(_REPLY.match(t))) or self.tight and k > 3 and self.caps and t[-1] not in ",;:?!" and "," not in t[:-4]
+
+    def features(self, k: int) -> list[str]:
+        t = self.text
+        up = t[0].isupper() or bool(_REPLY.match(t))
+        end = t[-1] if t[-1] in ",;:?!." else "a"
+        return [
+            f"title={self.title}", f"numbered={self.numbered}{up}{len(t) > 6}", f"caps={self.caps}{self.tight}", f"again={self.again}{end}", f"tight={self.tight}{up}{k > 3}{end}",
+            f"all={self.title}{self.numbered}{self.tight}{self.caps}", f"header={bool(_HEADER.match(t))}",
+        ]
+
+
+def candidates_of(lines: list[str], kinds: list[str]) -> dict[int, Candidate]:
+    """Lines that stand beside a stamp, page number or form feed, or carry a number set off from them."""
     if len(lines) < 3:
-        return out
+        return {}
 
     def edge(k: int) -> bool:
         return 0 <= k < len(lines) and kinds[k] in ("stamp", "page_no")
 
-    # Candidates stand beside a stamp, page number or form feed, or carry a number set off from them.
-    candidates = {}
+    rows = {}
     for k, kind in enumerate(kinds):
-        if kind != "text" or len(lines[k]) > 120:
+        if kind != "text":
             continue
         s = _plain(lines[k]).strip()
         t, numbered = _bare(s) if "  " in s else (s, False)
         tight = "\f" in lines[k] or edge(k - 1) or edge(k + 1)
         loose = tight or (k + 2 < len(lines) and kinds[k + 1] == "blank" and edge(k + 2)) or (k >= 2 and kinds[k - 1] == "blank" and edge(k - 2))
         if (loose or numbered) and len(t) >= 4 and not _TABLE.search(t) and not re.match(r"^\d{1,3}[.)]", t):
-            candidates[k] = (t, numbered, tight)
-    if not candidates:
-        return out
+            rows[k] = (t, numbered, tight)
+    if not rows:
+        return {}
     titles = titles_of(lines)
-    again = Counter(_same(t) for t, _, tight in candidates.values() if tight)
-    for k, (t, numbered, tight) in candidates.items():
+    again = Counter(_same(t) for t, _, tight in rows.values() if tight)
+    out = {}
+    for k, (t, numbered, tight) in rows.items():
         same = _same(t)
-        if any(at < k and _alike(same, title) for title, at in titles.items()) and (numbered or not _HEADER.match(_plain(lines[k - 1]).strip())):
-            out.add(k)
-        elif numbered and len(t) > 6 and (t[0].isupper() or _REPLY.match(t)):
+        letters = [c for c in t if c.isalpha()]
+        caps = sum(c.isupper() for c in letters) > 0.85 * max(len(letters), 1) and len(t.split()) >= 3
+        title = any(at < k and _alike(same, x) for x, at in titles.items()) and (numbered or not _HEADER.match(_plain(lines[k - 1]).strip()))
+        out[k] = Candidate(t, numbered, tight, title, again[same] > 1, caps)
+    return out
+
+
+def running(lines: list[str], kinds: list[str], model: Perceptron | None = None) -> set[int]:
+    """The places of running lines: stamps, and candidates that the line classifier takes for such; without one, those that are sure."""
+    out = {k for k, kind in enumerate(kinds) if kind == "stamp"}
+    for k, c in candidates_of(lines, kinds).items():
+        if c.sure(k) if model is None else model.best(line_features(lines, k, kinds) + c.features(k)) == "running":
             out.add(k)
-        elif tight and k > 3 and t[0].isupper() and t[-1] not in ",;:?!" and not _HEADER.match(t):
-            letters = [c for c in t if c.isalpha()]
-            caps = sum(c.isupper() for c in letters) > 0.85 * max(len(letters), 1) and len(t.split()) >= 3
-            if caps and "," not in t[:-4]:
-                out.add(k)
-            elif model is not None and (again[same] > 1 or t[-1] != "."):
-                features = line_features(lines, k, kinds)
-                # Besides the verdict on the whole, its beginning must be known from titles.
-                begins = model.scores([f for f in features if f.startswith(("two=", "first="))])
-                if begins.get("running", 0) > begins.get("text", 0) and model.best(features) == "running":
-                    out.add(k)
     return out
 
 
 # ---------------------------------------------------------------- the character editor
 
 
-def char_features(word: str, k: int) -> list[str]:
-    p = f"^^^{word}$$$"
-    i = k + 3
-    c = p[i]
-    return [
-        "c" + c,
-        "l" + p[i - 1] + c,
-        "r" + c + p[i + 1],
-        "t" + p[i - 1] + c + p[i + 1],
-        "ll" + p[i - 2 : i + 1],
-        "rr" + p[i : i + 3],
-        "w" + p[i - 2 : i + 3],
-        "v" + p[i - 1] + "_" + p[i + 1],
-    ]
+def edit_features(word: str, k: int, seen: str, made: str) -> list[str]:
+    """Features of one operation on ``word``: ``seen`` at place ``k`` becomes ``made``."""
+    p = f"^^{word}$$"
+    left, right = p[k : k + 2], p[k + 2 + len(seen) : k + 4 + len(seen)]
+    op = f"{seen}>{made}"
+    kind = "delete" if not made else "insert" if seen and seen in made else "replace"
+    at = "begin" if k == 0 else "end" if k + len(seen) == len(word) else "mid"
+    return [kind, kind + at, "o" + op, f"o{op}{at}", f"l{left[1]}{op}", f"r{op}{right[0]}", f"b{left[1]}{op}{right[0]}", f"w{left}{op}", f"x{op}{right}"]
 
 
 def operations(seen: str, true: str) -> list[str]:
@@ -241,15 +278,22 @@ def apply_operations(seen: str, ops: list[str]) -> str:
     return "".join("" if o == "delete" else o[1:] if o[0] == "=" else c for c, o in zip(seen, ops, strict=True))
 
 
+def _grade(x: float) -> int:
+    """A share or ratio on a scale of half powers of two, from -40 to 40."""
+    return max(-40, min(40, math.floor(2 * math.log2(x)))) if x > 0 else -40
+
+
 @dataclass
 class Model:
-    """All that tasks need: word counts, the editor and its confusions, the line classifier."""
+    """All that tasks need: word counts, the operations and the editor, the joiner, the line classifier and the stamps."""
 
     words: dict[str, int]
     documents: int
-    editor: Perceptron = field(default_factory=Perceptron)
+    editor: Ranker = field(default_factory=Ranker)
     confusions: dict[str, list[str]] = field(default_factory=dict)
+    joiner: Ranker = field(default_factory=Ranker)
     lines: Perceptron | None = None
+    stamps: frozenset[str] = frozenset()
 
     def __post_init__(self):
         self.floor = max(1.0, SHARE * self.documents)
@@ -257,63 +301,83 @@ class Model:
         self.shield = max(3.0, 0.01 * self.documents)
         self.known: dict[str, str | None] = {}
         self.longest = max(map(len, self.confusions), default=1)
+        self.prefixes = {w[:k] for w in self.words for k in range(len(w) + 1)}
+        self.signs = {a for a in self.confusions if len(a) == 1 and not a.isalpha()}
 
     def count(self, word: str) -> float:
         return self.words.get(word, 0)
 
+    def own(self, word: str) -> float:
+        """How often a word occurs as it stands; one that the list lacks counts as the rarest of it."""
+        return max(self.count(word), self.floor * 0.25)
+
     def frequent(self, word: str) -> bool:
         return self.words.get(word, 0) >= self.shield
 
+    def edits(self, word: str) -> list[tuple[str, list[tuple[int, str, str]]]]:
+        """Listed words that one operation, and one more for every five letters, makes of ``word``; found along the list's prefixes."""
+        n, most, out = len(word), 1 + len(word) // 5, []
+        stack: list[tuple[int, str, list]] = [(0, "", [])]
+        while stack:
+            k, made, done = stack.pop()
+            if k == n:
+                if done and made in self.words and made != word:
+                    out.append((made, done))
+                continue
+            if made + word[k] in self.prefixes:
+                stack.append((k + 1, made + word[k], done))
+            if len(done) < most:
+                for length in range(1, min(self.longest, n - k) + 1):
+                    for new in self.confusions.get(word[k : k + length], ()):
+                        if made + new in self.prefixes:
+                            stack.append((k + length, made + new, [*done, (k, word[k : k + length], new)]))
+        return out
+
+    def keep_features(self, word: str) -> list[str]:
+        n = len(word)
+        return ["keep", f"keep{_grade(self.count(word) / max(self.documents, 1)) // 2}", f"keeplen{min(n, 8)}", f"keepsign{not word.isalpha()}"]
+
+    def candidate_features(self, word: str, made: str, edits: list[tuple[int, str, str]]) -> list[str]:
+        out = [f for k, a, b in edits for f in edit_features(word, k, a, b)]
+        n = self.count(made)
+        if not n:
+            return [*out, "made=no"]
+        ratio = _grade(n / self.own(word))
+        ops = "+".join(sorted(f"{a}>{b}" for _, a, b in edits))
+        out += [f"edits{len(edits)}", f"made{_grade(n / max(self.documents, 1)) // 2}", f"few{n < 2}", f"ratio{ratio}", f"{ops}ratio{ratio // 2}", f"edits{len(edits)}ratio{ratio // 2}"]
+        # Steps of the ratio, so that what holds for one holds for all above it.
+        return out + [f"ratio>={x}" for x in range(0, min(ratio, 20) + 1)]
+
+    def choices(self, word: str) -> list[tuple[str, list[str]]]:
+        """(what the word becomes, features), to keep it first. A sign in a word may be a misread letter though no listed word comes of it."""
+        out = [(word, self.keep_features(word))]
+        out += [(made, self.candidate_features(word, made, done)) for made, done in sorted(self.edits(word))]
+        if any(c in self.signs for c in word):
+            for k, c in enumerate(word):
+                for new in self.confusions[c] if c in self.signs else ():
+                    out.append((word[:k] + new + word[k + 1 :], self.candidate_features(word, "", [(k, c, new)])))
+        return out
+
     def correct(self, word: str) -> str | None:
-        """The true form of a wrongly read word (lower case), or None where it stands as it is."""
+        """What the editor makes of a word (lower case), or None where keeping it scores highest."""
         if word in self.known:
             return self.known[word]
         if len(self.known) > 400_000:
             self.known.clear()
-        got = self.known[word] = self._correct(word)
+        got = None
+        if len(word) > 1:
+            choices = self.choices(word)
+            if len(choices) > 1 and (at := self.editor.choose([f for _, f in choices])):
+                got = choices[at][0]
+        self.known[word] = got
         return got
 
-    def _correct(self, word: str) -> str | None:
-        n = len(word)
-        if n < 3 or n > 40:
-            return None
-        own = max(self.count(word), self.floor * 0.25)
-        if own >= self.documents / RATIO:
-            return None
-        best, found = None, None
-        single = []
-        for k in range(n):
-            scores = None
-            for length in range(1, self.longest + 1):
-                for new in self.confusions.get(word[k : k + length], ()) if k + length <= n else ():
-                    if scores is None:
-                        scores = self.editor.scores(char_features(word, k))
-                    margin = scores.get("=" + new if new else "delete", 0.0) - scores.get("keep", 0.0)
-                    single.append((margin, k, length, new))
-        single.sort(key=lambda x: -x[0])
-        tried = []
-        for margin, k, length, new in single:
-            made = word[:k] + new + word[k + length :]
-            tried.append((made, margin, k))
-            c = self.count(made)
-            if c >= RATIO * own and c >= 2 and (best is None or margin > best):
-                best, found = margin, made
-        if found is None and n >= 5:
-            for made, margin, k in tried[:6]:
-                for m2, k2, length, new in single[:24]:
-                    if k2 >= k + 1 and made[k2 + len(made) - n : k2 + len(made) - n + length] == word[k2 : k2 + length]:
-                        at = k2 + len(made) - n
-                        twice = made[:at] + new + made[at + length :]
-                        if self.count(twice) >= RATIO * own and self.count(twice) >= 2 and (best is None or margin + m2 > best):
-                            best, found = margin + m2, twice
-        return found
-
     def misread(self, token: str) -> str | None:
         """The corrected token if it holds a wrongly read word, else None."""
         core = token.strip(_EDGE).strip("-¬\xad").strip(_EDGE)
         if len(core) == 2 and not core.isalpha() and any(c.isalpha() for c in core):
-            made = {core.lower().replace(a, b, 1) for a, bs in self.confusions.items() if not a.isalpha() and a in core for b in bs}
-            return next((x for x in sorted(made) if self.frequent(x)), None)
+            made = self.correct(core.lower())
+            return made if made and self.frequent(made) else None
         if len(core) < 3 or any(c in _ON_PURPOSE for c in core):
             return None
         low = core.lower()
@@ -336,14 +400,7 @@ class Model:
                 return made
             made = [p if self.frequent(p.lower()) or len(p) < 3 else self.correct(p.lower()) or p for p in parts]
             return "-".join(made) if made != parts and all(self.frequent(m.lower()) for m in made) else None
-        made = self.correct(low) if odd or len(core) > 3 else None
-        if made:
-            return made
-        if odd and core[0].isalpha():
-            # A sign within a word that is no letter: a name with a misread letter.
-            if any(c in "¢†|" for c in core) or re.search(r"[^\W\d_]\d[^\W\d_]", core) and not re.search(r"\d.*\d", core):
-                return core
-        return None
+        return self.correct(low) if odd and core[0].isalpha() or len(core) > 3 or odd and self.edits(low) else None
 
     def _mixed(self, core: str) -> str | None:
         """Small l read for I within capitals."""
@@ -352,27 +409,31 @@ class Model:
             return made if self.count(made) else core
         return None
 
-    def joins(self, left: str, right: str, sign: str) -> bool:
-        """Whether a word that ends a line in a hyphen goes on in the next line's first word."""
-        if sign in "¬\xad":
-            return True
+    def join_features(self, left: str, right: str, sign: str, counted: bool = True) -> list[str]:
+        """Features of joining a word that ends a line in a hyphen to the next line's first word; without counts of the whole if not ``counted``."""
         l, r = left.lower(), right.lower()
-        joined, compound = self.count(l + r), self.count(l + "-" + r)
-        if joined or compound:
-            return joined >= compound
-        if "-" in l:  # a part of a compound of which only the last piece is broken
-            return self.joins(l.rpartition("-")[2], r, sign)
-        if self.correct(l + r):
-            return True
-        if l in ("mid", "non", "self", "ex", "half", "pre", "post") or (self.frequent(l) and self.frequent(r) and len(l) > 3 and len(r) > 3 and self.count(l) * self.count(r) > (self.documents * 0.02) ** 2):
-            return False
-        return True
+        out = ["join", "sign" + sign, f"left{min(len(l), 6)}", f"right{min(len(r), 6)}"]
+        last = l.rpartition("-")[2]  # a part of a compound of which only the last piece is broken
+        joined, compound = (max(self.count(l + r), self.count(last + r)), max(self.count(l + "-" + r), self.count(last + "-" + r) if last != l else 0)) if counted else (0, 0)
+        evidence = "none" if not joined and not compound else "joined" if joined >= compound else "compound"
+        if evidence == "none" and counted and self.correct(l + r):
+            evidence = "corrected"
+        fl, fr = self.frequent(last), self.frequent(r)
+        both = _grade(self.count(last) * self.count(r) / max(self.documents, 1) ** 2) // 4 if fl and fr and len(last) > 3 and len(r) > 3 else "no"
+        out += ["is" + evidence, f"words{fl}{fr}{evidence}", f"both{both}{evidence}", f"long{len(last) > 3}{len(r) > 3}{fl}{fr}{evidence}", f"only{fl}{fr}{len(last) > 3}"]
+        if len(last) <= 4:
+            out += [f"first={last}", f"first={last}{evidence}"]
+        return out
+
+    def joins(self, left: str, right: str, sign: str) -> bool:
+        """Whether the joiner takes a word that ends a line in a hyphen to go on in the next line's first word."""
+        return self.joiner.score(self.join_features(left, right, sign)) > 0
 
 
 def parse(text: str, model: Model) -> dict:
     """Lines, kinds of noise, joins and corrections of one text."""
     lines = text.split("\n")
-    kinds = known_kinds(lines)
+    kinds = known_kinds(lines, model.stamps)
     heads = running(lines, kinds, model.lines)
     pages = {k for k, kind in enumerate(kinds) if kind == "page_no" and k not in heads}
     furniture = heads | pages
@@ -512,7 +573,7 @@ def repair(text: str, model: Model) -> str:
 
 
 def word_counts(df: DataFrame, text: str = "full_text") -> DataFrame:
-    """word, n: in how many documents each mid-line word occurs as written; counted per task before the shuffle."""
+    """word, n: in how many documents each mid-line word occurs as written, and, behind a #, each stamp; counted per task before the shuffle."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         import folioscope.llm.scans as here
@@ -522,6 +583,7 @@ def word_counts(df: DataFrame, text: str = "full_text") -> DataFrame:
             for t in b[text]:
                 if t:
                     c.update(set(here.WORD.findall(here._BROKEN.sub(" ", t) if "\n" in t else t)))
+                    c.update("#" + x for x in here.rising_stamps(t))
             if len(c) > 300_000:
                 yield pd.DataFrame({"word": list(c), "n": list(c.values())})
                 c = Counter()
@@ -566,8 +628,8 @@ def _sample(df: DataFrame, key: str, text: str, most: int, documents: int) -> li
     """
     h = F.xxhash64(key)
     cut_at = min(1 << 20, int((1 << 20) * 2 * most / max(documents, 1)) + 1)
-    rows = df.filter(F.col(text).isNotNull() & (F.pmod(h, F.lit(1 << 20)) < cut_at)).select(text, F.pmod(h, F.lit(1 << 20)).alias("_p"), h.alias("_h"))
-    return [r[0] for r in rows.orderBy("_p", "_h").limit(most).select(F.substring(text, 1, 20000)).collect()]
+    rows = df.filter((F.char_length(text) <= SAMPLE_CHARS) & (F.pmod(h, F.lit(1 << 20)) < cut_at)).select(text, F.pmod(h, F.lit(1 << 20)).alias("_p"), h.alias("_h"))
+    return [r[0] for r in rows.orderBy("_p", "_h").limit(most).select(text).collect()]
 
 
 def train(df: DataFrame, key: str = "doc_id", text: str = "full_text") -> Model:
@@ -578,44 +640,104 @@ def train(df: DataFrame, key: str = "doc_id", text: str = "full_text") -> Model:
     rows = kept.limit(MOST_WORDS + 1).collect()
     if len(rows) > MOST_WORDS:
         raise ValueError("the word list exceeds its bound")
+    counted = {r["word"]: r["n"] for r in rows}
+    return fit(counted, documents, _sample(df, key, text, SAMPLE, documents))
+
+
+def fit(counted: dict[str, int], documents: int, sample: list[str]) -> Model:
+    """The model of counted words and stamps and a sample of texts."""
     words: dict[str, int] = defaultdict(int)
     small: Counter = Counter()
-    for r in rows:
-        words[r["word"].lower()] += r["n"]
-        if r["word"][0].islower():
-            small[r["word"].lower()] += r["n"]
+    stamps = frozenset(w[1:] for w, n in counted.items() if w[0] == "#" and n >= max(2, SHARE * documents))
+    for w, n in counted.items():
+        if w[0] != "#":
+            words[w.lower()] += n
+            if w[0].islower():
+                small[w.lower()] += n
     words = dict(words)
-    sample = _sample(df, key, text, SAMPLE, documents)
     # Forms with signs are no words for the counts; they come from the sample.
     signed = Counter(t.strip(_EDGE).lower() for x in sample for t in x.split() if _SIGNED.fullmatch(t.strip(_EDGE)))
     known = words | {w: min(n, 1) for w, n in signed.items() if w not in words}
     # Typing errors in names must not pass for misreading: names stand almost never in small letters.
     pairs = [(w, v) for w, v in _confusable(known, max(documents, 1)) if small[v] > 0.2 * words[v]][:PAIRS]
-    uses: Counter = Counter()
-    aligned = []
+    uses, inner = Counter(), Counter()
     for seen, true in pairs:
         ops = operations(seen, true)
         edits = _edits(seen, ops)
         if len(edits) == 1:
-            uses[edits[0]] += 1
-            aligned.append((seen, ops, edits[0]))
-    # A confusion counts if different words show it, more often than typing errors would.
-    enough = max(3, len(aligned) // 450)
+            a, b = edits[0]
+            uses[a, b] += 1
+            inner[a, b] += ops[0] == "keep" and ops[-1] == "keep" and small[true] > 0.8 * words[true]
+    # An operation counts if different words show it, more often than typing errors would. Insertions and deletions must show within words:
+    # at their ends they come from pieces of words. What is confused in one direction needs less to be believed in the other, if it is a group of letters.
+    enough = max(3, sum(uses.values()) // 450)
     confusions: dict[str, list[str]] = defaultdict(list)
+    trusted = set()
     for (a, b), n in sorted(uses.items()):
-        # Pure insertions and deletions come from pieces of words and typing errors, not from misreading. What is confused
-        # in one direction needs less to be believed in the other, if it is a group of letters.
-        turned = len(a) + len(b) > 2 and uses[b, a] >= enough and n >= 2
-        if (n >= enough or turned) and a and b and a not in b and b not in a and unicodedata.normalize("NFKC", a) == a:
-            confusions[a].append(b)
-    examples = []
-    for seen, ops, edit in aligned:
-        if edit[1] in confusions.get(edit[0], ()):
-            examples += [(char_features(seen, k), o) for k, o in enumerate(ops)]
-    clean = sorted((w for w, n in words.items() if n >= documents * 0.01), key=lambda w: (-words[w], w))[:1500]
-    examples += [(char_features(w, k), "keep") for w in clean for k in range(len(w))]
-    editor = Perceptron().train(examples, rounds=4) if examples else Perceptron({}, ["keep"])
-    return Model(words, documents, editor, dict(confusions), train_lines(sample))
+        if not a or unicodedata.normalize("NFKC", a) != a or not (n >= enough or len(a) + len(b) > 2 and uses[b, a] >= enough and n >= 2):
+            continue
+        confusions[a].append(b)
+        if b and a not in b and b not in a or inner[a, b] >= enough:
+            trusted.add((a, b))
+    model = Model(words, documents, Ranker(), dict(confusions), stamps=stamps)
+    model.editor.train(_editor_examples(model, known, trusted), rounds=6)
+    model.known.clear()
+    model.joiner.train(_joiner_examples(model, sample), rounds=6)
+    model.lines = train_lines(sample, stamps)
+    return model
+
+
+def _editor_examples(model: Model, known: dict[str, int], trusted: set[tuple[str, str]]) -> list[tuple[list[list[str]], int]]:
+    """Words with what becomes of them: a word that trusted operations turn into one ``RATIO`` times as frequent is a misread form, others are kept."""
+    out, left = [], {True: PAIRS, False: 3 * PAIRS}
+    for word in sorted(known, key=lambda w: (-known[w], w)):
+        made = sorted(model.edits(word)) if len(word) > 1 else []
+        if not made:
+            continue
+        own, best = model.own(word), None
+        if own < min(model.shield, model.documents / RATIO):
+            good = [(-len(done), model.count(m), m, k) for k, (m, done) in enumerate(made, 1) if model.count(m) >= max(2, RATIO * own) and all((a, b) in trusted for _, a, b in done)]
+            best = max(good) if good else None
+        if left[best is not None] <= 0:
+            continue
+        left[best is not None] -= 1
+        keep = model.keep_features(word)
+        out.append(([keep, *(model.candidate_features(word, m, done) for m, done in made)], best[3] if best else 0))
+        if best and any(c in model.signs for c in word):
+            # The same form as if no list had the word that it makes.
+            k, a, b = made[best[3] - 1][1][0]
+            alone = model.candidate_features(word, "", [(k, a, b)])
+            out.append(([keep, alone], 1))
+            out.append(([keep, [f for f in alone if f[0] not in "lrbwx" or f == "replace"]], 1))
+    return out
+
+
+def _joiner_examples(model: Model, sample: list[str]) -> list[tuple[list[list[str]], int]]:
+    """Line ends of the sample that the counts settle, compounds of the list, and words of the list cut in two; each also as if it were not counted."""
+    out = []
+
+    def add(l: str, r: str, sign: str, join: bool, counted: bool = True) -> None:
+        out.append(([[], model.join_features(l, r, sign, counted)], int(join)))
+
+    for t in sample:
+        for m in re.finditer(r"([^\W\d_][\w'’]*)([-¬\xad])[ \t]*\r?\n[> \t]*([^\W\d_][\w'’]*)", t):
+            l, r = m[1].lower(), m[3].lower()
+            joined, compound = model.count(l + r), model.count(l + "-" + r)
+            if m[2] != "-" or joined or compound:
+                add(l, r, m[2], m[2] != "-" or joined >= compound)
+                if m[2] != "-" or joined > 4 * compound or compound > 4 * joined:
+                    add(l, r, m[2], m[2] != "-" or joined >= compound, False)
+    for w in sorted(model.words, key=lambda w: (-model.words[w], w))[:PAIRS]:
+        if "-" in w:
+            l, _, r = w.rpartition("-")
+            if l and r and model.count(l + r) < model.count(w):
+                add(l, r, "-", False)
+                add(l, r, "-", False, False)
+        elif len(w) >= 6 and w.isalpha():
+            for k in {2 + hash_of(w) % (len(w) - 3), len(w) // 2}:
+                add(w[:k], w[k:], "-", True)
+                add(w[:k], w[k:], "-", True, False)
+    return out
 
 
 def _edits(seen: str, ops: list[str]) -> list[tuple[str, str]]:
@@ -634,22 +756,30 @@ def _edits(seen: str, ops: list[str]) -> list[tuple[str, str]]:
     return out
 
 
-def train_lines(texts: list[str]) -> Perceptron | None:
-    """Examples: titles that come again at a page's end are running lines; lines elsewhere are text, also as if they stood at a page's end."""
+def train_lines(texts: list[str], stamps: frozenset[str] = frozenset()) -> Perceptron | None:
+    """Examples: sure candidates are running lines, also as if their title were not known; candidates that begin or end within a sentence, and lines elsewhere, as if they stood at a page's end, are text."""
     examples = []
     for t in texts:
         lines = t.split("\n")
-        kinds = known_kinds(lines)
-        sure = running(lines, kinds)
+        kinds = known_kinds(lines, stamps)
+        found = candidates_of(lines, kinds)
         for k, kind in enumerate(kinds):
             if kind != "text":
                 continue
-            if k in sure:
-                examples.append((line_features(lines, k, kinds), "running"))
+            if k in found and found[k].sure(k):
+                c = found[k]
+                examples.append((line_features(lines, k, kinds) + c.features(k), "running"))
+                if c.tight and k > 3 and not c.numbered:
+                    examples.append((line_features(lines, k, kinds) + replace(c, title=False, again=False).features(k), "running"))
+            elif k in found and (found[k].text[0].islower() or found[k].text[-1] in ",;:?!") and not found[k].again:
+                examples.append((line_features(lines, k, kinds) + found[k].features(k), "text"))
             elif k > 5 and hash_of(lines[k]) % 3 == 0 and not any(0 <= j < len(kinds) and kinds[j] in ("page_no", "stamp") for j in range(k - 2, k + 3)):
                 moved = list(kinds)
                 moved[k - 1] = ("stamp", "page_no")[hash_of(lines[k]) // 3 % 2]
-                examples.append((line_features(lines, k, moved), "text"))
+                s = _plain(lines[k]).strip()
+                letters = [c for c in s if c.isalpha()]
+                caps = sum(c.isupper() for c in letters) > 0.85 * max(len(letters), 1) and len(s.split()) >= 3
+                examples.append((line_features(lines, k, moved) + Candidate(s, False, True, False, False, caps).features(k), "text"))
     return Perceptron().train(examples, rounds=4) if any(y == "running" for _, y in examples) else None
 
 
@@ -660,13 +790,13 @@ def hash_of(s: str) -> int:
 
 
 def _with_model(df: DataFrame, key: str, text: str, model: Model, schema: str, row):
-    shared = df.sparkSession.sparkContext.broadcast((model.words, model.documents, model.editor.weights, model.editor.labels, model.confusions, model.lines and (model.lines.weights, model.lines.labels)))
+    shared = df.sparkSession.sparkContext.broadcast((model.words, model.documents, model.editor.weights, model.confusions, model.joiner.weights, model.lines and (model.lines.weights, model.lines.labels), model.stamps))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         import folioscope.llm.scans as here
 
-        words, documents, weights, labels, confusions, lines = shared.value
-        m = here.Model(words, documents, here.Perceptron(weights, labels), confusions, here.Perceptron(*lines) if lines else None)
+        words, documents, weights, confusions, joiner, lines, stamps = shared.value
+        m = here.Model(words, documents, here.Ranker(weights), confusions, here.Ranker(joiner), here.Perceptron(*lines) if lines else None, stamps)
         for b in batches:
             made = row(b, m)
             if len(made):

@@ -1,9 +1,12 @@
 import random
+from collections import Counter
+from dataclasses import replace
 
 import pytest
 
 from folioscope.llm import scans
-from folioscope.llm.perceptron import Perceptron
+from folioscope.llm.perceptron import Perceptron, Ranker
+from folioscope.tables import table
 
 WORDS = (
     "the committee described a printed charter about the harbor while our office recorded the first-hand statement and the well-known manager returned every document before the winter conference closed "
@@ -87,6 +90,37 @@ def test_edges(spark, made):
     assert scans.found(d, empty).filter("kind = 'misread'").count() == 0
 
 
+def test_the_editor_decides(spark):
+    """Without the weights of the editor and the joiner no word is corrected or joined; without those of the line classifier running lines are lost."""
+    d = table(spark, "/root/testdata/sf0.01", "documents")
+    model = scans.train(d)
+    blank = replace(model, editor=Ranker(), joiner=Ranker(), lines=Perceptron({}, model.lines.labels))
+    full, none = (Counter(r.kind for r in scans.found(d, m).collect()) for m in (model, blank))
+    assert full["misread"] > 1000 and none["misread"] < 0.1 * full["misread"]
+    assert full["broken_word"] > 1000 and none["broken_word"] == 0
+    assert none["running"] != full["running"] and none["page_no"] == full["page_no"]
+
+
+def test_editor_learns_to_insert_and_delete():
+    """Where a scanner drops and doubles letters within words, the corpus teaches both operations; forms cut at their ends teach none."""
+    words = [a + b + c for a in ("har", "gol", "mis", "ver", "tan") for b in ("den", "tem", "rop", "fib") for c in ("ous", "ary", "ing", "ment")]
+    counted = dict.fromkeys(words, 600)
+    for w in words[::2]:
+        counted[w[:3] + w[4:]] = 3  # the first letter of the middle part is dropped
+        counted[w[:2] + w[2] * 2 + w[3:]] = 3  # a letter is doubled
+    for w in words[1::8]:
+        counted[w[:-1]] = 4
+    model = scans.fit(counted, 10_000, [])
+    made = [model.correct(w[:2] + w[2] * 2 + w[3:]) == w for w in words[1::2]] + [model.correct(w[:3] + w[4:]) == w for w in words[1::2]]
+    assert sum(made) >= 0.7 * len(made)
+    assert sum(model.correct(w) is not None for w in words) == 0
+
+
+def test_stamps_rise_from_page_to_page():
+    assert scans.rising_stamps("SHEET 00041\nx\nSHEET 00042\ny\nCase 12345\nz\nCase 12345\n") == {"sheet"}
+    assert scans.stamp_of("call +1 555 0199 12345 now") is None and scans.stamp_of("ABC-OO123") == ("abc-", 123)
+
+
 def test_operations_round_trip():
     for seen, true in (("crevv", "crew"), ("vincyard", "vineyard"), ("declined", "dedined"), ("fr0m", "from"), ("x", "x")):
         ops = scans.operations(seen, true)
