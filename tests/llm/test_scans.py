@@ -103,12 +103,12 @@ def test_the_editor_decides(spark):
 
 def test_editor_learns_to_insert_and_delete():
     """Where a scanner drops and doubles letters within words, the corpus teaches both operations; forms cut at their ends teach none."""
-    words = [a + b + c for a in ("har", "gol", "mis", "ver", "tan") for b in ("den", "tem", "rop", "fib") for c in ("ous", "ary", "ing", "ment")]
+    words = [a + b + c for a in ("har", "gol", "mis", "ver", "tan") for b in ("den", "tem", "rop", "fib") for c in ("ous", "ary", "ing", "ment", "ive", "al", "ful", "ish", "or", "ant")]
     counted = dict.fromkeys(words, 600)
     for w in words[::2]:
         counted[w[:3] + w[4:]] = 3  # the first letter of the middle part is dropped
         counted[w[:2] + w[2] * 2 + w[3:]] = 3  # a letter is doubled
-    for w in words[1::8]:
+    for w in words[1::16]:
         counted[w[:-1]] = 4
     model = scans.fit(counted, 10_000, [])
     made = [model.correct(w[:2] + w[2] * 2 + w[3:]) == w for w in words[1::2]] + [model.correct(w[:3] + w[4:]) == w for w in words[1::2]]
