@@ -1,11 +1,14 @@
 """Abusive, hateful or sexual content (problem 10).
 
-A lexicon of terms is held as a trie. Each word of a text is matched against it by a Levenshtein automaton run over the
-trie, after undoing disguises: signs for letters, stretched letters, spaced-out letters, starred-out letters, words broken
-over lines. Matched terms carry roles (insult, group, degrading word, explicit word, threat, address, report ...), and the roles
-that meet in the window of one sentence are scored for each kind: an insult counts with an address or threat near it, a degrading
-word with a group, an explicit word with another one; words of report, rule, medicine, art or farm work in the same
-window take from the score. Lexicon, weights and threshold are fixed parameters; nothing depends on the size of the corpus.
+A general lexicon of single words is held as a trie. A word of a text that is in no list is matched by a Levenshtein automaton that walks the
+trie in step with it: a sign that stands for a letter, a stretched letter and a starred-out letter cost nothing, any other difference an
+error, and the errors allowed grow with the length of the term. Spaced-out letters and words broken over lines are put together before.
+
+Matched words carry roles (insult, violence, part of the body, people, degrading word, explicit word ...). What is
+scored is the window of one sentence: an insult counts with an address, a threat or a rhetorical question, a degrading word with people
+it is said of, an explicit word with others of its field. Words of report, rule, medicine, art, farming or pest control in the same window take from the
+score, which parts quotation from abuse. Lexicon, weights and threshold are stated below; they are general, were not
+fitted to labels, and depend on no size of the corpus.
 """
 
 from __future__ import annotations
@@ -20,330 +23,286 @@ from pyspark.sql import functions as F
 
 from folioscope.session import spread
 
-# The lexicon. For each role its single words, between blanks, and its phrases, between semicolons.
+# The lexicon, by role. Single words of English, German, French, Spanish and Norwegian.
 LEXICON = {
-    "insult": (
-        "idiot moron imbecile cretin loser scumbag lowlife bitch bastard pig asshole shithead dickhead whore slut prick wanker dumbass jerk "
-        "idiots morons imbeciles cretins losers bastards idiota imbécil gilipollas cabrón drittsekk kødd jævel idioten arschloch trottel dreckskerl "
-        "mistkerl schwachkopf idiotin drecksau miststück hure fotze connard connasse salaud salope abruti crétin crétine imbécile merde ordure pute wichser "
-        "pendejo cabrona zorra puta payaso estúpido estúpida drittunge hore fitte kuksuger taper",
-        "piece of shit; piece of trash; hijo de puta; de mierda; pauvre con; stück scheiße; stück dreck",
-    ),
-    "slur": (
-        "rotten filthy useless worthless fucking pathetic stupid brainless spineless disgusting lying inútil jævla udugelige stygge dumme verdammte verdammter verdammtes dummer dummes blöder blödes dreckiger dreckiges wertloses wertloser inutile pauvre sale stupide asqueroso maldito maldita",
-        "",
-    ),
-    "threat": (
-        "ferme-la verpiss",
-        "picking up your teeth; break both legs; break your legs; dropped dead; drop dead; choke on your; drag you out; go to hell; back under your rock; "
-        "hold kjeft; halt die; halt dein; halt deine; ferme ta; ta gueule; va te faire; la boca; te voy a matar; ich bringe dich um; je vais te; kill you; "
-        "hunt you down; watch your back; shut your; what kind of; you will regret",
-    ),
-    "address": (
-        "you your you're yourself listen du din deg dir dein deine deinen tu te ton ta toi eres bist",
-        "tell that; vous êtes",
-    ),
-    "group": (
-        "immigrants foreigners refugees gypsies unbelievers infidels jews muslims migrants homosexuals cripples étrangers immigrés extranjeros inmigrantes "
-        "innvandrere utlendinger flyktninger ausländer einwanderer flüchtlinge zigeuner",
-        "people of that faith; their whole race; disabled people; these people; those people",
-    ),
-    "degrade": (
-        "vermin parasites subhuman filth subhumans skadedyr vermine parasiten ungeziefer untermenschen abschaum alimañas ratas racaille rats cockroaches",
-        "subhuman filth; animals not people; a disease; born criminals; inferior breed; an inferior breed; breed like; una plaga",
-    ),
-    "expel": (
-        "exterminated drowned sterilised sterilized deported gassed utryddes exterminer exterminarlos ausgerottet vernichtet vertrieben",
-        "exterminate them; shipped off; shipped off and drowned; driven out; locked up; wiped out; jages ut",
-    ),
-    "hatred": (
-        "",
-        "would never rent to; blood is cleaner; only good thing about; do not want; every single one; keep them away; proven fact; before it is too late; "
-        "ought to be; should be; ut av landet; hay que; il faut",
-    ),
-    "explicit": (
-        "cock pussy ass nipples tits dick cunt fuck fucked fucking orgasm threesome porn hardcore horny blowjob cum licked xxx knulle follarte follar ficken baiser",
-        "rough sex; made me hard; so wet; get hard; how hard; wet ass",
-    ),
-    "intimate": (
-        "naked nude moaned breasts thighs underwear lover kissed naken nackt nue desnuda",
-        "undress you; bed tonight; my bed; all night long; screaming with; sweating and spent; adults only; live on camera; he came; im bett; en mi cama; "
-        "i sengen; mon lit; toute la nuit; toda la noche; hele natten; ganze nacht",
-    ),
-    "report": (
-        "handbook policy harassment statute counsel assault elements clinic cancer museum marble figure novel praised bill committee exterminator warehouse "
-        "farm welcomed wept aloud naked-eye printer seminar testified curriculum definition",
-        "felt like; words such; no place in; love scene; read the threat; hate crime",
-    ),
+    "insult": "idiot idiots moron morons imbecile imbeciles cretin cretins loser losers scumbag scumbags lowlife bitch bitches bastard bastards pig pigs asshole assholes shithead dickhead whore slut prick wanker dumbass jerk dimwit halfwit nitwit dunce fool dolt "
+    "douchebag motherfucker cocksucker twat tosser arsehole trash shit coward liar "
+    "idiota imbécil gilipollas cabrón cabrona pendejo puta zorra mierda estúpido estúpida payaso tonto drittsekk kødd jævel idioten drittunge hore fitte kuksuger tosk arschloch trottel dreckskerl mistkerl schwachkopf idiotin drecksau miststück hure fotze wichser dummkopf scheiße "
+    "connard connasse salaud salope abruti crétin crétine imbécile merde ordure pute con enculé",
+    "slur": "rotten filthy useless worthless fucking pathetic stupid brainless spineless disgusting lying miserable ugly dumb inútil jævla udugelige stygge dumme dum verdammte verdammter verdammtes dummer dummes blöder blödes dreckiger dreckiges wertloses wertloser inutile pauvre sale stupide asqueroso maldito maldita",
+    "violence": "kill killed killing murder break breaking broken choke strangle stab shoot beat smash crush hang burn bury drown drag hunt hurt punch rape die dead slit cut bleed bringe töten umbringen matar matarte tuer crever drepe",
+    "body": "legs teeth neck throat bones skull face jaw knees arms fingers mouth head guts boca dents cou hals beine zähne maul kjeft gueule",
+    "contempt": "shut hell listen rock crawl nobody regret back miss ferme hold halt cállate verpiss foutre watch",
+    "address": "you your you're yourself du din deg dir dein deine deinen tu te ton ta toi eres ti usted vous votre",
+    "self": "felt myself feel",
+    "group": "immigrants immigrant foreigners refugees gypsies unbelievers infidels jews muslims christians hindus migrants homosexuals gays blacks whites mexicans cripples disabled race faith étrangers immigrés extranjeros inmigrantes innvandrere utlendinger flyktninger ausländer einwanderer flüchtlinge zigeuner tribe",
+    "collective": "all every people they them those these their esos ces diese slike",
+    "degrade": "vermin parasites subhuman subhumans filth scum skadedyr vermine parasiten ungeziefer untermenschen abschaum alimañas racaille",
+    "lowly": "animals disease plague criminals breed inferior rats ratas cockroaches rabbits savages beasts plaga pest swine cleaner purer",
+    "destroy": "exterminate exterminated drowned sterilised sterilized deported gassed eradicated annihilated utryddes exterminer exterminarlos ausgerottet vernichtet",
+    "expel": "driven shipped locked wiped banned jages vertrieben expelled caged",
+    "explicit": "cock cocks pussy ass nipples tits dick cunt fuck fucked orgasm threesome porn hardcore horny blowjob cum xxx licked sex knulle follarte follar ficken baiser handjob masturbate",
+    "intimate": "naked nude moaned breasts thighs underwear lover kissed undress panties naken nackt nue desnuda erotic",
+    "heat": "hot wet hard rough bed night tonight sweating screaming spent slowly adults live cama lit sengen natten nacht noche nuit",
+    "frame": "handbook policy harassment statute counsel assault elements training curriculum definition rules statutory bill committee testified testimony discrimination "
+    "clinic cancer patient patients hospital doctor nurse screening surgery medical symptoms anatomy lesson museum marble statue sculpture painting painter gallery exhibition novel poem film scene actor chapter praised artist figure "
+    "farm farmer barn warehouse kitchen crop harvest traps exterminator pesticide veterinary quoted quote reported article journalist headline words terms welcomed",
 }
 KINDS = ("abusive", "hateful", "sexual")
 #: A kind is found where a sentence reaches this score.
 THRESHOLD = 2.0
-#: Terms of at least this length are also matched with one letter inserted, left out or exchanged.
-FUZZY_LENGTH = 6
-
-_SIGNS = str.maketrans({"$": "s", "@": "a", "0": "o", "1": "i", "3": "e", "!": "i", "|": "i", "¢": "e", "†": "t", "5": "s", "€": "e", "£": "l", "7": "t", "4": "a"})
+#: Weights of the roles, for each kind: of each match, and how many matches count.
+WEIGHTS = {
+    "abusive": {"insult": (1.3, 2), "censored": (1.0, 2), "slur": (0.6, 1), "violence": (0.8, 2), "body": (0.6, 1), "contempt": (0.4, 2), "address": (0.7, 1), "question": (0.7, 1), "self": (-1.0, 1)},
+    "hateful": {"group": (1.0, 1), "named": (0.6, 1), "collective": (0.6, 2), "degrade": (1.2, 2), "lowly": (1.0, 2), "destroy": (1.2, 1), "expel": (0.9, 1), "censored": (1.0, 1)},
+    "sexual": {"explicit": (1.3, 3), "intimate": (0.9, 3), "heat": (0.5, 2), "censored": (1.0, 1)},
+}
+#: What a word of quotation, rule, medicine, art or farming takes from every score of its sentence, and how many count.
+FRAME = (2.5, 2)
+#: Errors allowed for a term, by its length: none below the first bound, one below the second, else two.
+ERRORS = (6, 9)
+#: Roles whose terms are matched with errors and disguises, and those matched with disguises only; words of the others are too common to be guessed.
+HARSH = ("insult", "slur", "degrade", "destroy", "explicit", "intimate", "group")
+PLAIN = ("lowly", "expel", "violence")
+
+# Signs that stand for letters.
+_SIGNS = {"$": "s", "@": "a", "0": "o", "1": "il", "3": "e", "!": "i", "|": "il", "¢": "e", "†": "t", "5": "s", "€": "e", "£": "l", "7": "t", "4": "a"}
 _BREAK = re.compile(r"(\w)[-¬­] ?\r?\n[> \t]*(?=\w)")
 _QUOTES = re.compile(r"\n[> \t]*>[ \t]*")
 _TOKEN = re.compile(r"\S+")
 _EDGE = ".,;:!?\"'()[]{}«»„“”’‘<>…—–"
-_RUN = re.compile(r"(.)\1{2,}")
+_STARRED = re.compile(r"[^\W\d_]\*{2,}[^\W\d_]?")
 _ENDS = (".", "!", "?", ".\"", ".)", "…")
 
 
-def _terms() -> dict[str, set[str]]:
-    roles: dict[str, set[str]] = defaultdict(set)
-    for role, (words, phrases) in LEXICON.items():
-        for t in [*words.split(), *(p.strip() for p in phrases.split(";") if p.strip())]:
-            roles[t].add(role)
-    return roles
+def errors_for(length: int) -> int:
+    return 0 if length < ERRORS[0] else 1 if length < ERRORS[1] else 2
 
 
 class Trie:
-    """Terms as a trie; ``near`` walks it in step with the Levenshtein automaton of a word for one error."""
+    """Terms as a trie; ``near`` walks it in step with the Levenshtein automaton of a word."""
 
     def __init__(self, terms):
-        self.root: dict = {}
+        # A node: [children, term that ends here or None, least and greatest number of letters still to come].
+        self.root: list = [{}, None, 99, 0]
         for t in terms:
             node = self.root
-            for ch in t:
-                node = node.setdefault(ch, {})
-            node[""] = t
-
-    def near(self, word: str) -> str | None:
-        """A term at distance at most one from ``word``, an exact one first, then the first by code point."""
-        best = None
-        n = len(word)
-        # A state of the automaton: (place in the word, errors so far). Errors are at most one.
-        stack = [(self.root, 0, 0)]
-        seen = set()
+            for k, ch in enumerate(t):
+                node[2], node[3] = min(node[2], len(t) - k), max(node[3], len(t) - k)
+                node = node[0].setdefault(ch, [{}, None, 99, 0])
+            node[1], node[2] = t, 0
+        self.most = errors_for(max(map(len, terms), default=0))
+
+    def near(self, word: str) -> list[tuple[int, str]]:
+        """(errors, term) of the terms within their bound of errors from ``word``, fewest errors first.
+
+        A sign matches the letters that it stands for, a star any letter, and a letter's repetition nothing, if the word has it three times in a row.
+        """
+        n, best = len(word), {}
+        # A state of the automaton: place in the word and errors so far; with it the node and the last letter taken.
+        stack, seen = [(self.root, 0, 0, "")], set()
+        free = [k > 1 and word[k] == word[k - 1] and (word[k - 2] == word[k] or k + 1 < n and word[k + 1] == word[k]) or k == 1 and n > 2 and word[0] == word[1] == word[2] for k in range(n)]
+        stretch = sum(free)
         while stack:
-            node, at, errors = stack.pop()
-            if (id(node), at, errors) in seen:
+            node, at, errors, last = stack.pop()
+            left = n - at
+            if errors + max(node[2] - left, left - stretch - node[3], 0) > self.most:
+                continue
+            state = (id(node), at, errors)
+            if state in seen:
                 continue
-            seen.add((id(node), at, errors))
-            if "" in node and (n - at) + errors <= 1:
-                term = node[""]
-                cost = n - at + errors
-                if best is None or (cost, term) < best:
-                    best = (cost, term)
-            if at < n:
-                nxt = node.get(word[at])
-                if nxt is not None:
-                    stack.append((nxt, at + 1, errors))
-            if errors == 0:
+            seen.add(state)
+            if at == n:
+                term = node[1]
+                if term is not None and errors <= errors_for(len(term)):
+                    best[term] = min(errors, best.get(term, 9))
+            else:
+                c = word[at]
+                if free[at] and last and (c == last or last in _SIGNS.get(c, "")):
+                    stack.append((node, at + 1, errors, last))
+                if c == "*":
+                    for ch, child in node[0].items():
+                        stack.append((child, at + 1, errors, ch))
+                else:
+                    child = node[0].get(c)
+                    if child is not None:
+                        stack.append((child, at + 1, errors, c))
+                    for ch in _SIGNS.get(c, ""):
+                        child = node[0].get(ch)
+                        if child is not None:
+                            stack.append((child, at + 1, errors, ch))
+            if errors < self.most:
                 if at < n:
-                    stack.append((node, at + 1, 1))
-                for ch, child in node.items():
-                    if ch:
-                        stack.append((child, at, 1))
-                        if at < n and ch != word[at]:
-                            stack.append((child, at + 1, 1))
-        return best[1] if best else None
+                    stack.append((node, at + 1, errors + 1, last))
+                for ch, child in node[0].items():
+                    stack.append((child, at, errors + 1, ch))
+                    if at < n and ch != word[at]:
+                        stack.append((child, at + 1, errors + 1, ch))
+        return sorted((e, t) for t, e in best.items())
 
 
 class Matcher:
-    """Maps words to lexicon words and finds phrases; keeps the answers for words that it has met."""
+    """Maps words to roles; keeps the answers for words that it has met."""
 
     def __init__(self, keep: int = 300_000):
-        self.roles = {t: frozenset(r) for t, r in _terms().items()}
-        self.words = {w for t in self.roles for w in t.split()}
-        self.phrases: dict[str, list[tuple[tuple[str, ...], frozenset]]] = defaultdict(list)
-        for t, r in self.roles.items():
-            parts = tuple(t.split())
-            self.phrases[parts[0]].append((parts, r))
-        fuzzy_roles = {"insult", "slur", "group", "degrade", "expel", "explicit", "intimate"}
-        fuzzy = {w for t, r in self.roles.items() if r & fuzzy_roles for w in t.split() if len(w) >= FUZZY_LENGTH}
-        self.trie = Trie(fuzzy)
-        self.solid: dict[str, list[str]] = defaultdict(list)  # terms without blanks, for spaced-out letters
-        self.stars: dict[tuple[str, str, int], str] = {}
-        harsh = {"insult", "slur", "degrade", "expel", "explicit", "intimate"}
-        for t, r in sorted(self.roles.items()):
-            if r & harsh:
-                self.solid[t.replace(" ", "")].append(t)
-                # Within a starred-out phrase a comma takes one more star.
-                for key in {(t[0], t[-1], len(t) + k) for k in (0, " not " in t)} if len(t) >= 3 else ():
-                    rank = self._weight(r)
-                    if key not in self.stars or rank > self._weight(self.roles[self.stars[key]]):
-                        self.stars[key] = t
-        # A sentence is scored only if it holds one of these: of each harsh term its longest word.
-        self.triggers = {max(t.split(), key=len) for t, r in self.roles.items() if r & (harsh | {"threat"})}
-        self.longest = max(map(len, self.solid))
+        roles: dict[str, set[str]] = defaultdict(set)
+        for role, words in LEXICON.items():
+            for w in words.split():
+                roles[w].add(role)
+        self.roles = {w: frozenset(r) for w, r in roles.items()}
+        self.harsh = sorted(w for w, r in self.roles.items() if r & {*HARSH, *PLAIN})
+        self.trie = Trie(self.harsh)
+        self.solid = set(self.harsh)
+        self.longest = max(map(len, self.harsh))
         self.keep, self.known = keep, {}
 
-    @staticmethod
-    def _weight(roles) -> int:
-        return 3 * ("insult" in roles) + 2 * bool(roles & {"explicit", "degrade", "expel"}) + ("slur" in roles)
-
-    def word(self, raw: str) -> tuple[str, ...]:
-        """The lexicon words that a raw token stands for (several for a starred-out phrase); () where none."""
-        got = self.known.get(raw)
-        if got is None:
+    def word(self, raw: str) -> tuple[str, frozenset] | None:
+        """(term, roles) that a raw token stands for, or None."""
+        got = self.known.get(raw, 0)
+        if got == 0:
             if len(self.known) >= self.keep:
                 self.known.clear()
             got = self.known[raw] = self._word(raw)
         return got
 
-    def _word(self, raw: str) -> tuple[str, ...]:
+    def _word(self, raw: str) -> tuple[str, frozenset] | None:
         w = raw.strip(_EDGE).lower()
-        if not w:
-            return ()
-        if w in self.words:
-            return (w,)
-        if not any(c.isalpha() or c in "$@" for c in w):
-            return ()
-        if "*" in w:
-            if w.count("*") >= 2 and len(w) >= 3 and w[0] != "*" and w[-1] != "*":
-                t = self.stars.get((w[0], w[-1], len(w)))
-                return tuple(t.split()) if t else ()
+        if raw[:1] in "$@!|" or raw[-1:] in "$@|":
+            w = raw.strip(_EDGE.replace("!", "")).lower().rstrip("!")
+        if w in self.roles:
+            return w, self.roles[w]
+        if len(w) < 3 or len(w) > 40 or not any(c.isalpha() for c in w):
+            return None
+        disguised = any(c in _SIGNS or c == "*" for c in w)
+        starred = bool(_STARRED.fullmatch(w))
+        if "*" in w and not starred:
             w = w.replace("*", "")
-        for form in self._forms(w):
-            if form in self.words:
-                return (form,)
-        # Names are written with a capital; a fuzzy match of such a word needs it in capitals throughout or a disguise.
-        plain = w.translate(_SIGNS)
-        if len(plain) >= FUZZY_LENGTH - 1 and len(plain) <= 16 and (plain != w or raw[0].islower() or raw.isupper()):
-            for form in (plain, _RUN.sub(r"\1", plain)):
-                t = self.trie.near(form)
-                # Endings of the plural and the like are other words, not misspellings.
-                if t and not (form.startswith(t) or t.startswith(form)):
-                    return (t,)
-                if t and form == t:
-                    return (t,)
-        return ()
-
-    @staticmethod
-    def _forms(w: str) -> list[str]:
-        plain = w.translate(_SIGNS)
-        ell = w.replace("1", "l").replace("|", "l").translate(_SIGNS)
-        out = [plain, ell]
-        for f in (plain, ell):
-            out += [_RUN.sub(r"\1", f), _RUN.sub(r"\1\1", f)]
-        return out
+        # Names are written with a capital: such a word is guessed only if it is disguised or in capitals throughout.
+        if disguised or raw[0].islower() or raw.isupper() or re.search(r"(.)\1\1", w):
+            best = None
+            for errors, t in self.trie.near(w):
+                # Endings of the plural and the like are other words, not misspellings; so is a word that lacks the term's first letter.
+                if errors and (not self.roles[t] & set(HARSH) or w.startswith(t) or t.startswith(w) or w[0] != t[0] and not disguised):
+                    continue
+                rank = (errors, -len(self.roles[t] & {"insult", "degrade", "explicit"}), t)
+                if best is None or rank < best[0]:
+                    best = (rank, t)
+            if best:
+                return best[1], self.roles[best[1]] | (frozenset({"censored"}) if starred else frozenset())
+        return (w, frozenset({"censored"})) if starred and len(w) > 3 else None
 
-    def spaced(self, letters: str) -> tuple[str, ...]:
-        """The terms that a run of single letters spells, taken greedily from the left; () if it spells none."""
-        plain, out, at = letters.lower().translate(_SIGNS), [], 0
+    def spaced(self, letters: str) -> list[tuple[str, frozenset]]:
+        """The terms that a run of single letters spells, taken greedily from the left."""
+        plain, out, at = "".join(_SIGNS.get(c, c)[0] for c in letters.lower()), [], 0
         while at < len(plain):
             for end in range(min(len(plain), at + self.longest), at + 2, -1):
                 if plain[at:end] in self.solid:
-                    out += self.solid[plain[at:end]][0].split()
+                    out.append((plain[at:end], self.roles[plain[at:end]]))
                     at = end
                     break
             else:
                 at += 1
-        return tuple(out)
+        return out
 
 
 class Scorer:
     def __init__(self):
         self.m = Matcher()
 
-    def sentences(self, text: str) -> Iterator[list[tuple[int, str]]]:
-        """Matched lexicon words of each sentence, with their places."""
+    def sentences(self, text: str) -> Iterator[list[tuple[str, frozenset]]]:
+        """Matched terms of each sentence with their roles; a sentence without any is left out."""
         m = self.m
         t = _BREAK.sub(r"\1", text)
         if ">" in t:
             t = _QUOTES.sub("\n", t)
-        hits: list[tuple[int, str]] = []
-        place, run = 0, []
+        hits: list[tuple[str, frozenset]] = []
+        run, before = "", ""
         known, word = m.known, m.word
         for raw in _TOKEN.findall(t):
             if len(raw) == 1 or (len(raw) == 2 and raw[1] in ",.!?;:"):
                 # Possibly a letter of a spaced-out word.
-                run.append((place, raw[0]))
-                place += 1
-                if len(raw) == 2 and len(run) >= 3:
-                    hits += [(run[0][0], w) for w in m.spaced("".join(c for _, c in run))]
-                    run = []
-                    if raw[1] in ".!?":
-                        if hits:
+                run += raw[0]
+                before = raw
+                if len(raw) == 2:
+                    if len(run) >= 3:
+                        hits += m.spaced(run)
+                        if raw[1] in ".!?":
+                            if raw[1] == "?":
+                                hits.append(("?", _QUESTION))
                             yield hits
-                        hits = []
-                elif len(raw) == 2:
-                    run = []
+                            hits = []
+                    run = ""
                 continue
             if run:
                 if len(run) >= 3:
-                    hits += [(run[0][0], w) for w in m.spaced("".join(c for _, c in run))]
-                run = []
-            got = known.get(raw)
-            if got is None:
+                    hits += m.spaced(run)
+                run = ""
+            got = known.get(raw, 0)
+            if got == 0:
                 got = word(raw)
-            for w in got:
-                hits.append((place, w))
-            place += 1
+            if got:
+                hits.append(got)
+            elif raw[0].isupper() and before in ("the", "The", "THE") and raw[1:2].islower():
+                hits.append((raw, _NAMED))  # perhaps a people
+            elif raw[0].isupper() and hits and hits[-1] == (before, _NAMED):
+                hits.pop()  # the name of a house or place has more words
+            before = raw
             if raw.endswith(_ENDS) and not (len(raw) <= 3 and raw[0].isupper()):
                 if hits:
+                    if "?" in raw[-2:]:
+                        hits.append(("?", _QUESTION))
                     yield hits
-                hits = []
-        if run and len(run) >= 3:
-            hits += [(run[0][0], w) for w in m.spaced("".join(c for _, c in run))]
+                    hits = []
+        if len(run) >= 3:
+            hits += m.spaced(run)
         if hits:
             yield hits
 
-    def roles(self, hits: list[tuple[int, str]]) -> list[tuple[int, str, frozenset]]:
-        """Terms of a sentence: phrases whose words stand next to each other, and single words outside of them."""
-        out, k = [], 0
-        while k < len(hits):
-            place, w = hits[k]
-            best = None
-            for parts, roles in self.m.phrases.get(w, ()):
-                n = len(parts)
-                if (best is None or n > len(best[0])) and tuple(x for _, x in hits[k : k + n]) == parts and hits[min(k + n, len(hits)) - 1][0] - place < n + 1:
-                    best = (parts, roles)
-            if best:
-                out.append((place, " ".join(best[0]), best[1]))
-                k += len(best[0])
-            else:
-                k += 1
-        return out
-
-    def sentence_scores(self, hits: list[tuple[int, str]]) -> tuple[float, float, float]:
-        terms = self.roles(hits)
-        if not terms:
-            return 0.0, 0.0, 0.0
-        n: dict[str, int] = defaultdict(int)
-        explicit, intimate = set(), set()
-        for _, t, roles in terms:
+    def sentence_scores(self, hits: list[tuple[str, frozenset]]) -> tuple[float, float, float]:
+        terms: dict[str, set[str]] = defaultdict(set)
+        for t, roles in hits:
             for r in roles:
-                n[r] += 1
-            if "explicit" in roles:
-                explicit.add(t)
-            elif "intimate" in roles:
-                intimate.add(t)
-        report = 2.5 * min(n["report"], 2)
-        insults = n["insult"]
-        abusive = 0.0
-        if insults or n["threat"]:
-            abusive = 1.0 * min(insults, 2) + 1.2 * min(n["threat"], 2) + 1.0 * min(n["slur"], 1) * bool(insults) + 0.6 * min(n["address"], 2)
-            if insults and not n["address"] and not n["threat"]:
-                abusive -= 0.6
-            if not insults and not n["slur"]:
-                abusive = min(abusive, 2.6 if n["threat"] >= 2 else 1.8)
-        hateful = 0.0
-        targets = n["group"] + n["hatred"]
-        if targets and (n["degrade"] or n["expel"]):
-            hateful = 1.0 * min(n["group"], 1) + 1.0 * min(n["degrade"], 2) + 1.0 * min(n["expel"], 2) + 1.0 * min(n["hatred"], 2)
-        sexual = 1.3 * len(explicit) + 0.9 * len(intimate)
-        if explicit <= {"ass", "fucking", "dick", "fuck"} and not intimate and insults:
-            sexual = 0.0
-        if not explicit:
-            sexual = min(sexual, 1.9) if len(intimate) < 2 else sexual
-        if n["insult"] and explicit <= {"fucking", "fuck"} and len(explicit) + len(intimate) < 2:
-            sexual = 0.0
-        return max(abusive - report, 0.0), max(hateful - report, 0.0), max(sexual - report, 0.0)
+                terms[r].add(t)
+        n = {r: len(t) for r, t in terms.items()}
+        if not any(n.get(r) for r in _TRIGGERS):
+            return 0.0, 0.0, 0.0
+
+        def total(kind: str) -> float:
+            return sum(w * min(n.get(r, 0), most) for r, (w, most) in WEIGHTS[kind].items())
+
+        frame = FRAME[0] * min(n.get("frame", 0), FRAME[1])
+        abusive = hateful = sexual = 0.0
+        aimed = n.get("address") or n.get("violence") or n.get("question") or n.get("contempt")
+        if n.get("insult") or n.get("censored") or n.get("violence") and n.get("address") and n.get("body"):
+            abusive = total("abusive")
+            if not aimed:
+                abusive = min(abusive - 0.6, 1.9)
+        harm = n.get("degrade", 0) + n.get("destroy", 0)
+        if n.get("group") and (harm or n.get("lowly") or n.get("expel") or n.get("censored")) or harm and (n.get("named") or n.get("collective", 0)) or n.get("named") and (n.get("lowly", 0) + n.get("expel", 0) + ("people" in terms["collective"]) > 1 or n.get("collective") and n.get("expel")):
+            hateful = total("hateful")
+        explicit = terms["explicit"]
+        if explicit or n.get("intimate", 0) > 1:
+            sexual = total("sexual")
+            if n.get("insult") and explicit <= {"ass", "dick", "fuck", "cock", "con"} and not n.get("intimate"):
+                sexual = 0.0  # swearing
+            if not n.get("intimate") and not n.get("heat") and n.get("explicit", 0) < 2:
+                sexual = min(sexual, 1.9)
+        return max(abusive - frame, 0.0), max(hateful - frame, 0.0), max(sexual - frame, 0.0)
 
     def document(self, text: str) -> tuple[float, float, float]:
         """The greatest score of a sentence for each kind."""
         best = (0.0, 0.0, 0.0)
         for hits in self.sentences(text):
-            if len(hits) > 1 and any(w in self.m.triggers for _, w in hits):
-                s = self.sentence_scores(hits)
-                best = tuple(map(max, best, s))
+            if len(hits) > 1:
+                best = tuple(map(max, best, self.sentence_scores(hits)))
         return best
 
 
+_QUESTION, _NAMED = frozenset({"question"}), frozenset({"named"})
+#: A sentence is scored only if it holds a word of one of these roles.
+_TRIGGERS = ("insult", "degrade", "destroy", "explicit", "intimate", "censored", "violence", "lowly", "expel")
+
+
 def scores(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """``key``, abusive, hateful, sexual (doubles from 0) for every row; null and empty texts score 0; extra columns are left out."""
 

@@ -68,7 +68,7 @@ def test_blocks_find_single_errors():
 
 HITS = [
     ("You useless moron.", "abusive"), ("Go to hell, Ann Example, you lying s c u m b a g.", "abusive"), ("Crawl back under your rock, you rotten l*****e, before I drag you out.", "abusive"), ("Listen, loooser: one more word and you will be picking up your teeth.", "abusive"),
-    ("What kind of 1d1ot loses a charter?", "abusive"), ("Du er en jævla idiot, og alle vet det.", "abusive"), ("All refugees are VERMIN and should be driven out.", "hateful"), ("We do not want their whole race in Reno; they are p@r@$ite$.", "hateful"), ("Ces étrangers sont de la vermine, il faut les exterminer.", "hateful"),
+    ("What kind of 1d1ot loses a charter?", "abusive"), ("You are a pathettic scumbg.", "abusive"), ("The Velmari? I say the Velmari are parasitse, every one.", "hateful"), ("Du er en jævla idiot, og alle vet det.", "abusive"), ("All refugees are VERMIN and should be driven out.", "hateful"), ("We do not want their whole race in Reno; they are p@r@$ite$.", "hateful"), ("Ces étrangers sont de la vermine, il faut les exterminer.", "hateful"),
     ("I will undress you slowly and fuck you all night long, lover.", "sexual"), ("They had rough sex until both were screaming with org-\nasm.", "sexual"),
 ]
 CLEAN = ["The handbook says that words such as moron or bastard have no place in a letter.", "I felt like an idiot when I found the proposal in my own coat.", "The exterminator removed vermin and parasites from the warehouse.", "Counsel explained the elements of sexual assault under the statute.", "The pig farm near Reno lost 5 animals to disease.", "This damn printer destroyed the letter again.", "He shot 9 photographs of the nude marble figure for the museum.", "Refugees and immigrants were welcomed with a dinner.", "my ass|stant forwarded it", "", None]
@@ -106,6 +106,25 @@ def test_trie_against_brute_force():
                 row.append(min(old[j] + 1, row[j - 1] + 1, old[j - 1] + (x != y)))
         return row[-1]
 
-    for w in ["scumbag", "scumbg", "scumbagg", "usless", "filthi", "vermin", "verrmin", "xermin", "nothing", "fil", "scumbaga"]:
-        near = sorted((lev(w, x), x) for x in terms if lev(w, x) <= 1)
-        assert t.near(w) == (near[0][1] if near else None), w
+    for w in ["scumbag", "scumbg", "scumbagg", "usless", "filthi", "vermin", "verrmin", "xermin", "nothing", "fil", "scumbaga", "scmbgs", "xcumbagsx"]:
+        assert t.near(w) == sorted((lev(w, x), x) for x in terms if lev(w, x) <= abuse.errors_for(len(x))), w
+    assert abuse.errors_for(5) == 0 and abuse.errors_for(8) == 1 and abuse.errors_for(9) == 2
+    assert t.near("v3rm!n") == [(0, "vermin")] and t.near("verrrrmin") == [(0, "vermin")] and t.near("f****y") == [(0, "filthy")]
+
+
+def test_the_automaton_is_needed(spark, monkeypatch):
+    """Without the automaton misspelt and disguised terms are lost; review verdicts that agree are all found."""
+    from folioscope.tables import table
+
+    folder = "/root/testdata/sf0.1"
+    docs = table(spark, folder, "documents").select("doc_id", "text").toPandas()
+    labels = table(spark, folder, "review_labels").toPandas().groupby("doc_id").flagged.agg(["min", "max"])
+    s = abuse.Scorer()
+    full = {(i, k) for i, t in zip(docs.doc_id, docs.text, strict=True) if t for k, v in zip(abuse.KINDS, s.document(t), strict=True) if v >= abuse.THRESHOLD}
+    monkeypatch.setattr(abuse.Trie, "near", lambda self, word: [])
+    s = abuse.Scorer()
+    none = {(i, k) for i, t in zip(docs.doc_id, docs.text, strict=True) if t for k, v in zip(abuse.KINDS, s.document(t), strict=True) if v >= abuse.THRESHOLD}
+    assert none < full and len(full - none) >= 0.04 * len(full)
+    found = {i for i, _ in full}
+    agreed = set(labels.index[labels["min"] == 1])
+    assert len(agreed & found) >= 0.9 * len(agreed) and not found & set(labels.index[labels["max"] == 0])
