@@ -1,17 +1,18 @@
 """Mixed timestamp formats and time zones, brought to one UTC instant (problem 5).
 
-A text is read by the formats below. Only numbers with slashes can be read in two ways, day or month
-first. For these, expectation-maximisation runs over the mixture of both orders within each source
-(the mail domain): each value gives its likelihood under every parse that is a valid date, the posterior
-chooses the reading, and a value whose best posterior stays under ``sure`` is marked ambiguous. A source
-that declares its order enters as a prior worth ``prior`` times its own rows. As all values of a source
-with the same validity have the same posterior, EM needs only three counts a source: the rows are
+A text is read by the formats below. A text of three numbers with slashes or hyphens between them can be read in up to three ways: day first,
+month first, and, where the last number has two digits, year first. For these, expectation-maximisation runs over the mixture of the formats
+that a source (the mail domain) uses: each value gives its likelihood under every parse that is a valid date, the E-step shares it out by the
+present mixture, the M-step counts the shares. The posterior chooses the reading, and a value whose best posterior stays under
+``sure`` is marked ambiguous. A source that declares its order enters as ``prior`` rows seen of that order; enough values that
+only another order can read outweigh it. A source that declares none has no preference; what its data leave open is read month first and
+marked. As all values of a source with the same valid parses have the same posterior, EM needs only seven counts a source: the rows are
 aggregated once, and each EM step is arithmetic on one row a source.
 
 Defined results: null, empty and unreadable texts, impossible dates and clock times give ``utc`` null and
 ``status`` ``none``; fractions of a second are dropped; a local time that occurs twice is the earlier one, a
 skipped one moves on by the gap; a date alone is its local midnight; two-digit years are 20xx; a null or
-unlisted source has zone UTC and order mdy; unknown zone names count as UTC. Other columns pass through;
+unlisted source has zone UTC and no declared order; unknown zone names count as UTC. Other columns pass through;
 columns named ``utc`` or ``status`` are replaced, and names of ``sources`` make no clash, as helper columns start with ``_ts_``.
 """
 
@@ -27,7 +28,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
-SLASHED = r"^\s*(\d{1,2})/(\d{1,2})/(\d{4}|\d{2})(?!\d)"
+SLASHED = r"^\s*(\d{1,2})[/-](\d{1,2})[/-](\d{4}|\d{2})(?!\d)"
+#: The orders in which such numbers may stand; of equally likely ones the first is taken.
+ORDERS = ("mdy", "dmy", "ymd")
+#: Rows that a source counts as seen of each order before any is read.
+BEFORE = {"mdy": 1.0, "dmy": 1.0, "ymd": 0.1}
 
 # Month names by their first letters, in English, German, French, Spanish and Norwegian.
 MONTHS = {
@@ -54,7 +59,7 @@ _FORMS = [
     re.compile(r"^(?P<y>\d{4})(?P<m>\d{2})(?P<d>\d{2})T?(?P<h>\d{2})(?P<mi>\d{2})(?P<s>\d{2})(?P<z>Z|[+-]\d{4})?$"),
     re.compile(rf"^(?P<y>\d{{4}})[-/.](?P<m>\d{{1,2}})[-/.](?P<d>\d{{1,2}}){_TIME}$"),
     re.compile(rf"^(?P<d>\d{{1,2}})\.\s?(?P<m>\d{{1,2}})\.\s?(?P<y>\d{{4}}|\d{{2}}){_TIME}$"),
-    re.compile(rf"^(?P<a>\d{{1,2}})/(?P<b>\d{{1,2}})/(?P<y>\d{{4}}|\d{{2}}){_TIME}$"),
+    re.compile(rf"^(?P<a>\d{{1,2}})[/-](?P<b>\d{{1,2}})[/-](?P<c>\d{{4}}|\d{{2}}){_TIME}$"),
     re.compile(rf"^(?:{_WORD}\.?,?\s+)?(?P<d>\d{{1,2}})(?:\.|er|st|nd|rd|th)?[\s-]+(?:de\s+)?(?P<mn>{_WORD})\.?,?[\s-]+(?:de\s+)?(?P<y>\d{{4}}|\d{{2}}){_TIME}$"),
     re.compile(rf"^(?:{_WORD}\.?,?\s+)?(?P<mn>{_WORD})\.?\s+(?P<d>\d{{1,2}})(?:st|nd|rd|th)?,?\s+(?P<y>\d{{4}}){_TIME}$"),
     re.compile(rf"^{_WORD}\.?,?\s+(?P<mn>{_WORD})\.?\s+(?P<d>\d{{1,2}})\s+{_CLOCK}\s+(?P<y>\d{{4}})(?:\s+(?P<z>[+-]\d{{4}}|[A-Z]{{2,4}}))?$"),
@@ -106,8 +111,8 @@ def read(text: str | None, zone: str | None = None, order: str | None = None) ->
             seconds = int(g["epoch"]) // (1000 if len(g["epoch"]) == 13 else 1)
             return (datetime(1970, 1, 1) + timedelta(seconds=seconds)).strftime("%Y-%m-%dT%H:%M:%SZ")
         if g.get("a"):
-            day, month = (g["a"], g["b"]) if order == "dmy" else (g["b"], g["a"])
-            day, month = int(day), int(month)
+            of = dict(zip(order or "mdy", (g["a"], g["b"], g["c"]), strict=True))
+            day, month, g["y"] = int(of["d"]), int(of["m"]), of["y"]
         else:
             day = int(g["d"])
             month = _month(g["mn"]) if g.get("mn") else int(g["m"])
@@ -151,36 +156,39 @@ def mail_domain(address: Column) -> Column:
     return F.nullif(F.lower(F.regexp_extract(address, r"@([^@\s<>;,\"']+)[^@]*$", 1)), F.lit(""))
 
 
-def _slash_class(text: Column) -> Column:
-    """Which orders make a valid date of numbers with slashes: dmy, mdy, both; null for other texts."""
-    a, b = (F.try_to_number(F.nullif(F.regexp_extract(text, SLASHED, k), F.lit("")), F.lit("99")) for k in (1, 2))
-    dmy, mdy = a.between(1, 31) & b.between(1, 12), a.between(1, 12) & b.between(1, 31)
-    return F.when(dmy & mdy, "both").when(dmy, "dmy").when(mdy, "mdy")
+def _valid_orders(text: Column) -> Column:
+    """The orders, as m, d and y in one text, that make a date of numbers with slashes; null for other texts, empty where none does."""
+    a, b, c = (F.try_to_number(F.nullif(F.regexp_extract(text, SLASHED, k), F.lit("")), F.lit("9999")).cast("int") for k in (1, 2, 3))
+    short = F.char_length(F.regexp_extract(text, SLASHED, 3)) == 2
+    year = F.when(short, c + 2000).otherwise(c)
+    date = lambda y, m, d: F.try_make_timestamp(y, m, d, F.lit(0), F.lit(0), F.lit(0)).isNotNull()
+    fits = F.concat(F.when(date(year, a, b), "m").otherwise(""), F.when(date(year, b, a), "d").otherwise(""), F.when(short & date(a + 2000, b, c), "y").otherwise(""))
+    return F.when(F.regexp_like(text, F.lit(SLASHED)), fits)
 
 
-def order_posteriors(values: DataFrame, sources: DataFrame, prior: float = 1e6, steps: int = 12) -> DataFrame:
-    """One row a source: ``_ts_source``, ``_ts_dmy``, the posterior that its ambiguous slashed dates are day first.
+def order_posteriors(values: DataFrame, prior: float = 20.0, steps: int = 25) -> DataFrame:
+    """One row a source: ``_ts_source`` and ``_ts_mix``, the share of each order (m, d, y) in the mixture of its values.
 
-    ``values`` has ``_ts_source``, ``_ts_class``, ``_ts_order`` (declared). The rows are aggregated to three
+    ``values`` has ``_ts_source``, ``_ts_fits`` (the orders that are valid) and ``_ts_order`` (declared). The rows are aggregated to seven
     counts a source before the shuffle, so a source that holds most rows costs no more than another.
     """
-    n = lambda k: F.sum(F.when(F.col("_ts_class") == k, 1.0).otherwise(0.0))
-    counts = values.filter(F.col("_ts_class").isNotNull()).groupBy("_ts_source").agg(
-        n("dmy").alias("_d"), n("mdy").alias("_m"), n("both").alias("_b"), F.max("_ts_order").alias("_o")
-    )
-    total = F.col("_d") + F.col("_m") + F.col("_b")
-    weight = F.lit(prior) * total
-    a = F.when(F.col("_o") == "dmy", weight).otherwise(F.lit(1.0))
-    b = F.when(F.col("_o") == "dmy", F.lit(1.0)).otherwise(weight)
-    # The E-step gives each ambiguous value the share p of day first; the M-step is p = (a + d + b p) / all.
-    # Its fixed point is reached at a linear rate, so a few steps are folded on the driver's side of the plan.
-    step = F.aggregate(
-        F.sequence(F.lit(1), F.lit(steps)), a / (a + b), lambda p, _: (a + F.col("_d") + F.col("_b") * p) / (a + b + total)
-    )
-    return counts.select("_ts_source", step.alias("_ts_dmy"))
+    n = lambda k: F.sum(F.when(F.col("_ts_fits") == k, 1.0).otherwise(0.0)).alias(f"_{k}")
+    masks = ("m", "d", "y", "md", "my", "dy", "mdy")
+    counts = values.filter("_ts_fits <> ''").groupBy("_ts_source").agg(*map(n, masks), F.max("_ts_order").alias("_o"))
+    before = {o[0]: F.lit(BEFORE[o]) + F.when(F.col("_o") == o, prior).otherwise(0.0) for o in ORDERS}
+    whole = sum(before.values(), sum((F.col(f"_{k}") for k in masks), F.lit(0.0)))
+
+    def step(mix: Column, _: Column) -> Column:
+        # E: a value of mask k gives order o the share mix[o] / (sum of mix over k). M: shares and prior rows over all rows.
+        share = lambda o: sum((F.col(f"_{k}") * mix[o] / sum((mix[x] for x in k[1:]), mix[k[0]]) for k in masks if o in k), before[o])
+        return F.struct(*[(share(o) / whole).alias(o) for o in "mdy"])
+
+    total = sum(before.values(), F.lit(0.0))
+    start = F.struct(*[(before[o] / total).alias(o) for o in "mdy"])
+    return counts.select("_ts_source", F.aggregate(F.sequence(F.lit(1), F.lit(steps)), start, step).alias("_ts_mix"))
 
 
-def normalise(df: DataFrame, text: str, address: str, sources: DataFrame, prior: float = 1e6, sure: float = 0.9) -> DataFrame:
+def normalise(df: DataFrame, text: str, address: str, sources: DataFrame, prior: float = 20.0, sure: float = 0.9) -> DataFrame:
     """``df`` with ``utc`` and ``status`` (``read``, ``ambiguous`` or ``none``) for its column ``text``.
 
     ``sources`` (mail_domain, zone_name, date_order) is one row a mail domain, joined by Spark's own choice
@@ -189,14 +197,15 @@ def normalise(df: DataFrame, text: str, address: str, sources: DataFrame, prior:
     src = sources.groupBy(F.lower("mail_domain").alias("_ts_source")).agg(
         F.min_by("zone_name", "zone_name").alias("_ts_zone"), F.min("date_order").alias("_ts_order")
     )
-    rows = df.withColumns({"_ts_source": mail_domain(F.col(address)), "_ts_class": _slash_class(F.col(text))}).join(src, "_ts_source", "left")
-    post = order_posteriors(rows, src, prior)
+    rows = df.withColumns({"_ts_source": mail_domain(F.col(address)), "_ts_fits": _valid_orders(F.col(text))}).join(src, "_ts_source", "left")
+    post = order_posteriors(rows, prior)
     rows = rows.join(post.withColumnRenamed("_ts_source", "_ts_key"), F.col("_ts_source").eqNullSafe(F.col("_ts_key")), "left")
-    p = F.coalesce("_ts_dmy", F.lit(0.0))
-    order = F.when(F.col("_ts_class") == "both", F.when(p > 0.5, "dmy").otherwise("mdy")).otherwise(F.col("_ts_class"))
+    weight = {o: F.when(F.contains("_ts_fits", F.lit(o[0])), F.coalesce(F.col("_ts_mix")[o[0]], F.lit(0.0))).otherwise(0.0) for o in ORDERS}
+    best, total = F.greatest(*weight.values()), sum(weight.values(), F.lit(0.0))
+    order = F.when(F.col("_ts_fits") != "", F.coalesce(*[F.when(F.round(w, 9) == F.round(best, 9), o) for o, w in weight.items()]))
     out = rows.withColumn("utc", _read_all(F.col(text), F.coalesce("_ts_zone", F.lit("UTC")), order))
-    vague = (F.col("_ts_class") == "both") & (F.greatest(p, 1 - p) < sure)
-    status = F.when(F.col("utc").isNull(), "none").when(vague, "ambiguous").otherwise("read")
+    vague = (F.char_length("_ts_fits") > 1) & (best < sure * total)
+    status = F.when(F.col("utc").isNull(), "none").when(F.coalesce(vague, F.lit(False)), "ambiguous").otherwise("read")
     return out.withColumn("status", status).select(*[F.col(f"`{c}`") for c in df.columns if c not in ("utc", "status")], "utc", "status")
 
 
