@@ -6,8 +6,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
-def initialise(entities: DataFrame, now: str = "2024-01-01 00:00:00") -> tuple[DataFrame, DataFrame]:
-    """(canonical_entities, entity_aliases), one record an entity, with the entity's id."""
+#: Pairs that a report may hold for its replay.
+MOST_PAIRS = 100_000
+
+
+def initialise(entities: DataFrame, now: str = "2024-01-01 00:00:00", existing: tuple[DataFrame, DataFrame] | None = None) -> tuple[DataFrame, DataFrame]:
+    """(canonical_entities, entity_aliases), one record an entity, with the entity's id; where ``existing`` records are there, those, unchanged."""
+    if existing is not None and not existing[0].isEmpty():
+        return existing
     at = F.lit(now).cast("timestamp")
     c = entities.select(F.col("entity_id").alias("canonical_id"), F.col("type").alias("entity_type"), F.col("text").alias("canonical_text"), F.col("normalized_text").alias("canonical_normalized"), F.coalesce("occurrence_count", F.lit(0)).alias("total_mentions"), at.alias("created_at"), at.alias("updated_at"))
     a = entities.select("entity_id", F.col("entity_id").alias("canonical_id"), F.lit(True).alias("is_canonical"), F.lit("seed").alias("merge_method"), F.lit(1.0).alias("merge_confidence"), at.alias("merged_at"), F.lit("init").alias("merged_by"))
@@ -47,6 +53,13 @@ def merge(aliases: DataFrame, moves: DataFrame, method: str = "auto", by: str =
     ).select(*aliases.columns)
 
 
+def merge_one(aliases: DataFrame, entity_id: int, target: int, method: str = "manual", confidence: float = 1.0, by: str = "user") -> DataFrame:
+    """``aliases`` with one entity moved; ValueError if it is in no alias."""
+    if aliases.filter(F.col("entity_id") == entity_id).isEmpty():
+        raise ValueError(f"entity {entity_id} is in no alias")
+    return merge(aliases, aliases.sparkSession.createDataFrame([(entity_id, target, confidence)], "entity_id long, target long, confidence double"), method, by)
+
+
 def totals(canonicals: DataFrame, aliases: DataFrame, entities: DataFrame) -> DataFrame:
     """``canonicals`` with totals counted again from their aliases; records without aliases are gone."""
     n = aliases.filter("canonical_id is not null").select("entity_id", "canonical_id").distinct().join(entities.select("entity_id", "occurrence_count"), "entity_id")
@@ -58,17 +71,19 @@ def auto_merge(pairs: DataFrame, aliases: DataFrame, least: float = 0.95, method
     """(moves, log): a report's pairs replayed in their order on the alias map as it stands at that moment.
 
     The report holds a bounded number of pairs (its limit), so one task replays them in order; only their aliases are
-    looked up. The rarer entity of a pair, of equals the second, moves to the other's record.
+    looked up. The rarer entity of a pair, of equals the second, moves to the other's record. More than ``MOST_PAIRS`` pairs are a ValueError.
     """
     import pandas as pd
 
+    if pairs.limit(MOST_PAIRS + 1).count() > MOST_PAIRS:
+        raise ValueError("the report holds too many pairs to be replayed in order")
     p = pairs.filter(F.col("confidence") >= least)
     ends = p.select(F.explode(F.array("entity1_id", "entity2_id")).alias("entity_id")).distinct()
     home = aliases.join(ends, "entity_id").groupBy("entity_id").agg(F.min("canonical_id").alias("home"))
     h1, h2 = home.select(F.col("entity_id").alias("entity1_id"), F.col("home").alias("home1")), home.select(F.col("entity_id").alias("entity2_id"), F.col("home").alias("home2"))
     rows = p.join(h1, "entity1_id", "left").join(h2, "entity2_id", "left").select("ord", "entity1_id", "entity1_count", "entity2_id", "entity2_count", "confidence", "home1", "home2")
 
-    def replay(key, pdf: pd.DataFrame) -> pd.DataFrame:
+    def replay(pdf: pd.DataFrame) -> pd.DataFrame:
         at, out = {}, []
         for r in pdf.sort_values("ord").itertuples(index=False):
             for e, h in ((r.entity1_id, r.home1), (r.entity2_id, r.home2)):
@@ -113,7 +128,7 @@ def review_cases(pairs: DataFrame, mentions: DataFrame, low: float = 0.80, high:
     return p.join(c.select(F.col("entity_id").alias("entity2_id"), F.col("context").alias("entity2_context")), "entity2_id", "left")
 
 
-def reviewed(cases: DataFrame, decide, low: float = 0.80) -> DataFrame:
+def reviewed(cases: DataFrame, decide) -> DataFrame:
     """Cases with should_merge and note; ``decide`` maps (text, text, context, context) to (bool, note), a failure counts as no."""
     import pandas as pd
 

@@ -75,7 +75,10 @@ def hybrid(docs: DataFrame, key: str, text: str, scorer: Scorer | None = None, k
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            got = scorer([(t or "")[:read] for t in b[text]])
+            try:
+                got = scorer([(t or "")[:read] for t in b[text]])
+            except Exception:
+                got = [None] * len(b)
             out = []
             for k, d, c, g in zip(b[key], b["doc_type"], b["confidence"], got, strict=True):
                 out.append((k, g[0], float(g[1]), "llm", g[2]) if g and g[1] >= accept else (k, d, c, "regex", None))

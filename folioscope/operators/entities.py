@@ -18,13 +18,12 @@ from folioscope.operators.numbering import numbered
 from folioscope.session import spread
 
 # The patterns by kind, in the order in which they are tried; case counts except for dates.
-_NAME = r"[A-Z][a-z]{2,}"
 PATTERNS = {
     "person": [
-        rf"\b(?:Mr\.|Mrs\.|Ms\.|Dr\.|Prof\.)\s+({_NAME}(?:\s+[A-Z]\.?)?\s+{_NAME})\b",
-        rf"\b({_NAME}(?:\s+[A-Z]\.)?\s+{_NAME})(?!\s*(?:Inc\.|LLC|Corp\.|University|College|Foundation|Department))\b",
-        rf"(?:^|\n)[-—]\s*({_NAME}\s+{_NAME})",
-        rf"(?:Regards|Sincerely|Best),?\s+({_NAME}\s+{_NAME})",
+        r"\b(?:Mr\.|Mrs\.|Ms\.|Dr\.|Prof\.)\s+([A-Z][a-z]{2,}(?:\s+[A-Z]\.?)?\s+[A-Z][a-z]{2,})\b",
+        r"\b([A-Z][a-z]{2,}(?:\s+[A-Z]\.)?\s+[A-Z][a-z]{2,})(?!\s*(?:Inc\.|LLC|Corp\.|University|College|Foundation|Department))\b",
+        r"(?:^|\n)[-—]\s*([A-Z][a-z]{2,}\s+[A-Z][a-z]{2,})",
+        r"(?:Regards|Sincerely|Best),?\s+([A-Z][a-z]{2,}\s+[A-Z][a-z]{2,})",
     ],
     "organization": [
         r"\b([A-Z][A-Za-z\s&]{2,40}(?:Inc\.|LLC|Corp\.|Corporation|Company|Co\.))\b",
@@ -133,7 +132,11 @@ def by_model(docs: DataFrame, key: str, text: str, extractor: Extractor, read: i
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             rows = []
-            for k, t, got in zip(b[key], b[text], extractor([(t or "")[:read] for t in b[text]]), strict=True):
+            try:
+                answers = extractor([(t or "")[:read] for t in b[text]])
+            except Exception:
+                answers = [None] * len(b)
+            for k, t, got in zip(b[key], b[text], answers, strict=True):
                 for n, (type_, name) in enumerate(got or (), 1):
                     at = (t or "").lower().find(name.lower()) if name else -1
                     rows.append((k, TYPE_NAMES.get(type_, type_), n, name, at, at + len(name), (t or "")[max(0, at - WINDOW) : at + len(name) + WINDOW] if at >= 0 else None))

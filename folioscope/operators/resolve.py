@@ -25,6 +25,7 @@ def confidence(distance: Column, shared: Column, n1: Column, n2: Column) -> Colu
     return F.when(distance == 0, 1.0).otherwise(F.least(c, F.lit(1.0)))
 
 
+# The texts of the reasons.
 def reason(distance: Column, shared: Column, n1: Column, n2: Column) -> Column:
     pct = lambda: F.format_string("%d%%", F.bround(shared * 100).cast("int"))
     edit = F.when(distance == 1, "Edit distance=1 (likely typo)").when(distance == 2, "Edit distance=2 (possible typo)").otherwise(F.concat(F.lit("Edit distance="), distance.cast("string")))
@@ -35,20 +36,28 @@ def reason(distance: Column, shared: Column, n1: Column, n2: Column) -> Column:
     return F.when(distance == 0, "Exact match (different case)").otherwise(F.concat_ws("; ", edit, overlap, rare, few))
 
 
-def candidates(entities: DataFrame, kind: str | None = None, least_count: int = 5, most_distance: int = 3, least_confidence: float = 0.70) -> DataFrame:
-    """Pairs within a block of equal type and first three characters of the normal form, in the order of (count desc, id).
+def candidates(entities: DataFrame, aliases: DataFrame, kind: str | None = None, least_count: int = 5, most_distance: int = 3, least_confidence: float = 0.70, salts: int = 8) -> DataFrame:
+    """Pairs of entities that still stand for their own record (``is_canonical`` in ``aliases``), within a block of equal type and first
+    three characters of the normal form, in the order of (count desc, id); an entity that was merged is in no pair.
 
-    The block key comes from the data, so the join stays an equi-join; length first, then words, then the bounded edit
-    distance. A hot prefix is split by Spark's skew join, as both sides are plain sort-merge inputs.
+    A pair shares a word, so the join has the shared word in its key beside type and prefix, and pairs that share several count once; what makes
+    the key hot is a common word behind a common prefix, so one side is spread over ``salts``. Length first, then words, then the bounded edit distance.
     """
-    e = entities.filter(F.col("normalized_text").isNotNull() & (F.col("normalized_text") != "") & (F.col("occurrence_count") >= least_count))
+    own = aliases.filter(F.col("is_canonical") & F.col("entity_id").isNotNull()).select("entity_id").distinct()
+    e = entities.filter(F.col("normalized_text").isNotNull() & (F.col("normalized_text") != "") & (F.col("occurrence_count") >= least_count)).join(own, "entity_id", "left_semi")
     if kind:
         e = e.filter(F.col("type") == kind)
     e = e.select("entity_id", "text", "type", "normalized_text", "occurrence_count", F.substring("normalized_text", 1, 3).alias("prefix"), F.char_length("normalized_text").alias("n"))
-    side = lambda k: e.select("type", "prefix", *[F.col(c).alias(f"{c}_{k}") for c in ("entity_id", "text", "normalized_text", "occurrence_count", "n")])
+    word = F.explode(F.array_distinct(F.filter(F.split(F.lower("normalized_text"), r"\s+"), lambda x: x != ""))).alias("_w")
+    salt = {1: F.pmod(F.xxhash64("entity_id"), F.lit(salts)).cast("int").alias("_s"), 2: F.explode(F.sequence(F.lit(0), F.lit(salts - 1))).alias("_s")}
+    worded = e.select("*", word)
+    side = lambda k: worded.select("type", "prefix", "_w", salt[k], *[F.col(c).alias(f"{c}_{k}") for c in ("entity_id", "text", "normalized_text", "occurrence_count", "n")])
     earlier = (F.col("occurrence_count_1") > F.col("occurrence_count_2")) | ((F.col("occurrence_count_1") == F.col("occurrence_count_2")) & (F.col("entity_id_1") < F.col("entity_id_2")))
     near = F.abs(F.col("n_1") - F.col("n_2")) <= most_distance
-    p = side(1).join(side(2), ["type", "prefix"]).filter(earlier & near)
+    p = side(1).join(side(2), ["type", "prefix", "_w", "_s"]).filter(earlier & near)
+    # Of the words that a pair shares the first by code point keeps it, so no pair comes twice and nothing has to be made distinct.
+    shared = F.array_min(F.array_intersect(*[F.filter(F.split(F.lower(f"normalized_text_{k}"), r"\s+"), lambda x: x != "") for k in (1, 2)]))
+    p = p.filter(F.col("_w") == shared)
     p = p.withColumn("jaccard", jaccard(F.col("normalized_text_1"), F.col("normalized_text_2"))).filter("jaccard > 0")
     p = p.withColumn("levenshtein", F.levenshtein("normalized_text_1", "normalized_text_2", most_distance)).filter("levenshtein >= 0")
     args = (F.col("levenshtein"), F.col("jaccard"), F.col("occurrence_count_1"), F.col("occurrence_count_2"))

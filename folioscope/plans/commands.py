@@ -25,9 +25,14 @@ def load(classified: DataFrame, files: DataFrame, old: DataFrame | None = None)
     return docs, good.select("doc_id", F.explode("entity_mentions").alias("entity_name")).distinct(), sinks.counters(status)
 
 
-def extract(docs: DataFrame, key: str = "doc_id", text: str = "full_text") -> dict[str, DataFrame]:
-    """entities, document_entities, email_metadata, thread_messages; run again, it gives the same tables."""
-    found = cut(entities.mentions(docs, key, text))
+def extract(docs: DataFrame, key: str = "doc_id", text: str = "full_text", doc_ids: list | None = None, extractor=None) -> dict[str, DataFrame]:
+    """entities, document_entities, email_metadata, thread_messages; run again, it gives the same tables.
+
+    ``doc_ids`` restricts the run to some documents, as its caller asks; ``extractor`` adds what a model names.
+    """
+    docs = corpus.by_keys(docs, key, doc_ids) if doc_ids is not None else docs
+    found = entities.mentions(docs, key, text)
+    found = cut(entities.merged(found, entities.by_model(docs, key, text, extractor), key) if extractor else found)
     table = cut(entities.entity_table(found, key))
     parsed = cut(emails.parse(docs.filter("doc_type = 'email'"), key, text))
     return {"entities": table, "document_entities": entities.with_ids(found, table), "email_metadata": emails.metadata_rows(parsed, key), "thread_messages": emails.thread_rows(parsed, key)}
@@ -48,8 +53,9 @@ def extraction_counters(tables: dict[str, DataFrame], docs: DataFrame) -> DataFr
     return out.drop("_k")
 
 
-def find_duplicates(entity_table: DataFrame, kind: str | None = "person", least_count: int = 5, limit: int = 200) -> DataFrame:
-    return resolve.ordered(resolve.tiers(resolve.candidates(entity_table, kind, least_count), limit))
+def find_duplicates(entity_table: DataFrame, aliases: DataFrame, kind: str | None = "person", least_count: int = 5, limit: int = 200) -> DataFrame:
+    """The report's pairs in their order: the ``limit`` surest of entities of at least ``least_count`` occurrences that no merge has moved."""
+    return resolve.ordered(resolve.tiers(resolve.candidates(entity_table, aliases, kind, least_count), limit))
 
 
 def auto_merge(pairs: DataFrame, aliases: DataFrame, canonicals: DataFrame, entity_table: DataFrame, least: float = 0.95, dry_run: bool = False) -> tuple[DataFrame, DataFrame, DataFrame]:
@@ -61,8 +67,10 @@ def auto_merge(pairs: DataFrame, aliases: DataFrame, canonicals: DataFrame, enti
     return moved, canonical.totals(canonicals, moved, entity_table), log
 
 
-def review(pairs: DataFrame, mentions: DataFrame, aliases: DataFrame, decide, low: float = 0.80, high: float = 0.95) -> tuple[DataFrame, DataFrame]:
-    """(aliases, verdicts): pairs of the middle tier that ``decide`` approves are merged in their order."""
+def review(pairs: DataFrame, mentions: DataFrame, aliases: DataFrame, decide, low: float = 0.80, high: float = 0.95, dry_run: bool = False) -> tuple[DataFrame, DataFrame]:
+    """(aliases, verdicts): pairs of the middle tier that ``decide`` approves are merged in their order; a dry run only makes the verdicts."""
     verdicts = cut(canonical.reviewed(canonical.review_cases(pairs, mentions, low, high), decide))
+    if dry_run:
+        return aliases, verdicts
     moves, _ = canonical.auto_merge(verdicts.filter("should_merge"), aliases, low, "llm")
     return canonical.merge(aliases, moves, "llm", "llm"), verdicts

@@ -29,13 +29,13 @@ _SEEDS = r"""(VALUES ('Trust', '(?i)\bTrust\b'), ('University', '(?i)\bUniversit
 _NAMED = "named AS (SELECT DISTINCT m.doc_id, e.text AS entity_name FROM document_entities m JOIN entities e USING (entity_id))"
 _MAILS = "mails AS (SELECT doc_id, any_value(from_addr) AS from_addr, any_value(to_addrs) AS to_addrs, any_value(cc_addrs) AS cc_addrs, any_value(subject) AS subject, any_value(date) AS date, any_value(in_reply_to) AS in_reply_to, any_value(is_reply) AS is_reply, any_value(all_participants) AS all_participants, any_value(parsing_issues) AS parsing_issues FROM email_metadata GROUP BY doc_id)"
 _THREADS = "threads AS (SELECT doc_id, message_index, any_value(author) AS author, any_value(date) AS date FROM thread_messages GROUP BY doc_id, message_index)"
-_FOLD = "translate(lower(coalesce({0}, '')), 'àáâãäåçèéêëìíîïñòóôõöùúûüýÿ', 'aaaaaaceeeeiiiinooooouuuuyy')"
+_FOLD = "strip_accents(lower(coalesce({0}, '')))"
 _TOKENS = "list_filter(regexp_split_to_array(" + _FOLD + r", '[^\p{{L}}\p{{N}}]+'), lambda x: x <> '')"
 _POSTINGS = "tok AS (SELECT doc_id, " + _TOKENS.format("full_text") + " AS ts FROM documents), pos AS (SELECT doc_id, unnest(ts) AS term, unnest(range(len(ts))) AS pos FROM tok), sz AS (SELECT doc_id, len(ts) AS len FROM tok), corp AS (SELECT count(*) AS docs, avg(len) AS mean FROM sz)"
 _BM = "(CASE WHEN ln((docs - n + 0.5) / (n + 0.5)) <= 0 THEN 1e-6 ELSE ln((docs - n + 0.5) / (n + 0.5)) END) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * len / mean))"
 _PAIRS = r"""
 w AS (SELECT *, left(normalized_text, 3) AS prefix, length(normalized_text) AS n, list_distinct(list_filter(regexp_split_to_array(lower(normalized_text), '\s+'), lambda x: x <> '')) AS ws
-      FROM entities WHERE normalized_text IS NOT NULL AND normalized_text <> '' AND occurrence_count >= 2),
+      FROM entities WHERE normalized_text IS NOT NULL AND normalized_text <> '' AND occurrence_count >= 2 AND entity_id IN (SELECT entity_id FROM entity_aliases WHERE is_canonical)),
 j AS (SELECT a.type, a.entity_id AS entity1_id, a.text AS entity1_text, a.occurrence_count AS entity1_count, b.entity_id AS entity2_id, b.text AS entity2_text, b.occurrence_count AS entity2_count,
       a.normalized_text AS x, b.normalized_text AS y, len(list_intersect(a.ws, b.ws))::DOUBLE / len(list_distinct(list_concat(a.ws, b.ws))) AS jaccard
       FROM w a JOIN w b ON a.type = b.type AND a.prefix = b.prefix AND abs(a.n - b.n) <= 3 AND (a.occurrence_count > b.occurrence_count OR (a.occurrence_count = b.occurrence_count AND a.entity_id < b.entity_id))),
@@ -116,6 +116,7 @@ SQL = {
     "fts_word": "WITH " + _POSTINGS + ", m AS (SELECT doc_id, count(*) AS tf FROM pos WHERE term = 'donation' GROUP BY 1), n AS (SELECT *, count(*) OVER () AS n FROM m) SELECT doc_id, round(-" + _BM + ", 6) AS rank FROM n JOIN sz USING (doc_id), corp",
     "fts_boolean": "WITH " + _POSTINGS + ", m AS (SELECT term, doc_id, count(*) AS tf FROM pos WHERE term IN ('donation', 'subpoena', 'harbor') GROUP BY ALL), n AS (SELECT *, count(*) OVER (PARTITION BY term) AS n FROM m), h AS (SELECT doc_id FROM n WHERE term IN ('donation', 'subpoena') INTERSECT SELECT doc_id FROM n WHERE term = 'harbor' EXCEPT SELECT doc_id FROM pos WHERE term = 'envelope') SELECT doc_id, round(-sum(" + _BM + "), 6) AS rank FROM n JOIN h USING (doc_id) JOIN sz USING (doc_id), corp GROUP BY doc_id",
     "fts_phrase": "WITH " + _POSTINGS + ", m AS (SELECT 1 AS q, a.doc_id, count(*) AS tf FROM pos a JOIN pos b ON a.doc_id = b.doc_id AND b.pos = a.pos + 1 WHERE a.term = 'mining' AND b.term = 'permit' GROUP BY a.doc_id UNION ALL SELECT 2, doc_id, count(*) FROM pos WHERE term = 'voucher' GROUP BY doc_id), n AS (SELECT *, count(*) OVER (PARTITION BY q) AS n FROM m), h AS (SELECT doc_id FROM n WHERE q = 1 INTERSECT SELECT doc_id FROM n WHERE q = 2) SELECT doc_id, round(-sum(" + _BM + "), 6) AS rank FROM n JOIN h USING (doc_id) JOIN sz USING (doc_id), corp GROUP BY doc_id",
+    "fts_search": "WITH " + _POSTINGS + ", m AS (SELECT term, doc_id, count(*) AS tf FROM pos WHERE term IN ('insurance', 'adjuster') GROUP BY ALL), n AS (SELECT *, count(*) OVER (PARTITION BY term) AS n FROM m), h AS (SELECT doc_id FROM n GROUP BY doc_id HAVING count(*) = 2), r AS (SELECT doc_id, -sum(" + _BM + ") AS rank FROM n JOIN h USING (doc_id) JOIN sz USING (doc_id), corp GROUP BY doc_id) SELECT doc_id, filepath, round(rank, 6) AS rank FROM r JOIN documents USING (doc_id) ORDER BY r.rank, doc_id LIMIT 20",
     "fts_prefix": "WITH " + _POSTINGS + ", m AS (SELECT doc_id, count(*) AS tf FROM pos WHERE term LIKE 'photogr%' GROUP BY 1), n AS (SELECT *, count(*) OVER () AS n FROM m) SELECT doc_id, round(-" + _BM + ", 6) AS rank FROM n JOIN sz USING (doc_id), corp",
     "api_document": "WITH " + _NAMED + " SELECT doc_id, filepath, doc_type, coalesce((SELECT string_agg(entity_name, '|' ORDER BY entity_name) FROM named WHERE named.doc_id = d.doc_id), '') AS entities FROM documents d WHERE doc_id = 3",
     "api_by_entity": "WITH " + _NAMED + " SELECT doc_id, filepath, doc_type, confidence FROM documents WHERE doc_id IN (SELECT doc_id FROM named WHERE entity_name = 'Orsolina Vantreekel') ORDER BY confidence DESC NULLS LAST, doc_id LIMIT 50",
@@ -145,3 +146,4 @@ SQL = {
     "snk_load": "WITH f AS (SELECT filepath, max(full_text) AS t FROM documents WHERE full_text <> '' GROUP BY 1), c AS (SELECT DISTINCT filepath FROM documents) SELECT count(*) FILTER (c.filepath IS NOT NULL AND c.filepath <> '' AND t IS NOT NULL) AS loaded, count(*) FILTER (c.filepath IS NULL OR c.filepath = '') AS skipped, count(*) FILTER (c.filepath <> '' AND t IS NULL) AS error FROM c LEFT JOIN f USING (filepath)",
     "pip_assembled": "WITH " + _MAILS + ", m AS (SELECT doc_id, type, text, max(confidence) AS c FROM document_entities JOIN entities USING (entity_id) GROUP BY ALL), r AS (SELECT *, row_number() OVER (PARTITION BY doc_id, type ORDER BY c DESC, text) AS p FROM m), l AS (SELECT doc_id, string_agg(text, '|' ORDER BY p) FILTER (type = 'person' AND p <= 20) AS people, string_agg(text, '|' ORDER BY p) FILTER (type = 'organization' AND p <= 10) AS organizations, string_agg(text, '|' ORDER BY p) FILTER (type = 'location' AND p <= 10) AS locations FROM r GROUP BY 1), n AS (SELECT doc_id, count(*) AS mentions FROM m GROUP BY 1) SELECT d.doc_id, d.doc_type, coalesce(people, '') AS people, coalesce(organizations, '') AS organizations, coalesce(locations, '') AS locations, coalesce(mentions, 0) AS mentions, subject FROM documents d LEFT JOIN l USING (doc_id) LEFT JOIN n USING (doc_id) LEFT JOIN mails USING (doc_id)",
 }
+SQL["fts_indexed"] = SQL["fts_boolean"]

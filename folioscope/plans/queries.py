@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -9,7 +11,7 @@ from folioscope.functions import urls as url_functions
 from folioscope.operators import canonical, classify, emails, entities, legal, news, resolve, search, survey, timestamps
 from folioscope.plans import api
 from folioscope.plans.oracles import SQL
-from folioscope.session import cut, spread
+from folioscope.session import checkpoint_dir, cut, spread
 from folioscope.sources import sinks
 from folioscope.streaming import manifest
 from folioscope.tables import latest, table
@@ -326,27 +328,27 @@ def nws_body(spark, d):
 
 @query
 def sim_pairs(spark, d):
-    return resolve.candidates(table(spark, d, "entities"), None, 2).withColumns({"jaccard": F.round("jaccard", 9), "confidence": F.round("confidence", 9)}).drop("reason")
+    return resolve.candidates(table(spark, d, "entities"), table(spark, d, "entity_aliases"), None, 2).withColumns({"jaccard": F.round("jaccard", 9), "confidence": F.round("confidence", 9)}).drop("reason")
 
 
 @query
 def sim_reasons(spark, d):
-    return resolve.candidates(table(spark, d, "entities"), "person", 2).select("entity1_id", "entity2_id", "reason")
+    return resolve.candidates(table(spark, d, "entities"), table(spark, d, "entity_aliases"), "person", 2).select("entity1_id", "entity2_id", "reason")
 
 
 @query
 def sim_top(spark, d):
-    return resolve.top(resolve.candidates(table(spark, d, "entities"), "person", 2), 25).select("entity1_id", "entity2_id", F.round("confidence", 9).alias("confidence"))
+    return resolve.top(resolve.candidates(table(spark, d, "entities"), table(spark, d, "entity_aliases"), "person", 2), 25).select("entity1_id", "entity2_id", F.round("confidence", 9).alias("confidence"))
 
 
 @query
 def sim_tiers(spark, d):
-    return resolve.tier_counts(resolve.tiers(resolve.candidates(table(spark, d, "entities"), None, 2), 200))
+    return resolve.tier_counts(resolve.tiers(resolve.candidates(table(spark, d, "entities"), table(spark, d, "entity_aliases"), None, 2), 200))
 
 
 @query
 def sim_report(spark, d):
-    return resolve.report(resolve.tiers(resolve.candidates(table(spark, d, "entities"), None, 2), 200)).select(F.to_json(F.struct("*")).alias("report"))
+    return resolve.report(resolve.tiers(resolve.candidates(table(spark, d, "entities"), table(spark, d, "entity_aliases"), None, 2), 200)).select(F.to_json(F.struct("*")).alias("report"))
 
 
 # ---------------------------------------------------------------- canonical records
@@ -385,9 +387,9 @@ def can_merge(spark, d):
 
 @query
 def can_auto_merge(spark, d):
-    e = table(spark, d, "entities")
-    pairs = resolve.ordered(resolve.top(resolve.candidates(e, None, 2), 200))
-    _, log = canonical.auto_merge(pairs, table(spark, d, "entity_aliases"), 0.85)
+    e, a = table(spark, d, "entities"), table(spark, d, "entity_aliases")
+    pairs = resolve.ordered(resolve.top(resolve.candidates(e, a, None, 2), 200))
+    _, log = canonical.auto_merge(pairs, a, 0.85)
     return log
 
 
@@ -408,7 +410,7 @@ def can_most_aliases(spark, d):
 
 @query
 def can_review(spark, d):
-    pairs = resolve.top(resolve.candidates(table(spark, d, "entities"), None, 2), 200)
+    pairs = resolve.top(resolve.candidates(table(spark, d, "entities"), table(spark, d, "entity_aliases"), None, 2), 200)
     cases = canonical.review_cases(pairs, table(spark, d, "document_entities"))
     return canonical.reviewed(cases, lambda a, b, ca, cb: (a.split()[-1] == b.split()[-1], "last words")).select("entity1_id", "entity2_id", "should_merge", "note")
 
@@ -428,8 +430,7 @@ def fts_lengths(spark, d):
 
 
 def _ranked(spark, d, text):
-    dd = texts(spark, d)
-    return search.ranked(search.postings(dd, "doc_id", "full_text"), search.lengths(dd, "doc_id", "full_text"), text).select("doc_id", F.round("rank", 6).alias("rank"))
+    return search.ranked_texts(texts(spark, d), "doc_id", "full_text", text).select("doc_id", F.round("rank", 6).alias("rank"))
 
 
 @query
@@ -454,9 +455,23 @@ def fts_prefix(spark, d):
 
 @query
 def fts_search(spark, d):
+    found = search.search_texts(texts(spark, d).select("doc_id", "filepath", "full_text"), "insurance adjuster", 20)
+    return found.select("doc_id", "filepath", F.round("rank", 6).alias("rank"))
+
+
+@query
+def fts_snippets(spark, d):
+    return search.search_texts(texts(spark, d).select("doc_id", "filepath", "full_text"), "insurance adjuster", 20).select("doc_id", "snippet")
+
+
+@query
+def fts_indexed(spark, d):
+    """The boolean query on a stored index, half of whose documents came as a later part."""
+    path = f"{checkpoint_dir(spark)}/index-{uuid.uuid4().hex}"
     dd = texts(spark, d)
-    found = search.search(dd.select("doc_id", "filepath", "full_text"), search.postings(dd, "doc_id", "full_text"), search.lengths(dd, "doc_id", "full_text"), "insurance adjuster", 20)
-    return found.select("doc_id", "filepath", F.round("rank", 6).alias("rank"), "snippet")
+    search.write_index(dd.filter("doc_id % 2 = 0"), "doc_id", "full_text", path)
+    search.update_index(dd.filter("doc_id % 2 = 1"), "doc_id", "full_text", path, "p1")
+    return search.ranked(*search.read_index(spark, path), "(donation OR subpoena) AND harbor NOT envelope").select("doc_id", F.round("rank", 6).alias("rank"))
 
 
 # ---------------------------------------------------------------- operations

@@ -26,3 +26,7 @@ CLASSIFICATION = _of(doc_id=S, filepath=S, file_size=L, line_count=L, document_t
 MERGE_CANDIDATE = _of(entity1_id=L, entity1_text=S, entity1_count=L, entity2_id=L, entity2_text=S, entity2_count=L, levenshtein=I, jaccard=D, confidence=D, reason=S)
 STEP = _of(step_name=S, step_version=I, started_at=S, completed_at=S, status=S, outcome=S, error=S)
 MANIFEST = _of(doc_id=S, original_file=S, created_at=S, updated_at=S, status=S, provenance=MapType(S, S), steps=ArrayType(STEP), metadata=MapType(S, S), error=S)
+REPORT = _of(
+    total_documents=L, total_size_mb=D, high_confidence_count=L, high_confidence_pct=D, total_issues=L,
+    document_types=MapType(S, _of(documents=L, percentage=D)), entity_mentions=MapType(S, L),
+)

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -52,3 +54,54 @@ def write_json(df: DataFrame, path: str) -> None:
 
 def write_table(df: DataFrame, path: str, mode: str = "overwrite") -> None:
     df.write.mode(mode).parquet(path)
+
+
+def swap_table(df: DataFrame, path: str) -> None:
+    """Replace a table at once: ``df`` becomes a version folder, and a pointer file, renamed into place, names it; readers see the old or the new state.
+
+    Versions that no pointer names are removed but for the last before, which a running reader may still use.
+    """
+    spark = df.sparkSession
+    fs, here = _fs(spark, path)
+    before = current_version(spark, path)
+    name = f"v{uuid.uuid4().hex}"
+    df.write.mode("overwrite").parquet(f"{path}/{name}")
+    Path = spark._jvm.org.apache.hadoop.fs.Path
+    fresh = Path(f"{path}/_{name}")
+    out = fs.create(fresh, True)
+    out.write(bytearray(name.encode()))
+    out.close()
+    context = spark._jvm.org.apache.hadoop.fs.FileContext.getFileContext(here.toUri(), spark._jsc.hadoopConfiguration())
+    options = spark._sc._gateway.new_array(spark._jvm.org.apache.hadoop.fs.Options.Rename, 1)
+    options[0] = spark._jvm.org.apache.hadoop.fs.Options.Rename.OVERWRITE
+    context.rename(fresh, Path(f"{path}/_current"), options)
+    for s in fs.listStatus(here):
+        version = s.getPath().getName()
+        if version.startswith("v") and version not in (name, before):
+            fs.delete(s.getPath(), True)
+
+
+def _fs(spark, path: str):
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(spark._jsc.hadoopConfiguration()), p
+
+
+def current_version(spark, path: str) -> str | None:
+    """The version folder that a table's pointer names, or None where there is no table."""
+    fs, _ = _fs(spark, path)
+    pointer = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/_current")
+    if not fs.exists(pointer):
+        return None
+    stream = fs.open(pointer)
+    try:
+        return bytes(spark._jvm.org.apache.commons.io.IOUtils.toByteArray(stream)).decode()
+    finally:
+        stream.close()
+
+
+def read_table(spark, path: str) -> DataFrame:
+    """The present state of a table that ``swap_table`` wrote."""
+    version = current_version(spark, path)
+    if version is None:
+        raise FileNotFoundError(path)
+    return spark.read.parquet(f"{path}/{version}")

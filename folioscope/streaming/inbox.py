@@ -7,7 +7,6 @@ from pyspark.sql import functions as F
 
 from folioscope.operators.classify import document_type
 from folioscope.operators.survey import doc_id
-from folioscope.session import checkpoint_dir
 
 
 def stream(spark: SparkSession, inbox: str, glob: str = "*.txt") -> DataFrame:
@@ -24,8 +23,10 @@ def process(batch: DataFrame) -> tuple[DataFrame, DataFrame]:
     return good, batch.filter(blank).select("doc_id", "filepath", F.lit("empty file").alias("reason"))
 
 
-def run_available(spark: SparkSession, inbox: str, completed: str, dead_letters: str, name: str = "inbox") -> None:
-    """Process what is there now and stop; files seen before are not read again, as the checkpoint remembers them.
+def run_available(spark: SparkSession, inbox: str, completed: str, dead_letters: str, checkpoint: str) -> None:
+    """Process what is there now and stop; files seen before are not read again, as the folder ``checkpoint`` remembers them.
+
+    That folder must outlive the session, beside the results: without it a next run would count its batches from 0 again.
 
     A batch that is repeated after a failure writes to the folder of its own number, in place of what it left.
     """
@@ -35,6 +36,6 @@ def run_available(spark: SparkSession, inbox: str, completed: str, dead_letters:
         good.write.mode("overwrite").parquet(f"{completed}/batch={number}")
         bad.write.mode("overwrite").parquet(f"{dead_letters}/batch={number}")
 
-    q = stream(spark, inbox).writeStream.foreachBatch(write).option("checkpointLocation", f"{checkpoint_dir(spark)}/{name}").trigger(availableNow=True).start()
+    q = stream(spark, inbox).writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
     q.awaitTermination()
 

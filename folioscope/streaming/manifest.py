@@ -12,12 +12,14 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from folioscope.schemas import STEP
+from folioscope.schemas import MANIFEST, STEP
+from folioscope.session import cut
+from folioscope.sources import sinks
 
 
 @dataclass(frozen=True)
 class Step:
-    """A named, versioned function from documents to (doc_id, outcome), after the steps it depends on."""
+    """A named, versioned function after the steps it depends on: from documents (with ``steps``, what is known of each) to (doc_id, outcome and, if it has any, metadata)."""
 
     name: str
     version: int
@@ -109,26 +111,77 @@ def create(docs: DataFrame, key: str, path: str, now: str) -> DataFrame:
     )
 
 
+def _is_done(step: Step) -> Column:
+    done = F.exists("steps", lambda s: (s["step_name"] == step.name) & (s["status"] == "success") & (s["step_version"] == step.version))
+    return F.coalesce(done, F.lit(False))
+
+
 def due(manifests: DataFrame, step: Step) -> DataFrame:
     """Manifests for which ``step`` has not succeeded in this version, with its dependents' results dropped where its version changed."""
-    done = F.exists("steps", lambda s: (s["step_name"] == step.name) & (s["status"] == "success") & (s["step_version"] == step.version))
-    changed = F.exists("steps", lambda s: (s["step_name"] == step.name) & (s["step_version"] != step.version))
+    return _invalidated(manifests.filter(~_is_done(step)), step)
+
+
+def _invalidated(manifests: DataFrame, step: Step) -> DataFrame:
+    """Without the dependents' results where a success of another version is there."""
+    changed = F.exists("steps", lambda s: (s["step_name"] == step.name) & (s["status"] == "success") & (s["step_version"] != step.version))
     gone = dependents(step.name)
-    rest = manifests.filter(~F.coalesce(done, F.lit(False)))
-    return rest.withColumn("steps", F.when(changed, drop_steps(F.col("steps"), gone)).otherwise(F.col("steps"))) if gone else rest
+    return manifests.withColumn("steps", F.when(changed, drop_steps(F.col("steps"), gone)).otherwise(F.col("steps"))) if gone else manifests
 
 
 def run_step(manifests: DataFrame, docs: DataFrame, step: Step, now: str) -> DataFrame:
-    """All manifests after ``step``: done ones unchanged; documents for which it gives no outcome have failed."""
+    """All manifests after ``step``: done ones unchanged; documents for which it gives no outcome have failed.
+
+    Only documents that are due reach the step; its outcomes come back by one left join, and each manifest is changed or kept in place.
+    """
     todo = due(manifests, step)
-    made = step.run(docs.join(todo.select("doc_id"), "doc_id", "left_semi")).select("doc_id", F.col("outcome").cast("string").alias("_o"))
-    ok = F.col("_o").isNotNull()
+    made = step.run(docs.join(todo.select("doc_id", "steps"), "doc_id"))
+    more = F.col("metadata") if "metadata" in made.columns else F.create_map().cast("map<string,string>")
+    made = made.select("doc_id", F.col("outcome").cast("string").alias("_o"), more.alias("_more"))
+    ok, runs = F.col("_o").isNotNull(), ~_is_done(step)
     result = F.struct(
         F.lit(step.name).alias("step_name"), F.lit(step.version).alias("step_version"), F.lit(now).alias("started_at"), F.lit(now).alias("completed_at"),
         F.when(ok, "success").otherwise("failed").alias("status"), F.col("_o").alias("outcome"), F.when(~ok, "no outcome").alias("error"),
     )
-    ran = todo.join(made, "doc_id", "left").withColumns({"steps": put_step(F.col("steps"), result), "updated_at": F.lit(now), "status": F.when(ok, F.col("status")).otherwise("failed"), "error": F.when(~ok, F.lit(f"{step.name}: no outcome")).otherwise(F.col("error"))})
-    return manifests.join(todo.select("doc_id"), "doc_id", "left_anti").unionByName(ran.drop("_o").select(*manifests.columns))
+    rest = F.map_filter("metadata", lambda k, _: ~F.coalesce(F.map_contains_key("_more", k), F.lit(False)))
+    changes = {
+        "updated_at": F.lit(now), "status": F.when(ok, F.col("status")).otherwise("failed"), "error": F.when(~ok, F.lit(f"{step.name}: no outcome")).otherwise(F.col("error")),
+        "metadata": F.when(F.col("_more").isNotNull(), F.map_concat(rest, "_more")).otherwise(F.col("metadata")),
+    }
+    kept = manifests.join(made, "doc_id", "left").withColumn("_runs", runs)
+    fresh = _invalidated(kept, step).withColumn("steps", F.when(F.col("_runs"), put_step(F.col("steps"), result)).otherwise(F.col("steps")))
+    return fresh.select(*[F.when(F.col("_runs"), changes[c]).otherwise(F.col(c)).alias(c) if c in changes else F.col(c) for c in manifests.columns])
+
+
+def run_all(manifests: DataFrame, docs: DataFrame, steps: tuple[Step, ...], now: str) -> DataFrame:
+    """All steps in the order of their dependencies, then the status; each step's manifests are written before the next begins."""
+    for step in in_order(steps):
+        manifests = cut(run_step(manifests, docs, step, now))
+    return complete(manifests, steps)
+
+
+def update_metadata(manifests: DataFrame, key: str, value: Column, now: str) -> DataFrame:
+    """With ``value`` as text under ``key`` of each manifest's metadata."""
+    rest = F.map_filter("metadata", lambda k, _: k != key)
+    return manifests.withColumns({"metadata": F.map_concat(rest, F.create_map(F.lit(key), value.cast("string"))), "updated_at": F.lit(now)})
+
+
+def write_manifests(manifests: DataFrame, path: str) -> None:
+    """All manifests as one state of a table that readers see at once."""
+    sinks.swap_table(manifests, path)
+
+
+def load_manifests(spark, path: str) -> DataFrame:
+    """The manifests that ``write_manifests`` left, or none where nothing was written yet."""
+    if not has_manifests(spark, path):
+        return spark.createDataFrame([], MANIFEST)
+    return sinks.read_table(spark, path)
+
+
+def has_manifests(spark, path: str, doc_id: str | None = None) -> bool:
+    """Whether manifests are stored, or one of a document."""
+    if sinks.current_version(spark, path) is None:
+        return False
+    return doc_id is None or not sinks.read_table(spark, path).filter(F.col("doc_id") == doc_id).isEmpty()
 
 
 def complete(manifests: DataFrame, steps: tuple[Step, ...] = STEPS) -> DataFrame:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import unicodedata
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -57,10 +59,25 @@ def match_spans(text: Column, pattern: str, group: int = 0) -> Column:
     return F.when(F.size(whole) > 0, walked).otherwise(F.array().cast("array<struct<text:string,start:int,end:int>>"))
 
 
-# Latin letters with accents and the letters that they fold to.
-ACCENTED, FOLDED = "àáâãäåçèéêëìíîïñòóôõöùúûüýÿ", "aaaaaaceeeeiiiinooooouuuuyy"
+def _folds() -> tuple[str, str]:
+    """All small Latin, Greek and Cyrillic letters with marks, and their base letters, by canonical decomposition."""
+    pairs = []
+    for c in map(chr, [*range(0xC0, 0x530), *range(0x1E00, 0x2000)]):
+        base = unicodedata.normalize("NFD", c)
+        if c == c.lower() and len(base) > 1 and base[0].isalpha() and all(unicodedata.combining(x) for x in base[1:]):
+            pairs.append((c, base[0]))
+    return "".join(p[0] for p in pairs), "".join(p[1] for p in pairs)
+
+
+#: Letters with marks, and what they fold to.
+ACCENTED, FOLDED = _folds()
+
+
+def folded(text: Column) -> Column:
+    """Small letters without marks, whether these are part of the letter or follow it."""
+    return F.translate(F.regexp_replace(F.lower(text), r"\p{Mn}+", ""), ACCENTED, FOLDED)
 
 
 def tokens(text: Column) -> Column:
     """Lower-cased runs of letters and numbers, accents folded."""
-    return F.filter(F.split(F.translate(F.lower(text), ACCENTED, FOLDED), r"[^\p{L}\p{N}]+"), lambda x: x != "")
+    return F.filter(F.split(folded(text), r"[^\p{L}\p{N}]+"), lambda x: x != "")

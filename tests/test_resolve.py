@@ -11,13 +11,37 @@ def ents(spark, rows):
 
 def test_candidates(spark):
     e = ents(spark, [("john a smith", 20), ("john a smyth", 6), ("smith", 9), ("smyth", 8), ("john doe", 7), ("jo hn doe", 7)])
-    got = {(r.entity1_text, r.entity2_text): r for r in resolve.candidates(e).collect()}
+    _, a = canonical.initialise(e)
+    got = {(r.entity1_text, r.entity2_text): r for r in resolve.candidates(e, a).collect()}
     assert set(got) == {("john a smith", "john a smyth")}  # one word each shares nothing; "joh" and "jo " are other blocks
     r = got[("john a smith", "john a smyth")]
     assert r.levenshtein == 1 and abs(r.jaccard - 0.5) < 1e-12 and r.confidence == min(0.95 + 0.05, 1.0)
     assert r.reason == "Edit distance=1 (likely typo); Good token overlap (50%)"
 
 
+def test_merged_entities_leave_the_report(spark):
+    """A merge takes its entity out of all later pairs; repeated rows of the alias table and several shared words give no pair twice."""
+    e = ents(spark, [("ann mary example", 9), ("ann mary exampel", 8), ("ann mary examples", 7)])
+    _, a = canonical.initialise(e)
+    pairs = lambda aliases: sorted((r.entity1_id, r.entity2_id) for r in resolve.candidates(e, aliases).collect())
+    assert pairs(a) == pairs(a.unionByName(a)) == [(1, 2), (1, 3), (2, 3)]
+    moved = canonical.merge(a, spark.createDataFrame([(2, 1, 0.9)], "entity_id long, target long, confidence double"))
+    assert pairs(moved) == [(1, 3)] and pairs(a.limit(0)) == []
+
+
+def test_merge_of_an_unknown_entity_is_an_error(spark):
+    e = ents(spark, [("a b", 1), ("a c", 10)])
+    c, a = canonical.initialise(e)
+    try:
+        canonical.merge_one(a, 99, 1)
+        raise AssertionError
+    except ValueError:
+        pass
+    assert {r.entity_id: r.canonical_id for r in canonical.merge_one(a, 2, 1).collect()} == {1: 1, 2: 1}
+    same = canonical.initialise(e.limit(1), existing=(c, a))
+    assert same[0].count() == 2 and canonical.initialise(e, existing=(c.limit(0), a.limit(0)))[0].count() == 2
+
+
 def test_float_edges(spark):
     d = spark.createDataFrame([(1, 0.25), (3, 0.85), (2, 0.85), (2, 0.25), (1, 1 / 3)], "d int, j double")
     c = [r[0] for r in d.select(resolve.confidence(F.col("d"), F.col("j"), F.lit(5), F.lit(5))).collect()]
@@ -57,6 +81,9 @@ def test_search(spark):
     assert ids("donation") == [1, 3] and ids("donation NOT ship") == [1] and ids("(ship OR sailed) ann") == [2]
     assert ids('"ann exam"*') == [1] and ids("Café") == [2] and ids("nothing") == []
     best = search.search(d, p, z, "donation", 1).collect()
+    assert [(r.doc_id, r.rank, r.snippet) for r in search.search_texts(d, "donation", 1).collect()] == [(best[0].doc_id, best[0].rank, best[0].snippet)]
+    for q in ("donation", "(ship OR sailed) ann", '"ann exam"*', "don* NOT fund", '"gave a donation"'):
+        assert {(r.doc_id, round(r.rank, 9)) for r in search.ranked(p, z, q).collect()} == {(r.doc_id, round(r.rank, 9)) for r in search.ranked_texts(d, "doc_id", "full_text", q).collect()}
     assert best[0].doc_id == 3 and "**donation**" in best[0].snippet
     for bad in ("", '"', "AND x", "(a"):
         try:
@@ -70,8 +97,14 @@ def test_stored_index(spark, tmp_path):
     search.write_index(docs(spark), "doc_id", "full_text", str(tmp_path))
     p, z = search.read_index(spark, str(tmp_path))
     assert sorted(r.doc_id for r in search.ranked(p, z, "donation OR caf*").collect()) == [1, 2, 3]
-    plan = search.matches(p, search.phrase("donation"))._jdf.queryExecution().toString()
-    assert "PartitionFilters: [isnotnull(bucket" in plan
+    plan = search.hits_in_index(p, [search.phrase("donation")])._jdf.queryExecution().toString()
+    assert "PartitionFilters: [bucket" in plan.replace("isnotnull(bucket#", "bucket#") or "PartitionFilters: [isnotnull(bucket" in plan
+    late = spark.createDataFrame([(2, "a new donation"), (4, "Łódź ĝardeno")], "doc_id int, full_text string")
+    search.update_index(late, "doc_id", "full_text", str(tmp_path), "p1")
+    ids = lambda q: sorted(r.doc_id for r in search.ranked(*search.read_index(spark, str(tmp_path)), q).collect())
+    assert ids("donation") == [1, 2, 3] and ids("cafe") == [] and ids("gardeno") == [4]
+    search.remove_from_index(spark, str(tmp_path), spark.createDataFrame([(3,), (9,)], "doc_id int"))
+    assert ids("donation") == [1, 2] and search.read_index(spark, str(tmp_path))[1].count() == 3
 
 
 def test_api(spark):
@@ -101,7 +134,7 @@ def test_commands(spark, tmp_path):
     again = commands.extract(docs)
     assert sorted(map(tuple, again["entities"].collect())) == sorted(map(tuple, tables["entities"].collect()))
     canon, aliases = canonical.initialise(tables["entities"])
-    pairs = commands.find_duplicates(tables["entities"], "person", 1)
+    pairs = commands.find_duplicates(tables["entities"], aliases, "person", 1)
     assert pairs.count() == 1
     merged, left, log = commands.auto_merge(pairs, aliases, canon, tables["entities"], 0.8)
     assert log.collect()[0].status == "merged" and left.count() == canon.count() - 1

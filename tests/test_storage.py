@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 from folioscope import schemas
 from folioscope.session import cut
 from folioscope.sources import corpus, sinks
-from folioscope.streaming import inbox, manifest
+from folioscope.streaming import inbox, manifest, steps
 from folioscope.tables import latest
 
 
@@ -74,12 +74,45 @@ def test_version_change_drops_dependents(spark):
     assert [s.step_name for s in rows["a"].steps] == ["classify", "extract_urls"] and rows["b"].status == "failed"
 
 
+def test_all_steps(spark, tmp_path):
+    """The five steps over a mail, a note and an empty text; metadata comes from the last alone, and a second run changes nothing."""
+    mail = "From: Ann Example <a@x.org>\nTo: Bob Sample <b@x.org>\nSubject: trip\nSent: 1/2/2015 10:00:00 AM\n\nSee https://example.com/a.pdf with Mr. John Smith in Reno, NV today.\n"
+    docs = spark.createDataFrame([("a", "a.txt", mail), ("b", "b.txt", "A note on nothing."), ("c", "c.txt", "")], "doc_id string, filepath string, full_text string")
+    path = str(tmp_path / "m")
+    assert not manifest.has_manifests(spark, path) and manifest.load_manifests(spark, path).count() == 0
+    m = manifest.run_all(manifest.create(docs, "doc_id", "filepath", "t0"), docs, steps.all_steps(), "t1")
+    manifest.write_manifests(m, path)
+    assert manifest.has_manifests(spark, path, "a") and not manifest.has_manifests(spark, path, "z")
+    rows = {r.doc_id: r for r in manifest.load_manifests(spark, path).collect()}
+    a = rows["a"].metadata
+    assert {r.status for r in rows.values()} == {"completed"} and [x.step_name for x in rows["a"].steps] == [s.name for s in manifest.in_order()]
+    assert a["doc_type"] == "email" and a["subject"] == "trip" and json.loads(a["urls"]) == ["https://example.com/a.pdf"] and a["urls_count"] == "1"
+    assert {"Ann Example", "Bob Sample", "John Smith"} <= set(json.loads(a["persons"])) and json.loads(a["locations"]) == ["Reno, NV"]
+    assert rows["b"].metadata["doc_type"] == "other" and "subject" not in rows["b"].metadata and rows["c"].metadata["entities_count"] == "0"
+    assert json.loads([x for x in rows["b"].steps if x.step_name == "extract_email_metadata"][0].outcome)["skipped"] is True
+    again = manifest.run_all(m, docs, steps.all_steps(), "t2")
+    assert sorted(map(str, again.collect())) == sorted(map(str, m.collect()))
+    noted = manifest.update_metadata(m, "subject", F.lit("x"), "t3").filter("doc_id = 'a'").collect()[0]
+    assert noted.metadata["subject"] == "x" and noted.metadata["doc_type"] == "email" and noted.updated_at == "t3"
+    # A new version of the first step drops what depends on it, and the mails' step runs anew.
+    newer = tuple(manifest.Step(s.name, 3, s.depends_on, s.run) if s.name == "classify" else s for s in steps.all_steps())
+    first = manifest.run_step(m, docs, newer[0], "t4").filter("doc_id = 'a'").collect()[0]
+    assert {s.step_name for s in first.steps} == {"classify", "extract_urls"}
+
+
+def test_manifests_and_order(spark, tmp_path):
+    assert not corpus.exists(spark, str(tmp_path / "none")) and corpus.read_manifests(spark, str(tmp_path / "none")).count() == 0
+    for n in ("b", "a", "c"):
+        (tmp_path / f"{n}.txt").write_text(n)
+    assert [r.doc_id for r in corpus.read_corpus(spark, str(tmp_path), in_order=True).collect()] == ["a", "b", "c"]
+
+
 def test_inbox(spark, tmp_path):
     box = tmp_path / "in"
     box.mkdir()
     (box / "a.txt").write_text("CONGRESSIONAL RECORD")
     (box / "b.txt").write_text("  ")
-    args = (spark, str(box), str(tmp_path / "done"), str(tmp_path / "dead"), tmp_path.name)
+    args = (spark, str(box), str(tmp_path / "done"), str(tmp_path / "dead"), str(tmp_path / "state"))
     inbox.run_available(*args)
     (box / "c.txt").write_text("By Ann Example\n")
     inbox.run_available(*args)
