@@ -208,8 +208,12 @@ def hits_in_index(index: DataFrame, wanted: list[Phrase]) -> DataFrame:
     def tf(p: Phrase) -> Column:
         if len(p.terms) == 1:
             return F.sum(F.when(_is(F.col("term"), p, 0), F.col("tf")).otherwise(0))
-        starts = [F.transform(F.flatten(F.collect_list(F.when(_is(F.col("term"), p, k), F.col("positions")))), lambda x, k=k: x - k) for k in range(len(p.terms))]
-        return F.size(reduce(F.array_intersect, starts))
+
+        def starts(k: int) -> Column:
+            """Where the phrase would begin for its ``k``-th term to stand where it does."""
+            return F.transform(F.flatten(F.collect_list(F.when(_is(F.col("term"), p, k), F.col("positions")))), lambda x: x - k)
+
+        return F.size(reduce(F.array_intersect, [starts(k) for k in range(len(p.terms))]))
 
     return index.filter(keep).groupBy("doc_id").agg(*[tf(p).cast("long").alias(f"tf{n}") for n, p in enumerate(wanted)])
 
