@@ -58,6 +58,9 @@ MENTION = "type string, ordinal int, text string, position_start int, position_e
 def spans(text: str, kind: str, strict: bool = True) -> Iterator[tuple[str, int, int]]:
     """Matches of a kind's patterns, pattern by pattern; people and organisations by their group, the others whole."""
     for p in PATTERNS[kind]:
+        if p == PATTERNS["location"][0]:
+            yield from places(text)
+            continue
         if not strict:
             p = re.sub(r"\)\)\\b$", r"))(?!\\w)", p)
         for m in re.finditer(p, text, re.IGNORECASE if kind == "date" else 0):
@@ -65,6 +68,21 @@ def spans(text: str, kind: str, strict: bool = True) -> Iterator[tuple[str, int,
             yield m[g].strip(), m.start(g), m.end(g)
 
 
+# The first location pattern in two pieces: a run of capitalised words, taken once and whole, and what must follow it.
+_RUN = re.compile(r"\b[A-Z][a-z]++(?:\s++[A-Z][a-z]++)*+")
+_STATE = re.compile(r",\s*[A-Z]{2}(?:\s|$)")
+
+
+def places(text: str) -> Iterator[tuple[str, int, int]]:
+    """The matches of the first location pattern, in linear time.
+
+    A run that no state follows cannot match from any later word of it either, as all of them end where it ends.
+    """
+    for m in _RUN.finditer(text):
+        if tail := _STATE.match(text, m.end()):
+            yield text[m.start() : tail.end()].strip(), m.start(), tail.end()
+
+
 def found_in(text: str, strict: bool = True) -> list[tuple]:
     """(type, ordinal, text, start, end, context) of each different text of a kind at its first match."""
     out = []

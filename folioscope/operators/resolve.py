@@ -86,10 +86,16 @@ def tier_counts(tiered: DataFrame) -> DataFrame:
     return tiered.groupBy("tier").agg(F.count("*").alias("pairs"), F.round(F.avg("confidence"), 9).alias("mean_confidence"))
 
 
+def _before(a: Column, b: Column) -> Column:
+    """The surer pair first, of equals by the ids."""
+    one, two = (F.struct(-x["confidence"], x["entity1_id"], x["entity2_id"]) for x in (a, b))
+    return F.when(one < two, -1).when(one > two, 1).otherwise(0)
+
+
 def report(tiered: DataFrame) -> DataFrame:
     """One row with the tiers as arrays: at most as many pairs as the report's limit."""
     cols = [c for c in tiered.columns if c != "tier"]
-    arr = lambda t: F.array_sort(F.collect_list(F.when(F.col("tier") == t, F.struct(*cols))), lambda a, b: F.when(a["confidence"] > b["confidence"], -1).when(a["confidence"] < b["confidence"], 1).otherwise(0)).alias(t)
+    arr = lambda t: F.array_sort(F.collect_list(F.when(F.col("tier") == t, F.struct(*cols))), _before).alias(t)
     return tiered.agg(F.count("*").alias("total_candidates"), arr("auto_merge"), arr("llm_review"), arr("manual_review"))
 
 

@@ -72,6 +72,35 @@ f AS (SELECT doc_id, legal, CASE WHEN regexp_matches(head, 'From:\s+.+\nTo:\s+.+
   CASE WHEN regexp_matches(head, '(?i)MOTION\s+(?:TO|FOR)|MEMORANDUM\s+OF\s+LAW') THEN 'motion' WHEN regexp_matches(head3, '(?i)DEPOSITION|EXAMINATION\s+OF') THEN 'deposition' WHEN regexp_matches(head, '(?i)Case\s+\d+:\d+-[a-z]+-\d+') THEN 'court_filing' END AS sub FROM g)"""
 )
 
+_STRIP = r"regexp_replace({0}, '^\s+|\s+$', '', 'g')"
+_CONTENT = (
+    "WITH"
+    + _TEXT
+    + r", c AS (SELECT doc_id, regexp_replace(t, '^\x{FEFF}', '') AS content FROM d), h AS (SELECT *, left(content, 3000) AS head, left(content, 1000) AS head1, list_transform(string_split(content, chr(10)), lambda x: "
+    + _STRIP.format("x")
+    + ") AS ls FROM c)"
+)
+_UPPER = "(x = upper(x) AND x <> lower(x))"
+# The patterns of legal papers.
+_VERSUS = r"'(?i)(?:Plaintiff|Petitioner)s?,?\s+v\.?\s'"
+_PARTIES = r"'(?is)([A-Za-z][A-Za-z\s,.]+?),?\s+(?:et\s+al\.?)?,?\s+(?:Plaintiff|Petitioner)s?,?\s+v\.?\s+([A-Za-z][A-Za-z\s,.]+?),?\s+(?:et\s+al\.?)?,?\s+(?:Defendant|Respondent)s?'"
+_COURT = r"'(?i)(UNITED\s+STATES\s+(?:DISTRICT\s+COURT|COURT\s+OF\s+APPEALS))\s+([A-Z\s]+(?:DISTRICT|CIRCUIT))'"
+_FILED = r"'(?i)Document\s+(\d+)\s+Filed\s+(\d+/\d+/\d+)'"
+_DAY = r"'^(\d{1,2})/(\d{1,2})/(\d{4}|\d{2})'"
+_ATTORNEY = r"'(?i)([A-Z][a-z]+\s+[A-Z][a-z]+(?:\s+[A-Z][a-z]+)?)\s+(?:,\s*)?([^,\n]+?)?\s+(?:Bar\s+No\.|Attorney\s+for)'"
+# The texts of the reasons.
+_REASON = r"""CASE WHEN lev = 0 THEN 'Exact match (different case)' ELSE concat_ws('; ', CASE lev WHEN 1 THEN 'Edit distance=1 (likely typo)' WHEN 2 THEN 'Edit distance=2 (possible typo)' ELSE 'Edit distance=' || lev END,
+ CASE WHEN jaccard >= 0.8 THEN 'High token overlap (' || round_even(jaccard * 100, 0)::INT || '%)' WHEN jaccard >= 0.5 THEN 'Good token overlap (' || round_even(jaccard * 100, 0)::INT || '%)' END,
+ CASE WHEN greatest(entity1_count, entity2_count) > 10 AND least(entity1_count, entity2_count)::DOUBLE / greatest(entity1_count, entity2_count) < 0.1 THEN 'Rare variant (' || least(entity1_count, entity2_count) || ' vs ' || greatest(entity1_count, entity2_count) || ')' END,
+ CASE WHEN jaccard < 0.3 THEN 'Low token overlap (' || round_even(jaccard * 100, 0)::INT || '%)' END) END"""
+
+
+def _side(group: int) -> str:
+    """The names of one side of a case."""
+    whole = _STRIP.format(f"regexp_extract(head, {_PARTIES}, {group})")
+    return f"CASE WHEN regexp_matches(head, {_VERSUS}) THEN array_to_string(list_filter(list_transform(regexp_split_to_array({whole}, " + r"'(?i),\s*(?:et\s+al\.?)?')" + f", lambda x: {_STRIP.format('x')}), lambda x: x <> ''), '|') ELSE '' END"
+
+
 SQL = {
     "scn_doc_id": r"SELECT doc_id, CASE WHEN regexp_extract(stem, 'HOUSE_OVERSIGHT_\d+') <> '' THEN regexp_extract(stem, 'HOUSE_OVERSIGHT_\d+') ELSE stem END AS file_id FROM (SELECT doc_id, regexp_replace(string_split(filepath, '/')[-1], '\.[^.]*$', '') AS stem FROM documents)",
     "scn_scores": _SCORES + " SELECT doc_id, round(mail_score, 9) AS mail_score, round(narrative_score, 9) AS narrative_score, round(html_score, 9) AS html_score, kind AS document_type, round(best, 9) AS score FROM k",
@@ -144,6 +173,30 @@ SQL = {
     "snk_upsert": "WITH o AS (SELECT canonical_id, min(total_mentions) AS total_mentions FROM canonical_entities GROUP BY 1), n AS (SELECT canonical_id, max(total_mentions) + 1000 AS total_mentions FROM canonical_entities WHERE entity_type = 'person' AND total_mentions IS NOT NULL GROUP BY 1) SELECT o.canonical_id, coalesce(n.total_mentions, o.total_mentions) AS total_mentions FROM o LEFT JOIN n USING (canonical_id)",
     "snk_ignore": "SELECT entity_id, count(*) AS documents FROM (SELECT DISTINCT doc_id, entity_id FROM document_entities) GROUP BY entity_id",
     "snk_load": "WITH f AS (SELECT filepath, max(full_text) AS t FROM documents WHERE full_text <> '' GROUP BY 1), c AS (SELECT DISTINCT filepath FROM documents) SELECT count(*) FILTER (c.filepath IS NOT NULL AND c.filepath <> '' AND t IS NOT NULL) AS loaded, count(*) FILTER (c.filepath IS NULL OR c.filepath = '') AS skipped, count(*) FILTER (c.filepath <> '' AND t IS NULL) AS error FROM c LEFT JOIN f USING (filepath)",
-    "pip_assembled": "WITH " + _MAILS + ", m AS (SELECT doc_id, type, text, max(confidence) AS c FROM document_entities JOIN entities USING (entity_id) GROUP BY ALL), r AS (SELECT *, row_number() OVER (PARTITION BY doc_id, type ORDER BY c DESC, text) AS p FROM m), l AS (SELECT doc_id, string_agg(text, '|' ORDER BY p) FILTER (type = 'person' AND p <= 20) AS people, string_agg(text, '|' ORDER BY p) FILTER (type = 'organization' AND p <= 10) AS organizations, string_agg(text, '|' ORDER BY p) FILTER (type = 'location' AND p <= 10) AS locations FROM r GROUP BY 1), n AS (SELECT doc_id, count(*) AS mentions FROM m GROUP BY 1) SELECT d.doc_id, d.doc_type, coalesce(people, '') AS people, coalesce(organizations, '') AS organizations, coalesce(locations, '') AS locations, coalesce(mentions, 0) AS mentions, subject FROM documents d LEFT JOIN l USING (doc_id) LEFT JOIN n USING (doc_id) LEFT JOIN mails USING (doc_id)",
+    "pip_assembled": "WITH " + _MAILS + ", m AS (SELECT doc_id, type, text, max(confidence) AS c FROM document_entities JOIN entities USING (entity_id) GROUP BY ALL), r AS (SELECT *, row_number() OVER (PARTITION BY doc_id, type ORDER BY c DESC, text) AS p FROM m), l AS (SELECT doc_id, string_agg(text, '|' ORDER BY p) FILTER (type = 'person' AND p <= 20) AS people, string_agg(text, '|' ORDER BY p) FILTER (type = 'organization' AND p <= 10) AS organizations, string_agg(text, '|' ORDER BY p) FILTER (type = 'location' AND p <= 10) AS locations FROM r GROUP BY 1), n AS (SELECT doc_id, count(*) AS mentions FROM m GROUP BY 1) SELECT d.doc_id, d.doc_type, '' AS urls, coalesce(people, '') AS people, coalesce(organizations, '') AS organizations, coalesce(locations, '') AS locations, coalesce(mentions, 0) AS mentions, subject FROM documents d LEFT JOIN l USING (doc_id) LEFT JOIN n USING (doc_id) LEFT JOIN mails USING (doc_id)",
 }
 SQL["fts_indexed"] = SQL["fts_boolean"]
+_EDGES = """chr(39) || '"[]()<>'"""
+SQL |= {
+    "eml_clean": "WITH q AS (" + SQL["eml_addresses"] + "), n AS (SELECT *, trim(trim(trim(name), " + _EDGES + ")) AS n1 FROM q WHERE email IS NOT NULL), m AS (SELECT *, CASE WHEN lower(n1) LIKE 'mailto:%' THEN trim(substr(n1, 8)) ELSE n1 END AS n2 FROM n) SELECT doc_id, CASE WHEN email = '[REDACTED]' THEN 'redacted' ELSE trim(regexp_replace(lower(trim(email)), '^mailto:', ''), " + _EDGES + r") END AS email, nullif(trim(regexp_replace(regexp_replace(regexp_replace(n2, '\s*\[\s*\]\s*', ' ', 'g'), '\s*\(\s*\)\s*', ' ', 'g'), '\s+', ' ', 'g')), '') AS name FROM m",
+    "cls_hybrid": _CLS + ", r AS (SELECT f.doc_id, found_type, CASE found_type WHEN 'email' THEN 0.95 WHEN 'legal' THEN least(legal, 0.95::DOUBLE) WHEN 'news' THEN 0.85 WHEN 'congressional' THEN 0.9 WHEN 'narrative' THEN 0.7 ELSE 0.5 END::DOUBLE AS conf, left(documents.full_text, 1000) AS t FROM f JOIN documents USING (doc_id)), a AS (SELECT *, NOT (found_type <> 'other' AND conf >= 0.85) AND coalesce(contains(t, ' I ') OR contains(t, 'Memoir'), false) AS asked FROM r) SELECT doc_id, CASE WHEN asked THEN 'memoir' ELSE found_type END AS doc_type, CASE WHEN asked THEN 0.8::DOUBLE ELSE conf END AS confidence, CASE WHEN asked THEN 'llm' ELSE 'regex' END AS method, CASE WHEN asked THEN 'first person' END AS reasoning FROM a",
+    "scn_report": "WITH a AS (" + SQL["scn_types"] + "), b AS (" + SQL["scn_mentions"] + "), t AS (SELECT count(*) AS n FROM documents) SELECT 'type' AS section, document_type AS name, documents AS n FROM a UNION ALL SELECT 'seed', entity_name, mentions FROM b UNION ALL SELECT 'total', 'documents', n FROM t",
+    "sim_reasons": "WITH" + _PAIRS + " SELECT entity1_id, entity2_id, " + _REASON + " AS reason FROM cand WHERE type = 'person'",
+    "sim_report": "WITH" + _PAIRS + ", t AS (SELECT *, CASE WHEN conf >= 0.95 THEN 'auto_merge' WHEN conf >= 0.80 THEN 'llm_review' ELSE 'manual_review' END AS tier FROM (SELECT * FROM cand ORDER BY conf DESC, entity1_id, entity2_id LIMIT 200)) SELECT tier, (row_number() OVER (PARTITION BY tier ORDER BY conf DESC, entity1_id, entity2_id) - 1)::INT AS place, entity1_id, entity2_id, round(conf, 9) AS confidence FROM t",
+    "can_review": "WITH" + _PAIRS + r", t AS (SELECT * FROM cand ORDER BY conf DESC, entity1_id, entity2_id LIMIT 200) SELECT entity1_id, entity2_id, regexp_split_to_array(trim(entity1_text), '\s+')[-1] = regexp_split_to_array(trim(entity2_text), '\s+')[-1] AS should_merge, 'last words' AS note FROM t WHERE conf >= 0.80 AND conf < 0.95",
+    "leg_fields": _CONTENT
+    + f", x AS (SELECT *, nullif(regexp_extract(head, {_FILED}, 2), '') AS fs FROM h), y AS (SELECT *, regexp_extract(fs, {_DAY}, 1) AS m, regexp_extract(fs, {_DAY}, 2) AS dd, regexp_extract(fs, {_DAY}, 3) AS yy FROM x)"
+    + r" SELECT doc_id, nullif(regexp_extract(head, '(?i)Case\s+(\d+:\d+-[a-z]+-\d+)', 1), '') AS case_number, "
+    + f"nullif(regexp_extract(head, {_FILED}, 1), '') AS document_number, fs AS filing_date_str, "
+    + "CAST(CAST(try_strptime(CASE WHEN length(yy) = 4 THEN yy WHEN yy < '50' THEN '20' || yy ELSE '19' || yy END || '-' || lpad(m, 2, '0') || '-' || lpad(dd, 2, '0'), '%Y-%m-%d') AS DATE) AS VARCHAR) AS filing_date, "
+    + _STRIP.format(f"nullif(regexp_extract(head, {_COURT}, 1), '')") + " AS court, " + _STRIP.format(f"nullif(regexp_extract(head, {_COURT}, 2), '')") + " AS district, " + _side(1) + " AS plaintiffs, " + _side(2)
+    + r" AS defendants, CASE WHEN regexp_matches(head, '(?i)MOTION\s+(?:TO|FOR)') THEN 'motion' WHEN regexp_matches(head, '(?i)MEMORANDUM\s+(?:OF\s+LAW|IN\s+SUPPORT)') THEN 'memorandum' WHEN regexp_matches(head, '(?i)DEPOSITION|EXAMINATION\s+OF') THEN 'deposition' WHEN regexp_matches(head, '(?i)ORDER(?:\s+AND|\s+GRANTING|\s+DENYING)') THEN 'order' WHEN regexp_matches(head, '(?i)COMPLAINT') THEN 'complaint' WHEN regexp_matches(head, '(?i)ANSWER\s+TO') THEN 'answer' WHEN regexp_matches(head, '(?i)BRIEF\s+IN\s+SUPPORT') THEN 'brief' END AS document_type, "
+    + _STRIP.replace("{0}", r"nullif(regexp_extract(head, '(?m)^([A-Z][A-Z\s]{10,100})$', 1), '')") + " AS title FROM y",
+    "leg_body": _CONTENT + r", x AS (SELECT doc_id, ls, list_position(list_transform(ls, lambda x: length(x) > 50 AND NOT " + _UPPER + r" AND NOT regexp_matches(x, '^Case\s+\d+:') AND NOT regexp_matches(x, '^Document\s+\d+')), true) AS k FROM h) SELECT doc_id, array_to_string(list_filter(ls[coalesce(nullif(k, 0), 1):], lambda x: length(x) >= 10 AND NOT regexp_matches(x, '^\d+$') AND NOT regexp_matches(x, '^Case\s+\d+:'))[1:1000], chr(10)) AS body FROM x",
+    "leg_attorneys": "WITH " + _MAILS + r", n AS (SELECT doc_id, trim(regexp_replace(from_addr, '\s*<[^>]*>', '', 'g')) AS name FROM mails WHERE from_addr IS NOT NULL), t AS (SELECT doc_id, concat_ws(chr(10), 'Attorneys for Plaintiff:', name || ' Example Law LLP Bar No. ' || doc_id, '', 'Attorney for Defendants', 'Ann Sample Attorney for the firm of ' || name, name || ' , Other Firm Bar No. 7') AS t FROM n), s AS (SELECT doc_id, unnest(regexp_extract_all(t, '(?is)Attorneys?\s+for\s+(?:Plaintiff|Defendant)s?:?\s*\n(.+?)(?:\n\n|\z)', 1)) AS s FROM t), a AS (SELECT doc_id, unnest(regexp_extract_all(s, " + _ATTORNEY + ", 1)) AS name, unnest(regexp_extract_all(s, " + _ATTORNEY + ", 2)) AS firm FROM s) SELECT doc_id, trim(name) AS name, nullif(trim(firm), '') AS firm, 'attorney' AS role FROM a",
+    "nws_body": _CONTENT + r", x AS (SELECT *, list_position(list_transform(ls[1:50], lambda x: length(x) > 50 AND NOT " + _UPPER + r"), true) AS k FROM h), y AS (SELECT *, array_to_string(list_filter(ls[coalesce(nullif(k, 0), 1):], lambda x: length(x) >= 20 AND NOT regexp_matches(x, '(?i)^Page\s+\d+'))[1:1000], chr(10) || chr(10)) AS body FROM x) SELECT doc_id, trim(coalesce(nullif(regexp_extract(head1, '(?m)^By\s+([A-Z][A-Za-z.'' -]+?)(?:,|$)', 1), ''), nullif(regexp_extract(head1, '(?m)^([A-Z][A-Za-z.'' -]+?)(?:,|$)\s+(?:Staff\s+Writer|Correspondent)', 1), ''))) AS author, "
+    + _STRIP.replace("{0}", r"nullif(regexp_extract(head1, '(?m)^([A-Z][a-z]+\s+[A-Za-z].*|[A-Z\s]{10,100})$', 1), '')") + r" AS headline, coalesce(nullif(regexp_extract(head1, '([A-Z][a-z]+)\s+(\d{1,2}),\s+(\d{4})'), ''), nullif(regexp_extract(head1, '(\d{1,2})/(\d{1,2})/(\d{4})'), '')) AS publication_date_str, body, nullif(split_part(body, chr(10) || chr(10), 1), '') AS summary FROM y",
+    "ent_by_model": r"WITH m AS (SELECT doc_id, full_text, unnest(regexp_extract_all(left(full_text, 3000), '[\p{L}\p{N}_]+ University')) AS text, generate_subscripts(regexp_extract_all(left(full_text, 3000), '[\p{L}\p{N}_]+ University'), 1)::INT AS ordinal FROM documents) SELECT doc_id, 'organization' AS type, ordinal, text, (instr(lower(full_text), lower(text)) - 1)::INT AS position_start, (instr(lower(full_text), lower(text)) - 1 + length(text))::INT AS position_end, 0.9::DOUBLE AS confidence, 'llm' AS method FROM m",
+    "snk_entities": "WITH e AS (SELECT normalized_text, type, min_by(coalesce(occurrence_count, 0), entity_id) AS n FROM entities WHERE normalized_text IS NOT NULL GROUP BY ALL), s AS (SELECT normalized_text, type, n FROM e UNION ALL SELECT normalized_text || ' x', type, 0 FROM e), g AS (SELECT normalized_text, type, sum(n) + count(*) AS n FROM s GROUP BY ALL) SELECT type, count(*) AS entities, sum(n)::BIGINT AS occurrences, count(*) AS ids FROM g GROUP BY type",
+    "pip_steps": _CLS + " SELECT CAST(doc_id AS VARCHAR) AS doc_id, 'pending' AS status, 2 AS steps_before, 1 AS steps, 3 AS version, found_type FROM f",
+}

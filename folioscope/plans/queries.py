@@ -13,7 +13,7 @@ from folioscope.plans import api
 from folioscope.plans.oracles import SQL
 from folioscope.session import checkpoint_dir, cut, spread
 from folioscope.sources import sinks
-from folioscope.streaming import manifest
+from folioscope.streaming import manifest, steps
 from folioscope.tables import latest, table
 from folioscope.text import lines, tokens
 
@@ -47,6 +47,11 @@ def mails(spark, d):
     return latest(table(spark, d, "email_metadata"), ["doc_id"])
 
 
+def mail_docs(spark, d):
+    """The documents that the mail table lists, whatever their stored type."""
+    return docs(spark, d).join(table(spark, d, "email_metadata").select("doc_id").distinct(), "doc_id", "left_semi")
+
+
 def threads(spark, d):
     return latest(table(spark, d, "thread_messages"), ["doc_id", "message_index"])
 
@@ -122,7 +127,11 @@ def scn_emails(spark, d):
 
 @query
 def scn_report(spark, d):
-    return survey.report(survey.classify(texts(spark, d), SEEDS)).select(F.to_json(F.struct("*")).alias("report"))
+    """The maps of the one-row report, as rows."""
+    r = cut(survey.report(survey.classify(texts(spark, d), SEEDS)))
+    types = r.select(F.lit("type").alias("section"), F.explode("document_types").alias("name", "v")).select("section", "name", F.col("v.documents").alias("n"))
+    seeds = r.select(F.lit("seed").alias("section"), F.explode("entity_mentions").alias("name", "n"))
+    return types.unionByName(seeds).unionByName(r.select(F.lit("total").alias("section"), F.lit("documents").alias("name"), F.col("total_documents").alias("n")))
 
 
 # ---------------------------------------------------------------- structural classifier
@@ -254,18 +263,18 @@ def url_types(spark, d):
 
 @query
 def eml_parsed(spark, d):
-    return emails.metadata_rows(emails.parse(docs(spark, d).filter("doc_type = 'email'"), "doc_id", "full_text"), "doc_id")
+    return emails.metadata_rows(emails.parse(mail_docs(spark, d), "doc_id", "full_text"), "doc_id")
 
 
 @query
 def eml_threads(spark, d):
-    return emails.thread_rows(emails.parse(docs(spark, d).filter("doc_type = 'email'"), "doc_id", "full_text"), "doc_id")
+    return emails.thread_rows(emails.parse(mail_docs(spark, d), "doc_id", "full_text"), "doc_id")
 
 
 @query
 def eml_quotes(spark, d):
-    p = emails.parse(docs(spark, d).filter("doc_type = 'email'"), "doc_id", "full_text")
-    return p.select("doc_id", F.size("mail.quoted_text").alias("sections"), F.char_length("mail.body").alias("body_chars"), F.char_length("mail.signature").alias("signature_chars"))
+    p = emails.parse(mail_docs(spark, d), "doc_id", "full_text")
+    return p.select("doc_id", "mail.body", "mail.signature", F.array_join("mail.quoted_text", "\n\n").alias("quoted"))
 
 
 @query
@@ -300,17 +309,22 @@ def eml_skips(spark, d):
 
 @query
 def leg_fields(spark, d):
-    return legal.parse(texts(spark, d), "doc_id", "full_text").drop("body")
+    listed = {c: F.array_join(c, "|") for c in ("plaintiffs", "defendants")}
+    return legal.parse(texts(spark, d), "doc_id", "full_text").drop("body").withColumns(listed | {"filing_date": F.col("filing_date").cast("string")})
 
 
 @query
 def leg_body(spark, d):
-    return legal.parse(texts(spark, d).filter("doc_type = 'legal_document'"), "doc_id", "full_text").select("doc_id", F.char_length("body").alias("chars"))
+    return legal.parse(texts(spark, d), "doc_id", "full_text").select("doc_id", "body")
 
 
 @query
 def leg_attorneys(spark, d):
-    return docs(spark, d).select("doc_id", F.explode(legal.attorneys(F.concat(F.lit("Attorneys for Plaintiff:\n"), F.col("full_text")))).alias("a")).select("doc_id", "a.*")
+    """Sections made of the senders' names, as the test texts hold none."""
+    name = F.trim(F.regexp_replace("from_addr", r"\s*<[^>]*>", ""))
+    parts = [F.lit("Attorneys for Plaintiff:"), F.concat(name, F.lit(" Example Law LLP Bar No. "), F.col("doc_id").cast("string")), F.lit(""), F.lit("Attorney for Defendants"), F.concat(F.lit("Ann Sample Attorney for the firm of "), name), F.concat(name, F.lit(" , Other Firm Bar No. 7"))]
+    m = mails(spark, d).filter("from_addr is not null").select("doc_id", F.concat_ws("\n", *parts).alias("t"))
+    return m.select("doc_id", F.explode(legal.attorneys(F.col("t"))).alias("a")).select("doc_id", "a.*")
 
 
 @query
@@ -320,7 +334,7 @@ def nws_fields(spark, d):
 
 @query
 def nws_body(spark, d):
-    return news.parse(texts(spark, d).filter("doc_type = 'news_article'"), "doc_id", "full_text", loose=True).select("doc_id", "author", "headline", "publication_date_str", F.char_length("body").alias("chars"), F.char_length("summary").alias("summary_chars"))
+    return news.parse(texts(spark, d), "doc_id", "full_text", loose=True).select("doc_id", "author", "headline", "publication_date_str", "body", "summary")
 
 
 # ---------------------------------------------------------------- similar entities
@@ -348,7 +362,10 @@ def sim_tiers(spark, d):
 
 @query
 def sim_report(spark, d):
-    return resolve.report(resolve.tiers(resolve.candidates(table(spark, d, "entities"), table(spark, d, "entity_aliases"), None, 2), 200)).select(F.to_json(F.struct("*")).alias("report"))
+    """The arrays of the one-row report, as rows."""
+    r = cut(resolve.report(resolve.tiers(resolve.candidates(table(spark, d, "entities"), table(spark, d, "entity_aliases"), None, 2), 200)))
+    tiers = [r.select(F.lit(t).alias("tier"), F.posexplode(t).alias("place", "p")) for t in ("auto_merge", "llm_review", "manual_review")]
+    return tiers[0].unionByName(tiers[1]).unionByName(tiers[2]).select("tier", "place", "p.entity1_id", "p.entity2_id", F.round("p.confidence", 9).alias("confidence"))
 
 
 # ---------------------------------------------------------------- canonical records
@@ -625,9 +642,12 @@ def snk_ignore(spark, d):
 
 @query
 def snk_entities(spark, d):
-    e = table(spark, d, "entities").filter("normalized_text is not null").dropDuplicates(["normalized_text", "type"])
-    seen = e.select("normalized_text", "type", "text", F.col("entity_id").alias("doc_id")).unionByName(e.select(F.concat(F.col("normalized_text"), F.lit(" x")).alias("normalized_text"), "type", "text", F.col("entity_id").alias("doc_id")))
-    return sinks.entity_upsert(e.select("entity_id", "text", "type", "normalized_text", "first_seen_doc_id", "occurrence_count"), seen).groupBy("type").agg(F.count("*").alias("entities"), F.sum("occurrence_count").alias("occurrences"))
+    """Every normal form seen once more, and one that is new for each."""
+    key = ["normalized_text", "type"]
+    e = table(spark, d, "entities").filter("normalized_text is not null").groupBy(*key).agg(F.min(F.struct("entity_id", "text", "first_seen_doc_id", "occurrence_count")).alias("r")).select(*key, "r.*")
+    seen = e.select(*key, "text", F.col("entity_id").alias("doc_id")).unionByName(e.select(F.concat(F.col("normalized_text"), F.lit(" x")).alias("normalized_text"), "type", "text", F.col("entity_id").alias("doc_id")))
+    made = sinks.entity_upsert(e.select("entity_id", "text", "type", "normalized_text", "first_seen_doc_id", "occurrence_count"), seen)
+    return made.groupBy("type").agg(F.count("*").alias("entities"), F.sum("occurrence_count").alias("occurrences"), F.countDistinct("entity_id").alias("ids"))
 
 
 @query
@@ -640,20 +660,30 @@ def snk_load(spark, d):
 @query
 def pip_steps(spark, d):
     """Documents taken through two steps; then the first one's version changes and its dependents' results go."""
-    dd = docs(spark, d).select(F.col("doc_id").cast("string").alias("doc_id"), "filepath", "full_text", "doc_type")
-    first = manifest.Step("classify", 1, (), lambda x: x.select("doc_id", classify.document_type(F.col("full_text"))["doc_type"].alias("outcome")))
-    second = manifest.Step("extract_email_metadata", 4, ("classify",), lambda x: x.filter("doc_type = 'email'").select("doc_id", F.lit("parsed").alias("outcome")))
+    dd = texts(spark, d).select(F.col("doc_id").cast("string").alias("doc_id"), "filepath", "full_text")
+    by_name = {s.name: s for s in steps.all_steps()}
+    first, second = by_name["classify"], by_name["extract_email_metadata"]
     m = manifest.create(dd, "doc_id", "filepath", "t0")
     m = cut(manifest.run_step(cut(manifest.run_step(m, dd, first, "t1")), dd, second, "t2"))
-    again = manifest.Step("classify", 2, (), first.run)
-    m = manifest.run_step(m, dd, again, "t3")
-    return m.select("status", F.size("steps").alias("steps"), manifest.last_step(F.col("steps"))["step_version"].alias("version")).groupBy("status", "steps", "version").agg(F.count("*").alias("documents"))
+    done = m.select("doc_id", F.size("steps").alias("steps_before"))
+    m = manifest.run_step(m, dd, manifest.Step("classify", 3, (), first.run), "t3")
+    last = manifest.last_step(F.col("steps"))
+    return m.join(done, "doc_id").select("doc_id", "status", "steps_before", F.size("steps").alias("steps"), last["step_version"].alias("version"), F.get_json_object(last["outcome"], "$.doc_type").alias("found_type"))
+
+
+@query
+def pip_metadata(spark, d):
+    """All five steps over all documents: the type and numbers that the last one put together."""
+    dd = texts(spark, d).select(F.col("doc_id").cast("string").alias("doc_id"), "filepath", "full_text")
+    m = manifest.run_all(manifest.create(dd, "doc_id", "filepath", "t0"), dd, steps.all_steps(), "t1")
+    get = lambda k: F.col("metadata")[k]
+    return m.select("doc_id", "status", get("doc_type").alias("doc_type"), get("subject").alias("subject"), get("urls_count").cast("int").alias("urls"), get("entities_count").cast("int").alias("entities"))
 
 
 @query
 def pip_assembled(spark, d):
     dd = docs(spark, d)
     m = table(spark, d, "document_entities").join(table(spark, d, "entities").select("entity_id", "text", "type"), "entity_id").select("doc_id", "type", "text", "confidence").groupBy("doc_id", "type", "text").agg(F.max("confidence").alias("confidence"))
-    u = dd.select("doc_id", F.array().cast("array<struct<url:string>>").alias("urls"))
+    u = url_functions.extract(texts(spark, d), "doc_id", "full_text").select("doc_id", "urls")
     out = manifest.assemble(dd.select("doc_id", "doc_type"), m, u, mails(spark, d).select("doc_id", "subject"))
-    return out.select("doc_id", "doc_type", F.array_join("people", "|").alias("people"), F.array_join("organizations", "|").alias("organizations"), F.array_join("locations", "|").alias("locations"), "mentions", "subject")
+    return out.select("doc_id", "doc_type", F.array_join("urls", "|").alias("urls"), F.array_join("people", "|").alias("people"), F.array_join("organizations", "|").alias("organizations"), F.array_join("locations", "|").alias("locations"), "mentions", "subject")

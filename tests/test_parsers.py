@@ -84,3 +84,18 @@ def test_news(spark):
     assert r[0].author is None and r[1].author == "Madonna" and r[0].publication == "Miami Herald" and str(r[0].publication_date) == "2015-01-05"
     assert r[0].summary == "x" * 60 and "Page" not in r[0].body
     assert news.parse(d, "k", "t", loose=True).orderBy("k").collect()[0].author == "Ann Example"
+
+
+def test_places_like_the_pattern():
+    """The linear scanner gives the matches of the pattern, on texts made of its pieces too, and takes a long run of capitalised words at once."""
+    import random
+    import re
+    import time
+
+    rng, p = random.Random(3), re.compile(entities.PATTERNS["location"][0])
+    for _ in range(4000):
+        text = "".join(rng.choice(["Ab", "Reno", "NV", "A", "b", " ", " ", ",", ", ", "\n", "Mc", "D", "x", "1", ".", "é"]) for _ in range(rng.randrange(1, 24)))
+        assert list(entities.places(text)) == [(m[0].strip(), m.start(), m.end()) for m in p.finditer(text)], text
+    began = time.time()
+    entities.found_in("Abc Defg " * 12_000)
+    assert time.time() - began < 10

@@ -3,6 +3,7 @@
 import pytest
 
 import __spark_entry__ as entry
+from folioscope.plans import queries as core
 from folioscope.session import spread
 
 
@@ -29,7 +30,7 @@ def test_aggregates_before_the_shuffle(spark, sf, name):
     assert "partial_" in plan(spark, sf, name)
 
 
-@pytest.mark.parametrize("name", sorted(set(entry.queries()) - {"p9_mix", "p9_shares"}))
+@pytest.mark.parametrize("name", sorted(core.QUERIES))
 def test_no_cross_joins_but_of_one_row(spark, sf, name):
     p = entry.queries()[name](spark, sf)._jdf.queryExecution().executedPlan().toString()
     assert "CartesianProduct" not in p
@@ -39,3 +40,16 @@ def test_spread(spark):
     d = spark.range(100).coalesce(1)
     assert spread(d).rdd.getNumPartitions() == spark.sparkContext.defaultParallelism
     assert spread(spark.range(0, 100, 1, 50)).rdd.getNumPartitions() == 50
+
+
+@pytest.mark.parametrize("name", ["fts_word", "fts_boolean", "fts_phrase", "fts_prefix"])
+def test_search_scans_once(spark, sf, name):
+    """Counts are written by one scan of the documents; ranks read only them, without a join of terms."""
+    p = plan(spark, sf, name)
+    assert p.count("FileScan parquet") == 0 and "SortMergeJoin" not in p and "Generate" not in p
+
+
+def test_index_query_reads_its_terms(spark, sf):
+    p = plan(spark, sf, "fts_indexed")
+    assert "FileScan parquet" in p  # of the lengths alone: the postings were read and counted once
+    assert p.count("positions") == 0
