@@ -7,9 +7,9 @@ rounds. Two sketches agree in a coordinate with the Jaccard similarity of the se
 Coordinates are banded; documents that agree in a whole band are candidates, and each candidate is verified
 exactly on the shingles.
 
-Copies with equal shingle sets are one class and take part through one representative. A bucket of a band that
-holds more than ``hot`` representatives is spread over salts, and its pairs leave the join only if their sizes and a bit of
-each coordinate leave it open that they reach the threshold.
+Copies with equal shingle sets are one class and take part through one representative. Members of a bucket of a band, and of a class,
+meet in blocks of at most ``BLOCK`` by ``BLOCK``: a group of m members has (m / BLOCK) squared of them, so no task's work grows with the group. Pairs of
+large buckets leave the join only if their sizes and a bit of each coordinate leave it open that they reach the threshold.
 """
 
 from __future__ import annotations
@@ -25,6 +25,8 @@ from pyspark.sql import functions as F
 from folioscope.llm.groups import components
 from folioscope.session import cut, spread
 
+#: Members of a group that meet in one block of its self-join, on either side.
+BLOCK = 1024
 WORD = re.compile(r"[^\W_]+")
 _M1, _M2, _M3 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB), np.uint64(0x9E3779B97F4A7C15)
 
@@ -159,42 +161,51 @@ def may_be_similar(a: Column, b: Column, words: int, coordinates: int, threshold
     return differ <= most
 
 
-def candidate_pairs(banded: DataFrame, marks: DataFrame, fits, hot: int = 64, salts: int = 16) -> DataFrame:
+def blocked(rows: DataFrame, group: str, member: str, size: str, block: int = BLOCK) -> tuple[DataFrame, DataFrame]:
+    """Both sides of the self-join of each ``group`` on (group, _i, _j): ``rows`` with the block pairs in which each ``member`` takes part, as the first and as the second.
+
+    ``size`` is how many members the row's group has; one of up to ``block`` is a single block and no row is repeated.
+    """
+    blocks = F.ceil(F.col(size) / F.lit(block)).cast("int")
+    own, all_ = F.pmod(F.xxhash64(member), blocks).cast("int"), F.explode(F.sequence(F.lit(0), blocks - 1))
+    return rows.withColumn("_i", own).withColumn("_j", all_), rows.withColumn("_j", own).withColumn("_i", all_)
+
+
+def candidate_pairs(banded: DataFrame, marks: DataFrame, fits, hot: int = 64, block: int = BLOCK) -> DataFrame:
     """Distinct pairs ``a`` < ``b`` of the ids in ``banded`` (id, band) that agree in a band and whose ``marks`` fit.
 
     Buckets of at most ``hot`` members are expanded by a self-join. Members of larger ones are compared too, as each of their
-    pairs may be similar, but in blocks: one side is spread over ``salts``, and a pair leaves the join only if
-    the marks (size and sketch bits) of both leave it open that it reaches the threshold. No bucket is dropped or cut.
+    pairs may be similar, but in blocks, and a pair leaves the join only if the marks (size and sketch bits) of both leave it open that it
+    reaches the threshold. No bucket is dropped or cut.
     """
     size = banded.groupBy("band").agg(F.count("*").alias("m")).filter("m > 1")
     # Most buckets hold one member; only the others are kept for what follows.
     shared = cut(banded.join(size, "band"))
+    keys = ("band", "_i", "_j")
 
     def side(df: DataFrame, name: str) -> DataFrame:
-        return df.select(*[F.col(c).alias(name if c == "id" else c if c == "band" else f"{c}_{name}") for c in df.columns])
+        return df.select(*[F.col(c).alias(name if c == "id" else c if c in keys else f"{c}_{name}") for c in df.columns])
 
     cold = shared.filter(F.col("m") <= hot)
     pairs = side(cold.select("band", "id"), "a").join(side(cold.select("band", "id"), "b"), "band").filter("a < b").select("a", "b").distinct()
     done = pairs.join(side(marks, "a"), "a").join(side(marks, "b"), "b").filter(fits).select("a", "b")
-    warm = shared.filter(F.col("m") > hot).select("band", "id")
+    warm = shared.filter(F.col("m") > hot).select("band", "id", "m")
     if warm.isEmpty():
         return done
-    marked = cut(warm.join(marks, "id"))
-    left = side(marked, "a").withColumn("_s", F.pmod(F.xxhash64("a"), F.lit(salts)).cast("int"))
-    right = side(marked, "b").withColumn("_s", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
-    hot_pairs = left.join(right, ["band", "_s"]).filter("a < b").filter(fits).select("a", "b")
+    left, right = blocked(cut(warm.join(marks, "id")), "band", "id", "m", block)
+    hot_pairs = side(left, "a").join(side(right, "b"), list(keys)).filter("a < b").filter(fits).select("a", "b")
     return done.unionByName(hot_pairs).distinct()
 
 
 def class_pairs(df: DataFrame, key: str, text: str, width: int = 5, threshold: float = 0.8, least_words: int = 1, bands: int = 40, rows: int = 5) -> tuple[DataFrame, DataFrame]:
-    """(members: key, id), (pairs: a, b) of class representatives whose sets reach ``threshold``; a < b.
+    """(members: key, id, m), (pairs: a, b) of class representatives whose sets reach ``threshold``; a < b.
 
-    A class holds the documents with equal shingle sets; its id is the smallest key.
+    A class holds the documents with equal shingle sets, ``m`` of them; its id is the smallest key.
     """
     docs = texts(df, key, text)
     made = cut(sketches(docs, key, text, width, least_words, bands, rows))
-    first = made.groupBy("h", "g").agg(F.min(key).alias("id"))
-    members = cut(made.select(key, "h", "g", "n").join(first, ["h", "g"]).select(key, "id", "n"))
+    first = made.groupBy("h", "g").agg(F.min(key).alias("id"), F.count("*").alias("m"))
+    members = cut(made.select(key, "h", "g").join(first, ["h", "g"]).select(key, "id", "m"))
     own = made.join(members.filter(F.col(key) == F.col("id")).select(key), key)
     banded = own.select(F.col(key).alias("id"), F.explode("bands").alias("band"))
     marks = own.select(F.col(key).alias("id"), "n", "bits")
@@ -207,24 +218,36 @@ def class_pairs(df: DataFrame, key: str, text: str, width: int = 5, threshold: f
     left = sets.select(F.col(key).alias("a"), F.col("shingles").alias("sa"))
     right = sets.select(F.col(key).alias("b"), F.col("shingles").alias("sb"))
     checked = pairs.join(left, "a").join(right, "b").filter(similar(F.col("sa"), F.col("sb"), threshold)).select("a", "b")
-    return members.select(key, "id"), cut(checked)
+    return members, cut(checked)
 
 
 #: Parameters of p2_found as TESTDATA.md states them, with bands that find a pair at 0.7 with probability 0.9998.
 FOUND = {"width": 3, "threshold": 0.7, "least_words": 30, "bands": 46, "rows": 5}
 
 
+def expanded(pairs: DataFrame, members: DataFrame, block: int = BLOCK) -> DataFrame:
+    """x < y: all pairs of members of similar classes and of members of one class. ``members``: d, id, m (how many its class has)."""
+    blocks = F.ceil(F.col("m") / F.lit(block)).cast("int")
+    sizes = members.filter("d = id").select("id", blocks.alias("n"))
+    # A pair of classes meets each block of either, so the members of a large class are spread.
+    spread_ = pairs.join(sizes.select(F.col("id").alias("a"), F.col("n").alias("_na")), "a").join(sizes.select(F.col("id").alias("b"), F.col("n").alias("_nb")), "b")
+    spread_ = spread_.withColumn("_i", F.explode(F.sequence(F.lit(0), F.col("_na") - 1))).withColumn("_j", F.explode(F.sequence(F.lit(0), F.col("_nb") - 1)))
+    placed = members.withColumn("_p", F.pmod(F.xxhash64("d"), blocks).cast("int"))
+    first, second = placed.select(F.col("id").alias("a"), F.col("_p").alias("_i"), F.col("d").alias("x")), placed.select(F.col("id").alias("b"), F.col("_p").alias("_j"), F.col("d").alias("y"))
+    across = spread_.join(first, ["a", "_i"]).join(second, ["b", "_j"]).select("x", "y")
+    left, right = blocked(members.filter("m > 1"), "id", "d", "m", block)
+    within = left.select("id", "_i", "_j", F.col("d").alias("x")).join(right.select("id", "_i", "_j", F.col("d").alias("y")), ["id", "_i", "_j"]).filter("x < y").select("x", "y")
+    return across.unionByName(within).select(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y"))
+
+
 def found(documents: DataFrame, key: str = "doc_id", text: str = "full_text") -> DataFrame:
     """p2_found: all pairs doc_id_a < doc_id_b of documents of at least 30 words that share 0.7 of their 3-word shingles.
 
     Null, empty and shorter texts have no pair. Pairs within classes of copies are cases too, and are expanded at the end.
     """
     members, pairs = class_pairs(documents, key, text, **FOUND)
-    m = members.select(F.col(key).alias("d"), "id")
-    across = pairs.join(m.select(F.col("id").alias("a"), F.col("d").alias("x")), "a").join(m.select(F.col("id").alias("b"), F.col("d").alias("y")), "b").select("x", "y")
-    within = m.select("id", F.col("d").alias("x")).join(m.select("id", F.col("d").alias("y")), "id").filter("x < y").select("x", "y")
-    both = across.unionByName(within)
-    return both.select(F.least("x", "y").alias("doc_id_a"), F.greatest("x", "y").alias("doc_id_b"))
+    m = members.select(F.col(key).alias("d"), "id", "m")
+    return expanded(pairs, m).select(F.col("x").alias("doc_id_a"), F.col("y").alias("doc_id_b"))
 
 
 def grouped(documents: DataFrame, key: str = "doc_id", text: str = "full_text", **parameters) -> DataFrame:

@@ -12,16 +12,19 @@ from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from folioscope.session import cut
+
 
 @dataclass(frozen=True)
 class Field:
     """One field of the surviving record.
 
     ``value`` is the column. ``vote`` gives a record's vote (default: source trust times recency decay).
-    ``normal`` maps a value to what counts as equal (default: itself). ``fullness`` ranks values before their votes (``first``)
-    or after them. Ties end at the smallest value by code point.
+    ``normal`` maps a value to what counts as equal (default: itself). ``rank`` orders values before their votes (``rank_first``)
+    or after them. Ties end at the smallest value by code point. With ``total`` the field is the sum of all its votes instead of a value.
     """
 
     name: str
@@ -30,6 +33,7 @@ class Field:
     normal: Callable[[Column], Column] | None = None
     rank: Callable[[Column], list[Column]] | None = None
     rank_first: bool = False
+    total: bool = False
 
 
 def decay_vote(trust: Column, age_days: Column, half_life_days: float = 180.0) -> Column:
@@ -55,9 +59,12 @@ def survivors(records: DataFrame, group: str, fields: list[Field], vote: Column
     for f in fields:
         if f.normal:
             key = F.when(F.col("field") == f.name, f.normal(F.col("value"))).otherwise(key)
-    # Votes of equal normalised values add up; the most voted spelling of a value stands for it.
-    spelt = long.groupBy("_g", "field", key.alias("_n"), "value").agg(F.sum("vote").alias("v"))
-    summed = spelt.groupBy("_g", "field", "_n").agg(F.sum("v").alias("vote"), F.max_by("value", F.struct(F.col("v"), _last(F.col("value")))).alias("value"))
+    # Votes of equal normalised values add up; the most voted spelling of a value stands for it. Without normal forms each value is its own.
+    if any(f.normal for f in fields):
+        spelt = long.groupBy("_g", "field", key.alias("_n"), "value").agg(F.sum("vote").alias("v"))
+        summed = spelt.groupBy("_g", "field", "_n").agg(F.sum("v").alias("vote"), F.max_by("value", F.struct(F.col("v"), _last(F.col("value")))).alias("value"))
+    else:
+        summed = long.groupBy("_g", "field", "value").agg(F.sum("vote").alias("vote"))
     order = F.struct(F.lit(0.0), F.col("vote"), F.lit(0.0))
     for f in fields:
         if f.rank:
@@ -67,9 +74,10 @@ def survivors(records: DataFrame, group: str, fields: list[Field], vote: Column
                 order = F.when(F.col("field") == f.name, F.struct(r[0].alias("col1"), r[1].alias("vote"), F.lit(0.0).alias("col3"))).otherwise(order)
             else:
                 order = F.when(F.col("field") == f.name, F.struct(F.lit(0.0).alias("col1"), F.col("vote"), r[0].alias("col3"))).otherwise(order)
-    ranked = summed.select("_g", "field", "value", order.alias("o"))
+    ranked = summed.select("_g", "field", "value", "vote", order.alias("o"))
     best = F.struct(F.col("o"), _last(F.col("value")))
-    won = ranked.groupBy("_g").agg(*[F.max_by(F.when(F.col("field") == f.name, F.col("value")), F.when(F.col("field") == f.name, best)).alias(f.name) for f in fields])
+    mine = lambda f, c: F.when(F.col("field") == f.name, c)
+    won = ranked.groupBy("_g").agg(*[F.sum(mine(f, F.col("vote"))).alias(f.name) if f.total else F.max_by(mine(f, F.col("value")), mine(f, best)).alias(f.name) for f in fields])
     return won.withColumnRenamed("_g", group)
 
 
@@ -89,16 +97,24 @@ def full_words(name: Column) -> Column:
 
 
 def canonical_survivors(canonicals: DataFrame, aliases: DataFrame, entities: DataFrame, groups: DataFrame) -> DataFrame:
-    """p7_found: group_id, canonical_id, canonical_text, total_mentions, for groups of two or more stored records."""
+    """p7_found: group_id, canonical_id, canonical_text, total_mentions, for groups of two or more stored records.
+
+    Everything about a group comes as long rows: a row for the newest state of each record, one for each of its names, one for each entity.
+    Groups and records are written once, as several kinds of rows are made of them.
+    """
+    groups = cut(groups)
     member = aliases.filter("canonical_id is not null and entity_id is not null").select("entity_id", "canonical_id").distinct()
     of = member.join(groups, "entity_id").groupBy("canonical_id").agg(F.min("group_id").alias("group_id"))
-    recs = canonicals.filter("canonical_id is not null").join(of, "canonical_id")
+    states = canonicals.filter("canonical_id is not null").select("canonical_id", "updated_at", F.coalesce("total_mentions", F.lit(0)).alias("t"), "canonical_text").distinct()
+    recs = cut(states.join(of, "canonical_id"))
     # The newest state of each record, of equally new ones that with the higher total.
-    newest = recs.groupBy("group_id", "canonical_id").agg(F.max(F.struct(F.col("updated_at"), F.coalesce("total_mentions", F.lit(0)).alias("t"))).alias("s"))
-    several = newest.groupBy("group_id").agg(F.count("*").alias("_n")).filter("_n >= 2").select("group_id")
-    rows = newest.select("group_id", F.col("canonical_id"), F.col("s.t").alias("weight"), F.lit(None).cast("string").alias("name"))
-    rows = rows.unionByName(recs.select("group_id", F.lit(None).cast("long").alias("canonical_id"), F.lit(0).cast("long").alias("weight"), F.col("canonical_text").alias("name")).distinct())
-    rows = rows.join(several, "group_id")
+    newest = recs.groupBy("group_id", "canonical_id").agg(F.max(F.struct("updated_at", "t")).alias("s"))
+    blank = lambda kind: F.lit(None).cast(kind)
+    rows = newest.select("group_id", "canonical_id", F.col("s.t").alias("weight"), blank("string").alias("name"), blank("long").alias("mentions"))
+    rows = rows.unionByName(recs.select("group_id", blank("long").alias("canonical_id"), F.lit(0).cast("long").alias("weight"), F.col("canonical_text").alias("name"), blank("long").alias("mentions")))
+    counted = entities.filter("entity_id is not null").groupBy("entity_id").agg(F.max(F.coalesce("occurrence_count", F.lit(0))).alias("n"))
+    total = groups.join(counted, "entity_id", "left")
+    rows = rows.unionByName(total.select("group_id", blank("long").alias("canonical_id"), F.lit(0).cast("long").alias("weight"), blank("string").alias("name"), F.coalesce("n", F.lit(0)).alias("mentions")))
     # Ids go through the long rows as zero-padded text, so that the smallest text is the smallest id.
     padded = F.when(F.col("canonical_id").isNotNull(), F.format_string("%020d", F.col("canonical_id")))
     won = survivors(
@@ -107,11 +123,11 @@ def canonical_survivors(canonicals: DataFrame, aliases: DataFrame, entities: Dat
         [
             Field("canonical_id", lambda: padded, vote=lambda: F.col("weight")),
             Field("canonical_text", lambda: F.col("name"), rank=lambda v: [full_words(v), F.char_length(v)], rank_first=True),
+            Field("total_mentions", lambda: F.when(F.col("mentions").isNotNull(), F.lit("all")), vote=lambda: F.col("mentions"), total=True),
+            Field("records", lambda: F.when(F.col("canonical_id").isNotNull(), F.lit("all")), vote=lambda: F.lit(1), total=True),
         ],
     )
-    total = groups.join(entities.filter("entity_id is not null").groupBy("entity_id").agg(F.max(F.coalesce("occurrence_count", F.lit(0))).alias("n")), "entity_id", "left")
-    total = total.groupBy("group_id").agg(F.sum(F.coalesce("n", F.lit(0))).alias("total_mentions"))
-    return won.join(total, "group_id").select("group_id", F.col("canonical_id").cast("long").alias("canonical_id"), "canonical_text", "total_mentions")
+    return won.filter("records >= 2").select("group_id", F.col("canonical_id").cast("long").alias("canonical_id"), "canonical_text", F.coalesce("total_mentions", F.lit(0)).cast("long").alias("total_mentions"))
 
 
 def trusted_survivors(canonicals: DataFrame, aliases: DataFrame, groups: DataFrame, trust: dict[str, float] | None = None, half_life_days: float = 180.0) -> DataFrame:
@@ -121,14 +137,16 @@ def trusted_survivors(canonicals: DataFrame, aliases: DataFrame, groups: DataFra
     """
     trust = trust or {"seed": 0.7, "auto": 0.6, "llm": 0.8, "manual": 1.0}
     weight = F.element_at(F.create_map(*[F.lit(x) for kv in trust.items() for x in kv]), F.col("merge_method"))
-    link = aliases.filter("canonical_id is not null").join(groups, "entity_id").groupBy("canonical_id").agg(F.min("group_id").alias("group_id"), F.max(weight).alias("trust"))
-    recs = canonicals.join(link, "canonical_id").dropDuplicates(["canonical_id", "updated_at", "canonical_text", "entity_type"])
+    link = aliases.filter("canonical_id is not null").join(cut(groups), "entity_id").groupBy("canonical_id").agg(F.min("group_id").alias("group_id"), F.max(weight).alias("trust"))
+    recs = cut(canonicals.select("canonical_id", "updated_at", "canonical_text", "entity_type").distinct().join(link, "canonical_id"))
     # Ages count from a fixed day: a later one only scales all votes by the same factor.
     age = F.datediff(F.lit("2025-01-01").cast("date"), F.col("updated_at").cast("date")).cast("double")
     fields = [
         Field("canonical_text", lambda: F.nullif(F.trim("canonical_text"), F.lit("")), normal=lambda v: F.lower(F.regexp_replace(v, r"[^\p{L}\p{N}]+", " "))),
         Field("entity_type", lambda: F.col("entity_type")),
+        # A record counts once, with the first of its states.
+        Field("records", lambda: F.lit("all"), vote=lambda: F.col("_first"), total=True),
     ]
-    won = survivors(recs, "group_id", fields, decay_vote(F.col("trust"), age, half_life_days))
-    count = recs.groupBy("group_id").agg(F.countDistinct("canonical_id").alias("records"))
-    return won.join(count, "group_id").select("group_id", "canonical_text", "entity_type", "records")
+    first = F.when(F.row_number().over(W.partitionBy("canonical_id").orderBy("updated_at", "canonical_text", "entity_type")) == 1, 1).otherwise(0)
+    won = survivors(recs.withColumn("_first", first), "group_id", fields, decay_vote(F.col("trust"), age, half_life_days))
+    return won.select("group_id", "canonical_text", "entity_type", F.col("records").cast("long").alias("records"))

@@ -1,6 +1,7 @@
 import random
 
 import numpy as np
+from pyspark.sql import functions as F
 
 from folioscope.llm import neardup as N
 
@@ -51,6 +52,24 @@ def test_hot_buckets_keep_their_pairs(spark):
     assert len({r.group_id for r in g}) == 1 and {r.links for r in g} == {90} and {r.class_id for r in g if r.doc_id >= 20000} == {20000}
 
 
+def test_blocks_grow_with_the_group(spark):
+    """Every pair of a group meets in exactly one block, whatever the block's size, and no block holds more than its share."""
+    d = spark.range(200).selectExpr("id", "id % 3 as g").filter("g < 2 or id < 4")
+    d = d.join(d.groupBy("g").agg(F.count("*").alias("m")), "g")
+    want = {(a, b) for a in range(200) for b in range(a + 1, 200) if a % 3 == b % 3 and (a % 3 < 2 or b < 4)}
+    for block in (7, 1000):
+        left, right = N.blocked(d, "g", "id", "m", block)
+        got = left.selectExpr("g", "_i", "_j", "id a").join(right.selectExpr("g", "_i", "_j", "id b"), ["g", "_i", "_j"]).filter("a < b")
+        assert sorted((r.a, r.b) for r in got.collect()) == sorted(want)
+        assert left.groupBy("g", "_i", "_j").count().agg(F.max("count")).first()[0] <= (4 * block if block == 7 else 67)
+    members = spark.createDataFrame([(k, k - k % 10, 10) for k in range(40)], "d long, id long, m long")
+    pairs = spark.createDataFrame([(0, 10), (10, 30)], "a long, b long")
+    close = {0: {0, 10}, 10: {0, 10, 30}, 20: {20}, 30: {10, 30}}
+    for block in (3, 1000):
+        got = [tuple(r) for r in N.expanded(pairs, members, block).collect()]
+        assert len(got) == len(set(got)) and set(got) == {(a, b) for a in range(40) for b in range(a + 1, 40) if b - b % 10 in close[a - a % 10]}
+
+
 def test_sketch_estimates_similarity():
     rng = np.random.default_rng(5)
     errors = []
