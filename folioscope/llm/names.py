@@ -2,9 +2,10 @@
 
 Each name is read into parts: title, given name or initials, middle initial and surname; or the root and the kind of an organisation.
 Surnames and roots are compared by suffix blocking: every distinct one is indexed under its suffixes of ``LEAST_SUFFIX`` letters
-(fewer in words of under nine) or more, of the word and of its mirror image (typing errors near the end spare the beginning). Short suffixes, which are common, are refined
-with other letters and with the initials of the names that they come with; none is dropped. Pairs within a block are compared by the ratio
-of their longest common subsequence.
+(fewer in words of under nine) or more, of the word and of its mirror image (typing errors near the end spare the beginning). How many words
+share a suffix is counted: one of more than ``COMMON`` words is too common to block by, and is discarded for the same suffix refined with the word's first letter and
+the initial of the given name. A refined suffix that is still common is compared in blocks of members against members, so none is dropped.
+Pairs within a block are compared by the ratio of their longest common subsequence to the longer word.
 
 Persons are surname and given name. Given names are brought to one form through a table of short forms and, for typing errors, the names
 that come with many surnames. Names with initials, ambiguous short forms or a title alone are linked only where exactly one person
@@ -23,24 +24,36 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import BooleanType
 
 from folioscope.llm.groups import components
+from folioscope.llm.neardup import blocked
 from folioscope.session import cut
 
 LEAST_SUFFIX = 4
+#: A suffix that more words share is refined with other fields.
+COMMON = 50
+#: Least ratio of the longest common subsequence; in words of over five letters one letter of the longer may be missing from it.
+LEAST_RATIO = 0.8
 #: A given name comes with at least this share of all surnames, and at least three; so their number is bounded by its inverse.
 GIVEN_SHARE = 0.002
 
 # Titles, short forms of given names, and words of organisations with their short forms.
 TITLES = set("mr ms mrs miss mx dr prof professor hon honourable honorable atty attorney sir dame rev judge sen rep capt col gen lt sgt herr frau fru m mme jr sr esq".split())
 SHORT = {
-    "alexander": "alex sasha sandy", "andrew": "andy drew", "anthony": "tony", "barbara": "barb babs", "benjamin": "ben benny", "catherine": "cathy kate",
-    "charles": "charlie chuck", "christopher": "chris kit topher", "daniel": "dan danny", "deborah": "deb debbie", "dorothea": "dot dolly dora thea", "dorothy": "dot dolly",
-    "edward": "ed eddie ned ted", "elizabeth": "beth betsy liz lizzie eliza betty", "frederick": "fred freddie fritz", "gabriella": "gaby gabi ella", "george": "georgie",
-    "gregory": "greg", "henrietta": "etta hattie hetty", "henry": "harry hank", "ignatius": "iggy", "jacob": "jake", "james": "jim jimmy", "jennifer": "jen jenny",
-    "john": "jack johnny", "jonathan": "jon", "joseph": "joe joey", "josé": "pepe", "katherine": "kathy kate kit katie kathie", "kenneth": "ken", "lawrence": "larry lars",
-    "leonard": "len lenny", "margaret": "maggie peggy meg greta", "matthew": "matt", "michael": "mike mick mickey", "nathaniel": "nate nat", "nicholas": "nick", "orsolina": "lina",
-    "ottilie": "tilly otti", "patricia": "pat trish patty tricia", "peter": "pete", "philip": "phil", "quentin": "quin", "rebecca": "becky", "richard": "rick dick rich ricky",
-    "robert": "bob bobby rob robbie bert", "ronald": "ron", "samuel": "sam", "stephen": "steve", "susanna": "sue susie suzy", "theodore": "theo ted teddy", "thomas": "tom tommy",
-    "timothy": "tim", "ursula": "ulla uschi", "victoria": "vicky tori vic", "walter": "walt", "william": "will bill billy willie", "yolanda": "yola", "zachary": "zach zack",
+    "abigail": "abby gail", "agnes": "aggie", "albert": "bertie", "alexander": "alex sasha sandy", "amanda": "mandy", "amelia": "millie",
+    "andrew": "andy drew", "anthony": "tony", "barbara": "barb babs", "benjamin": "ben benny", "catherine": "cathy kate", "charles": "charlie chuck",
+    "christopher": "chris kit topher", "cynthia": "cindy", "daniel": "dan danny", "deborah": "deb debbie", "donald": "don donnie",
+    "dorothea": "dot dolly dora thea", "dorothy": "dot dolly", "douglas": "doug", "edward": "ed eddie ned ted", "eleanor": "ellie nora",
+    "elizabeth": "beth betsy liz lizzie eliza betty", "eugene": "gene", "florence": "flo", "frederick": "fred freddie fritz",
+    "gabriella": "gaby gabi ella", "geoffrey": "geoff", "george": "georgie", "gerald": "gerry", "gregory": "greg", "henrietta": "etta hattie hetty",
+    "henry": "harry hank", "ignatius": "iggy", "isabella": "izzy bella", "jacob": "jake", "james": "jim jimmy", "jeffrey": "jeff",
+    "jennifer": "jen jenny", "jessica": "jess", "john": "jack johnny", "jonathan": "jon", "joseph": "joe joey", "joshua": "josh", "josé": "pepe",
+    "judith": "judy", "katherine": "kathy kate kit katie kathie", "kenneth": "ken", "lawrence": "larry lars", "leonard": "len lenny",
+    "margaret": "maggie peggy meg greta", "martin": "marty", "matthew": "matt", "michael": "mike mick mickey", "nathaniel": "nate nat",
+    "nicholas": "nick", "oliver": "ollie", "orsolina": "lina", "ottilie": "tilly otti", "pamela": "pam", "patricia": "pat trish patty tricia",
+    "peter": "pete", "philip": "phil", "quentin": "quin", "raymond": "ray", "rebecca": "becky", "richard": "rick dick rich ricky",
+    "robert": "bob bobby rob robbie bert", "ronald": "ron", "samuel": "sam", "sarah": "sally sadie", "sebastian": "seb", "stanley": "stan",
+    "stephen": "steve", "susanna": "sue susie suzy", "theodore": "theo ted teddy", "thomas": "tom tommy", "timothy": "tim", "ursula": "ulla uschi",
+    "valerie": "val", "victoria": "vicky tori vic", "vincent": "vince vinny", "virginia": "ginny", "walter": "walt", "william": "will bill billy willie",
+    "winifred": "winnie", "yolanda": "yola", "zachary": "zach zack",
 }
 KINDS_OF_ORG = "foundation university college trust law capital research aviation holdings bank hospital museum society church school press insurance shipping energy media consulting".split()
 ORG_SHORT = {"fdn": "foundation", "fndn": "foundation", "found": "foundation", "foundations": "foundation", "univ": "university", "uni": "university", "u": "university", "tr": "trust", "cap": "capital", "capitol": "capital", "res": "research", "avn": "aviation", "av": "aviation", "hldgs": "holdings", "hldg": "holdings", "holding": "holdings", "lawgroup": "law"}
@@ -75,15 +88,16 @@ def lcs(a: str, b: str) -> int:
     return len(a) - bin(row & ((1 << len(a)) - 1)).count("1")
 
 
+def ratio(a: str, b: str) -> float:
+    """The longest common subsequence as a share of the longer word; 1 for two empty ones."""
+    n = max(len(a), len(b))
+    return lcs(a, b) / n if n else 1.0
+
+
 def close(a: str, b: str) -> bool:
-    """One letter left out, put in, exchanged, or two swapped: the common subsequence lacks one letter of the longer."""
+    """Whether the ratio reaches ``LEAST_RATIO``, and in longer words what one error leaves of it: a letter left out, put in or exchanged, or two swapped."""
     n = max(len(a), len(b))
-    if a == b:
-        return True
-    if n < 5 or abs(len(a) - len(b)) > 1:
-        return False
-    # A swap leaves n - 1 letters in common, as does an exchange; the ratio grows from 0.8 with the length.
-    return lcs(a, b) >= n - 1
+    return a == b or abs(len(a) - len(b)) <= 1 and ratio(a, b) >= max(LEAST_RATIO, 1 - 1 / max(n, 1)) - 1e-9
 
 
 def _given(word: str, known: dict[str, str]) -> tuple[list[str], bool]:
@@ -221,7 +235,7 @@ def given_names(rows: DataFrame) -> dict[str, str]:
     return {k: k for k, c in n_of.items() if k in formal or k in _FORMAL or not any(k != v and close(k, v) and (v in formal or n_of.get(v, 0) >= 5 * c) for v in {*formal, *n_of})}
 
 
-def near_roots(roots: DataFrame) -> DataFrame:
+def near_roots(roots: DataFrame, common: int = COMMON) -> DataFrame:
     """type, cls, r, s: pairs of different roots of one type and class that are close; both directions."""
 
     def blocks(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -230,16 +244,22 @@ def near_roots(roots: DataFrame) -> DataFrame:
         for b in batches:
             out = []
             for type_, cls, root, ini in zip(b["type"], b["cls"], b["root"], b["ini"], strict=True):
-                out += [(type_, cls, root, key) for key in here.block_keys(root, ini)]
+                out += [(type_, cls, root, tail, fine) for tail, fine in here.suffixes(root, ini)]
             if out:
-                yield pd.DataFrame(out, columns=["type", "cls", "root", "key"])
+                yield pd.DataFrame(out, columns=["type", "cls", "root", "tail", "fine"])
 
     initials = F.when(F.size("given") > 0, F.transform("given", lambda g: F.substring(g, 1, 1))).otherwise(F.array("ini"))
-    keyed = roots.select("type", "cls", "root", F.explode(initials).alias("ini")).distinct().mapInPandas(blocks, "type string, cls string, root string, key string").distinct()
+    where = ["type", "cls"]
+    tails = cut(roots.select(*where, "root", F.explode(initials).alias("ini")).distinct().mapInPandas(blocks, "type string, cls string, root string, tail string, fine string").distinct())
+    # A suffix of one word makes no pair; a common one gives way to its refined form.
+    words = tails.select(*where, "tail", "root").distinct().groupBy(*where, "tail").agg(F.count("*").alias("n")).filter("n > 1")
+    keyed = tails.join(words, [*where, "tail"]).select(*where, "root", F.when(F.col("n") <= common, F.col("tail")).otherwise(F.col("fine")).alias("key")).distinct()
     keyed = cut(keyed)
-    a, b = keyed.select("type", "cls", F.col("root").alias("r"), "key"), keyed.select("type", "cls", F.col("root").alias("s"), "key")
-    pairs = a.join(b, ["type", "cls", "key"]).filter((F.col("r") < F.col("s")) & (F.abs(F.length("r") - F.length("s")) <= 1)).filter(F.levenshtein("r", "s", 2) >= 0)
-    pairs = pairs.select("type", "cls", "r", "s").distinct()
+    size = keyed.groupBy(*where, "key").agg(F.count("*").alias("m")).filter("m > 1")
+    left, right = blocked(keyed.join(size, [*where, "key"]), "key", "root", "m")
+    on = [*where, "key", "_i", "_j"]
+    pairs = left.select(*on, F.col("root").alias("r")).join(right.select(*on, F.col("root").alias("s")), on)
+    pairs = pairs.filter((F.col("r") < F.col("s")) & (F.abs(F.length("r") - F.length("s")) <= 1)).filter(F.levenshtein("r", "s", 2) >= 0).select(*where, "r", "s").distinct()
 
     @F.pandas_udf(BooleanType())
     def alike(x: pd.Series, y: pd.Series) -> pd.Series:
@@ -248,20 +268,16 @@ def near_roots(roots: DataFrame) -> DataFrame:
         return pd.Series([here.close(p, q) for p, q in zip(x, y, strict=True)], dtype=bool)
 
     pairs = pairs.filter(alike("r", "s"))
-    return cut(pairs.unionByName(pairs.select("type", "cls", F.col("s").alias("r"), F.col("r").alias("s"))))
+    return cut(pairs.unionByName(pairs.select(*where, F.col("s").alias("r"), F.col("r").alias("s"))))
 
 
-def block_keys(root: str, ini: str) -> set[str]:
-    """Suffixes of a word and of its mirror image; those shorter than six letters come with what else an error there would spare."""
+def suffixes(root: str, ini: str) -> set[tuple[str, str]]:
+    """Suffixes of a word and of its mirror image, each with its form refined by what an error in the middle spares: the first letter of the word and of the given name."""
     n, out = len(root), set()
     for mark, w in (("<", root), (">", root[::-1])):
         for size in range(min(LEAST_SUFFIX, max(2, (n - 1) // 2)), n + 1):
-            tail = w[n - size :]
-            if size >= 6 or size >= n - 1:
-                out.add(mark + tail)
-            if size < 6:
-                # An error in the middle spares the first letter of the word and of the given name.
-                out.add(f"{mark}{tail}/{w[0]}/{ini}")
+            tail = mark + w[n - size :]
+            out.add((tail, f"{tail}/{w[0]}/{ini}"))
     return out
 
 

@@ -63,7 +63,7 @@ def test_blocks_find_single_errors():
         w = "".join(rng.choice("abcdefgh") for _ in range(rng.randrange(6, 13)))
         k = rng.randrange(len(w))
         typo = rng.choice([w[:k] + w[k + 1 :], w[:k] + "z" + w[k + 1 :], w[:k] + w[k] + w[k:]])
-        assert names.block_keys(w, "s") & names.block_keys(typo, "s"), (w, typo)
+        assert names.suffixes(w, "s") & names.suffixes(typo, "s"), (w, typo)
 
 
 HITS = [
