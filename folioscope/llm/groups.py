@@ -87,7 +87,7 @@ def components(links: DataFrame, u: str = "u", v: str = "v", cell_links: int = C
     """
     edges = links.select(F.col(u).cast("long").alias("u"), F.col(v).cast("long").alias("v")).filter("u is not null and v is not null").distinct()
     edges = cut(edges)
-    total, out = edges.count(), None
+    total, moves = edges.count(), []
     side = side_of(total, int(edges.sparkSession.conf.get("spark.sql.shuffle.partitions")), cell_links)
     for seed in range(most_rounds):
         if trace is not None:
@@ -100,15 +100,19 @@ def components(links: DataFrame, u: str = "u", v: str = "v", cell_links: int = C
         # partial aggregation, before they meet the parents of their reps, so a hub arrives there as few rows.
         pairs = stars.filter("x <> rep").join(parents, "x").select(F.col("p").alias("u"), F.col("rep").alias("x")).distinct()
         edges = cut(pairs.join(parents, "x").filter("u <> p").select("u", F.col("p").alias("v")).distinct())
-        out = parents.select("x", F.col("p").alias("rep")) if out is None else cut(_follow(out, parents.withColumnRenamed("p", "rep")))
+        moves.append(parents.select("x", F.col("p").alias("rep")))
         total = edges.count()
         if total == 0:
+            # From the last round, which has the fewest vertices, back to the first: each round's vertices are followed once.
+            out = moves.pop()
+            while moves:
+                out = _follow(moves.pop(), out)
             return out
         side = side_of(total, int(edges.sparkSession.conf.get("spark.sql.shuffle.partitions")), cell_links)
     raise RuntimeError("parents did not stabilise")
 
 
-def _follow(known: DataFrame, moved: DataFrame, salts: int = 16) -> DataFrame:
+def _follow(known: DataFrame, moved: DataFrame, salts: int = 8) -> DataFrame:
     """``known`` with each representative replaced by the one it moved to; salted, as one may stand for most rows."""
     m = moved.filter("x <> rep").select(F.col("x").alias("_r"), F.col("rep").alias("_to"), F.explode(F.sequence(F.lit(0), F.lit(salts - 1))).alias("_s"))
     k = known.withColumn("_k", F.pmod(F.xxhash64("x"), F.lit(salts)).cast("int"))
