@@ -315,23 +315,34 @@ class Model:
         return self.words.get(word, 0) >= self.shield
 
     def edits(self, word: str) -> list[tuple[str, list[tuple[int, str, str]]]]:
-        """Listed words that one operation, and one more for every five letters, makes of ``word``; found along the list's prefixes."""
-        n, most, out = len(word), 1 + len(word) // 5, []
-        stack: list[tuple[int, str, list]] = [(0, "", [])]
-        while stack:
-            k, made, done = stack.pop()
-            if k == n:
-                if done and made in self.words and made != word:
-                    out.append((made, done))
-                continue
-            if made + word[k] in self.prefixes:
-                stack.append((k + 1, made + word[k], done))
-            if len(done) < most:
-                for length in range(1, min(self.longest, n - k) + 1):
-                    for new in self.confusions.get(word[k : k + length], ()):
-                        if made + new in self.prefixes:
-                            stack.append((k + length, made + new, [*done, (k, word[k : k + length], new)]))
-        return out
+        """Listed words that operations make of ``word``, found along the list's prefixes: two operations (one in words of under five letters), and more
+        as far as every five letters before bring one more. Of several ways to the same word that of the fewest operations is taken.
+        """
+        n, least, out = len(word), 2 if len(word) >= 5 else 1, {}
+        level: dict[tuple[int, str], list[tuple[int, str, str]]] = {(0, ""): []}
+        # By number of operations: each state (place, what was made) is reached first by the fewest.
+        seen = set()
+        while level:
+            later: dict[tuple[int, str], list[tuple[int, str, str]]] = {}
+            stack = list(level.items())
+            while stack:
+                (k, made), done = stack.pop()
+                if (k, made) in seen:
+                    continue
+                seen.add((k, made))
+                if k == n:
+                    if done and made in self.words and made != word:
+                        out.setdefault(made, done)
+                    continue
+                if made + word[k] in self.prefixes:
+                    stack.append(((k + 1, made + word[k]), done))
+                if len(done) < max(least, 1 + k // 5):
+                    for length in range(1, min(self.longest, n - k) + 1):
+                        for new in self.confusions.get(word[k : k + length], ()):
+                            if made + new in self.prefixes:
+                                later.setdefault((k + length, made + new), [*done, (k, word[k : k + length], new)])
+            level = later
+        return list(out.items())
 
     def keep_features(self, word: str) -> list[str]:
         n = len(word)
