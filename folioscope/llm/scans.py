@@ -240,11 +240,20 @@ def running(lines: list[str], kinds: list[str], model: Perceptron | None = None)
     """The places of running lines: stamps, and candidates that the line classifier takes for such; without one, those that are sure."""
     out = {k for k, kind in enumerate(kinds) if kind == "stamp"}
     for k, c in candidates_of(lines, kinds).items():
-        if c.sure(k) if model is None else model.best(line_features(lines, k, kinds) + c.features(k)) == "running":
+        if c.sure(k) if model is None else _runs(model, lines, k, kinds, c):
             out.add(k)
     return out
 
 
+def _runs(model: Perceptron, lines: list[str], k: int, kinds: list[str], c: Candidate) -> bool:
+    """The classifier's verdict; where neither a title, a number nor capitals speak for a line, its first words must too."""
+    features = line_features(lines, k, kinds)
+    if model.best(features + c.features(k)) != "running":
+        return False
+    begins = model.scores([f for f in features if f.startswith(("two=", "first="))])
+    return c.title or c.numbered or c.caps or begins.get("running", 0.0) > begins.get("text", 0.0)
+
+
 # ---------------------------------------------------------------- the character editor
 
 
