@@ -95,6 +95,30 @@ _REASON = r"""CASE WHEN lev = 0 THEN 'Exact match (different case)' ELSE concat_
  CASE WHEN jaccard < 0.3 THEN 'Low token overlap (' || round_even(jaccard * 100, 0)::INT || '%)' END) END"""
 
 
+# The patterns of attributions, with the places of their groups: author, address, date.
+_WHEN = r"([\p{L}\p{N}_]+\s+\d{1,2},\s+\d{4},?\s+at\s+[\d:]+\s+(?:AM|PM))"
+_ATTRIBUTIONS = (
+    (r"(?i)(?:søn|son|man|tir|ons|tor|fre|lør)\.\s+(\d{1,2}\.\s+[\p{L}\p{N}_]+\.\s+\d{4}\s+kl\.\s+[\d:]+)\s+skrev\s+(.+?)\s*<([^>]+)>:", 2, 3, 1),
+    (r"(?i)On\s+" + _WHEN + r",\s*(.+?)\s*<[^>]+>\s*wrote:", 2, None, 1),
+    (r"(?i)On\s+((?:Sun|Mon|Tue|Wed|Thu|Fri|Sat),\s+[\p{L}\p{N}_]+\s+\d{1,2},\s+\d{4}\s+at\s+[\d:]+\s+(?:AM|PM)),\s*([^<\n]+)", 2, None, 1),
+    (r"(?i)On\s+" + _WHEN + r",\s*([^<\n]+)", 2, None, 1),
+    (r"(?ms)^From:\s*(.+?)\s*(?:<([^>]+)>)?\s*$.*?^Sent:\s*(.+?)\s*$", 1, 2, 3),
+)
+
+
+def _attributions() -> str:
+    """doc_id, k, i, name, email, date_str of the matches of each pattern in ``body``."""
+    get = lambda p, g: f"unnest(regexp_extract_all(body, '{p}', {g}))"
+    one = lambda k, p, name, email, date: f"SELECT doc_id, {k} AS k, generate_subscripts(regexp_extract_all(body, '{p}', 0), 1) AS i, {get(p, name)} AS name, {get(p, email) if email else chr(39) * 2} AS email, {get(p, date)} AS date_str FROM b"
+    # White space of the original is that of Unicode.
+    return " UNION ALL ".join(one(k, p.replace(r"\s", r"[\s\p{Z}]"), *groups) for k, (p, *groups) in enumerate(_ATTRIBUTIONS))
+
+
+def _header(names: str) -> str:
+    """The last value of a header in the folded block."""
+    return _STRIP.replace("{0}", f"regexp_extract_all(block, '(?im)^[ \\t]*(?:{names}):[ \\t]*([^ \\t\\n].*)$', 1)[-1]")
+
+
 def _side(group: int) -> str:
     """The names of one side of a case."""
     whole = _STRIP.format(f"regexp_extract(head, {_PARTIES}, {group})")
@@ -177,8 +201,22 @@ SQL = {
 }
 SQL["fts_indexed"] = SQL["fts_boolean"]
 _EDGES = """chr(39) || '"[]()<>'"""
+_HEADS = _CONTENT + r", x AS (SELECT doc_id, string_split(content, chr(10)) AS raw, ls FROM h WHERE doc_id IN (SELECT doc_id FROM email_metadata)), y AS (SELECT *, list_filter(range(1, len(raw) + 1), lambda i: ls[i] = '' OR (i > 1 AND left(raw[i], 1) NOT IN (' ', chr(9)) AND NOT (instr(ls[i], ':') BETWEEN 1 AND 21)))[1] AS stop FROM x)"
 SQL |= {
     "eml_clean": "WITH q AS (" + SQL["eml_addresses"] + "), n AS (SELECT *, trim(trim(trim(name), " + _EDGES + ")) AS n1 FROM q WHERE email IS NOT NULL), m AS (SELECT *, CASE WHEN lower(n1) LIKE 'mailto:%' THEN trim(substr(n1, 8)) ELSE n1 END AS n2 FROM n) SELECT doc_id, CASE WHEN email = '[REDACTED]' THEN 'redacted' ELSE trim(regexp_replace(lower(trim(email)), '^mailto:', ''), " + _EDGES + r") END AS email, nullif(trim(regexp_replace(regexp_replace(regexp_replace(n2, '\s*\[\s*\]\s*', ' ', 'g'), '\s*\(\s*\)\s*', ' ', 'g'), '\s+', ' ', 'g')), '') AS name FROM m",
+    "eml_headers": _HEADS
+    + r", z AS (SELECT doc_id, regexp_replace(array_to_string(raw[1:coalesce(stop - 1, len(raw))], chr(10)), '[ \t]*\n[ \t]+', ' ', 'g') AS block FROM y) SELECT doc_id, "
+    + f"{_header('subject')} AS subject, {_header('message-id')} AS message_id, {_header('in-reply-to')} AS in_reply_to, {_header('sent|date')} AS date_str FROM z",
+    "eml_attributions": _HEADS
+    + r", w AS (SELECT doc_id, CASE WHEN stop IS NULL THEN '' ELSE array_to_string(raw[CASE WHEN ls[stop] = '' THEN stop + 1 ELSE stop END:], chr(10)) END AS body FROM y), b AS (SELECT * FROM w WHERE "
+    + _STRIP.replace("{0}", r"regexp_split_to_array(body, '(?m)^--\s*$')[1]")
+    + " <> ''), m AS ("
+    + _attributions()
+    + ") SELECT doc_id, (row_number() OVER (PARTITION BY doc_id ORDER BY k, i) - 1)::INT AS message_index, rtrim("
+    + _STRIP.format("name")
+    + ", ',<> ' || chr(9)) || CASE WHEN trim(email) <> '' THEN ' <' || trim(email) || '>' ELSE '' END AS author, nullif("
+    + _STRIP.format("date_str")
+    + ", '') AS date_str FROM m",
     "cls_hybrid": _CLS + ", r AS (SELECT f.doc_id, found_type, CASE found_type WHEN 'email' THEN 0.95 WHEN 'legal' THEN least(legal, 0.95::DOUBLE) WHEN 'news' THEN 0.85 WHEN 'congressional' THEN 0.9 WHEN 'narrative' THEN 0.7 ELSE 0.5 END::DOUBLE AS conf, left(documents.full_text, 1000) AS t FROM f JOIN documents USING (doc_id)), a AS (SELECT *, NOT (found_type <> 'other' AND conf >= 0.85) AND coalesce(contains(t, ' I ') OR contains(t, 'Memoir'), false) AS asked FROM r) SELECT doc_id, CASE WHEN asked THEN 'memoir' ELSE found_type END AS doc_type, CASE WHEN asked THEN 0.8::DOUBLE ELSE conf END AS confidence, CASE WHEN asked THEN 'llm' ELSE 'regex' END AS method, CASE WHEN asked THEN 'first person' END AS reasoning FROM a",
     "scn_report": "WITH a AS (" + SQL["scn_types"] + "), b AS (" + SQL["scn_mentions"] + "), t AS (SELECT count(*) AS n FROM documents) SELECT 'type' AS section, document_type AS name, documents AS n FROM a UNION ALL SELECT 'seed', entity_name, mentions FROM b UNION ALL SELECT 'total', 'documents', n FROM t",
     "sim_reasons": "WITH" + _PAIRS + " SELECT entity1_id, entity2_id, " + _REASON + " AS reason FROM cand WHERE type = 'person'",

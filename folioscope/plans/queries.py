@@ -266,11 +266,23 @@ def eml_parsed(spark, d):
     return emails.metadata_rows(emails.parse(mail_docs(spark, d), "doc_id", "full_text"), "doc_id")
 
 
+@query
+def eml_headers(spark, d):
+    m = F.col("mail")
+    return emails.parse(mail_docs(spark, d), "doc_id", "full_text").select("doc_id", m["subject"].alias("subject"), m["message_id"].alias("message_id"), m["in_reply_to"].alias("in_reply_to"), m["date_str"].alias("date_str"))
+
+
 @query
 def eml_threads(spark, d):
     return emails.thread_rows(emails.parse(mail_docs(spark, d), "doc_id", "full_text"), "doc_id")
 
 
+@query
+def eml_attributions(spark, d):
+    rows = emails.thread_rows(emails.parse(mail_docs(spark, d), "doc_id", "full_text"), "doc_id")
+    return rows.select("doc_id", "message_index", "author", "date_str")
+
+
 @query
 def eml_quotes(spark, d):
     p = emails.parse(mail_docs(spark, d), "doc_id", "full_text")

@@ -21,6 +21,8 @@ def get_session(app: str = "folioscope", cores: str = "*", shuffle_partitions: i
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.ui.enabled", "false")
         .config("spark.driver.memory", "8g")
+        # Checkpoint files go with the frames that need them; a cluster's session sets the same.
+        .config("spark.cleaner.referenceTracking.cleanCheckpoints", "true")
         .getOrCreate()
     )
 
