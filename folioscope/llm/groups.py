@@ -8,8 +8,7 @@ its parent, and the stars, with both ends replaced by their parents, are the lin
 are scrambled anew in each round, so that long chains shrink by a constant factor a round; rounds go on until
 the parents are stable, which is when no link is left.
 
-The grid has at least as many cells as the session has shuffle partitions, and never fewer than two blocks a side, so small inputs
-take the same way as large ones; more links give more blocks. It bounds the work of one task: a vertex that holds a third of all
+The grid never has fewer than two blocks a side, so small inputs take the same way as large ones; more links give more blocks. It bounds the work of one task: a vertex that holds a third of all
 links lies in one row of blocks, so its links are spread over all columns of that row. A round writes its links to the checkpoint folder.
 """
 
@@ -25,13 +24,13 @@ from pyspark.sql import functions as F
 
 from folioscope.session import cut
 
-#: Links that one partition of the grid should hold; beyond what the session's partitions hold the grid grows with the links.
-CELL_LINKS = 400_000
+#: Links that one partition of the grid should hold; the side of the grid follows from the number of links.
+CELL_LINKS = 100_000
 
 
-def side_of(total: int, partitions: int, cell_links: int = CELL_LINKS) -> int:
-    """Blocks a side: enough cells for the session's partitions and for the links, and never fewer than two."""
-    return max(2, math.isqrt(max(partitions, 1) - 1) + 1, math.isqrt(max(-(-total // cell_links), 1) - 1) + 1)
+def side_of(total: int, cell_links: int = CELL_LINKS) -> int:
+    """Blocks a side: enough cells for the links, and never fewer than two."""
+    return max(2, math.isqrt(max(-(-total // cell_links), 1) - 1) + 1)
 
 
 def priorities(x: np.ndarray, seed: int) -> np.ndarray:
@@ -88,7 +87,7 @@ def components(links: DataFrame, u: str = "u", v: str = "v", cell_links: int = C
     edges = links.select(F.col(u).cast("long").alias("u"), F.col(v).cast("long").alias("v")).filter("u is not null and v is not null").distinct()
     edges = cut(edges)
     total, moves = edges.count(), []
-    side = side_of(total, int(edges.sparkSession.conf.get("spark.sql.shuffle.partitions")), cell_links)
+    side = side_of(total, cell_links)
     for seed in range(most_rounds):
         if trace is not None:
             trace.append({"links": total, "side": side})
@@ -108,7 +107,7 @@ def components(links: DataFrame, u: str = "u", v: str = "v", cell_links: int = C
             while moves:
                 out = _follow(moves.pop(), out)
             return out
-        side = side_of(total, int(edges.sparkSession.conf.get("spark.sql.shuffle.partitions")), cell_links)
+        side = side_of(total, cell_links)
     raise RuntimeError("parents did not stabilise")
 
 

@@ -53,7 +53,7 @@ def test_found_takes_the_grid_at_every_size(spark, sf):
         if v % 2 == 0:
             least[rep] = min(least.get(rep, v // 2), v // 2)
     assert got == {r.entity_id: least[want[2 * r.entity_id]] if 2 * r.entity_id in want else r.entity_id for r in rows if r.entity_id is not None}
-    assert groups.side_of(10, 8) == 3 and groups.side_of(10, 1) == 2 and groups.side_of(10**9, 8) == 50
+    assert groups.side_of(10) == 2 and groups.side_of(10**9) == 100
 
 
 def test_survivors_by_votes(spark):
