@@ -25,6 +25,7 @@ import unicodedata
 from collections import Counter, defaultdict
 from collections.abc import Iterator
 from dataclasses import dataclass, field, replace
+from functools import lru_cache
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -58,6 +59,7 @@ _HEADER = re.compile(r"^(?:From|Sent|To|Cc|Bcc|Date|Subject|Importance|Re|Von|An
 _SUBJECT = re.compile(r"^Subject:\s*(.*)$", re.I)
 _REPLY = re.compile(r"^(?:(?:re|fwd?|aw|sv)\s*:\s*)+", re.I)
 _DIGITS = str.maketrans({"O": "0", "o": "0", "l": "1", "I": "1"})
+_DIGIT_LIKE = frozenset("0123456789OolI")
 _EDGE = ".,;:!?\"'()[]{}<>«»„“”’‘…>"
 # Signs that disguise words on purpose, not by misreading.
 _ON_PURPOSE = set("$@*#%&=/\\~^+_<>")
@@ -79,7 +81,7 @@ def rising_stamps(text: str) -> set[str]:
     """The words of stamps whose numbers rise, by twenty at most, from one to the next."""
     last, out = {}, set()
     for raw in text.split("\n"):
-        if len(raw) <= 80 and (got := stamp_of(_plain(raw).strip())):
+        if len(raw) <= 80 and raw.rstrip()[-1:] in _DIGIT_LIKE and (got := stamp_of(_plain(raw).strip())):
             words, n = got
             if words in last and 0 < n - last[words] <= 20:
                 out.add(words)
@@ -155,6 +157,7 @@ def titles_of(lines: list[str]) -> dict[str, int]:
     return out
 
 
+@lru_cache(maxsize=50_000)
 def _alike(a: str, b: str) -> bool:
     """Equal, or with a few letters cut off or wrongly read."""
     if a == b:
@@ -309,6 +312,7 @@ class Model:
         # A word of this frequency is not doubted; the commonest misread forms of the commonest words stay below it.
         self.shield = max(3.0, 0.01 * self.documents)
         self.known: dict[str, str | None] = {}
+        self.tokens: dict[str, str | None] = {}
         self.longest = max(map(len, self.confusions), default=1)
         self.prefixes = {w[:k] for w in self.words for k in range(len(w) + 1)}
         self.signs = {a for a in self.confusions if len(a) == 1 and not a.isalpha()}
@@ -393,8 +397,18 @@ class Model:
         return got
 
     def misread(self, token: str) -> str | None:
-        """The corrected token if it holds a wrongly read word, else None."""
+        """The corrected token if it holds a wrongly read word, else None; answers are kept, as tokens come again."""
+        got = self.tokens.get(token, "")
+        if got == "":
+            if len(self.tokens) > 400_000:
+                self.tokens.clear()
+            got = self.tokens[token] = self._misread(token)
+        return got
+
+    def _misread(self, token: str) -> str | None:
         core = token.strip(_EDGE).strip("-¬\xad").strip(_EDGE)
+        if core.isalpha() and (len(core) < 3 or self.frequent(core.lower())):
+            return None
         if len(core) == 2 and not core.isalpha() and any(c.isalpha() for c in core):
             made = self.correct(core.lower())
             return made if made and self.frequent(made) else None
@@ -501,7 +515,7 @@ def parse(text: str, model: Model) -> dict:
                     same = next(i for i, c in enumerate(whole) if not c.isalpha())
                 found.add((k if same < len(a) else nxt, "misread"))
                 fixes[k]["\0joined"] = true
-    misread, frequent, floor = model.misread, model.words, model.shield
+    misread, tokens, frequent, floor = model.misread, model.tokens, model.words, model.shield
     for k, kind in enumerate(kinds):
         if kind in ("blank", "page_no", "stamp") or (":" in lines[k][:12] and _HEADER.match(_plain(lines[k])) and "@" in lines[k]):
             continue
@@ -509,9 +523,9 @@ def parse(text: str, model: Model) -> dict:
         for pos, token in enumerate(lines[k].split()):
             if frequent.get(token, 0) >= floor:
                 continue
-            if own and any(token.startswith(x) for x in own):
+            fixed = tokens[token] if token in tokens else misread(token)
+            if fixed and own and any(token.startswith(x) for x in own):
                 continue
-            fixed = misread(token)
             if fixed:
                 found.add((k, "misread"))
                 fixes[k][token] = fixed
@@ -702,6 +716,7 @@ def fit(counted: dict[str, int], documents: int, sample: list[str]) -> Model:
     model = Model(words, documents, Ranker(), dict(confusions), stamps=stamps)
     model.editor.train(_editor_examples(model, known, trusted), rounds=6)
     model.known.clear()
+    model.tokens.clear()
     model.joiner.train(_joiner_examples(model, sample), rounds=6)
     model.lines = train_lines(sample, stamps)
     return model
