@@ -25,6 +25,7 @@ from pyspark.sql.types import BooleanType
 
 from folioscope.llm.groups import components
 from folioscope.llm.neardup import blocked
+from folioscope.llm.words import lcs
 from folioscope.session import cut
 
 LEAST_SUFFIX = 4
@@ -76,18 +77,6 @@ def plain(text: str) -> str:
 _GIVEN = {plain(n): n for n in SHORT}
 
 
-def lcs(a: str, b: str) -> int:
-    """Length of the longest common subsequence, with bit-parallel rows."""
-    masks: dict[str, int] = {}
-    for k, c in enumerate(a):
-        masks[c] = masks.get(c, 0) | 1 << k
-    row = (1 << len(a)) - 1
-    for c in b:
-        m = row & masks.get(c, 0)
-        row = (row + m) | (row - m)
-    return len(a) - bin(row & ((1 << len(a)) - 1)).count("1")
-
-
 def ratio(a: str, b: str) -> float:
     """The longest common subsequence as a share of the longer word; 1 for two empty ones."""
     n = max(len(a), len(b))

@@ -32,6 +32,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from folioscope.llm.perceptron import Perceptron, Ranker
+from folioscope.llm.words import lcs
 from folioscope.session import spread
 
 #: Least share of documents of a word in the list that is broadcast, and the most words that it may have.
@@ -45,8 +46,9 @@ SAMPLE_CHARS = 200_000
 PAIRS = 4000
 
 _LETTERS = r"[^\W\d_]"
-WORD = re.compile(rf"{_LETTERS}+(?:['’]{_LETTERS}+)*(?:-{_LETTERS}+)*")
-_BROKEN = re.compile(r"[^\W\d_]+[-¬\xad][ \t]*\r?\n[> \t]*[^\W\d_]+")
+# A word; one that a line's end breaks, marked by a zero character, is none.
+WORD = re.compile(rf"{_LETTERS}++(?:['’]{_LETTERS}++)*+(?:-{_LETTERS}++)*+(?!\0)")
+_BROKEN = re.compile(r"[-¬\xad][ \t]*\r?\n[> \t]*[^\W\d_]+")
 _MARKS = re.compile(r"^(?:[ \t]*>)+[ \t]*")
 _HYPHEN = re.compile(r"([^\W\d_][\w'’-]*)[-¬\xad][ \t]*$")
 _NUMBER = r"(?:[\dlIOoS|¢†]{1,5}|[ivxl]{1,7})"
@@ -69,6 +71,14 @@ def _plain(line: str) -> str:
     return line.replace("\r", "").replace("﻿", "").replace("\f", "")
 
 
+def _stripped(line: str) -> str:
+    """A line without blanks at its ends, carriage returns, form feeds and byte order marks."""
+    s = line.strip()
+    if s and (s[0] == "\ufeff" or "\f" in s or "\r" in s):
+        s = _plain(s).strip()
+    return s
+
+
 def stamp_of(s: str) -> tuple[str, int] | None:
     """The words and the number of a line that may be the stamp of a sheet: a short line that ends in a number of four digits or more."""
     m = _STAMP.fullmatch(s) if len(s) <= 60 else None
@@ -81,7 +91,7 @@ def rising_stamps(text: str) -> set[str]:
     """The words of stamps whose numbers rise, by twenty at most, from one to the next."""
     last, out = {}, set()
     for raw in text.split("\n"):
-        if len(raw) <= 80 and raw.rstrip()[-1:] in _DIGIT_LIKE and (got := stamp_of(_plain(raw).strip())):
+        if len(raw) <= 80 and raw.rstrip()[-1:] in _DIGIT_LIKE and (got := stamp_of(_stripped(raw))):
             words, n = got
             if words in last and 0 < n - last[words] <= 20:
                 out.add(words)
@@ -96,11 +106,11 @@ def _same(title: str) -> str:
 
 def line_features(lines: list[str], k: int, kinds: list[str]) -> list[str]:
     """Page-position features of line ``k``; ``kinds`` has what is known of the lines around it."""
-    raw, s = lines[k], _plain(lines[k]).strip()
+    raw, s = lines[k], _stripped(lines[k])
     words = s.split()
     before = kinds[k - 1] if k else "start"
     after = kinds[k + 1] if k + 1 < len(kinds) else "end"
-    nxt = _plain(lines[k + 1]).strip() if k + 1 < len(lines) else ""
+    nxt = _stripped(lines[k + 1]) if k + 1 < len(lines) else ""
     letters = [c for c in s if c.isalpha()]
     caps = sum(c.isupper() for c in letters) / max(len(letters), 1)
     at = "cap" if s[:1].isupper() else "low" if s[:1].islower() else "other"
@@ -127,7 +137,7 @@ def known_kinds(lines: list[str], stamps: frozenset[str] = frozenset()) -> list[
     """page_no, stamp (one of ``stamps``), blank, mark or text for each line, by its own shape."""
     out = []
     for raw in lines:
-        s = _plain(raw).strip()
+        s = _stripped(raw)
         if not s:
             out.append("blank")
         elif len(s) <= 16 and _PAGE.match(s) and (any(c.isdigit() for c in s) or s in "lI|" or re.fullmatch(r"[ivxl]+|.*\s[ivxlI|]+.*|\W+[ivxlI|]+\W+|[lI|]{1,3}\d*", s)):
@@ -145,7 +155,7 @@ def titles_of(lines: list[str]) -> dict[str, int]:
     """What a running line may repeat, with its place: the first lines of a document and the subject of a mail."""
     out, n = {}, 0
     for k, raw in enumerate(lines[:40]):
-        s = _plain(raw).strip()
+        s = _stripped(raw)
         if not s:
             continue
         m = _SUBJECT.match(s)
@@ -164,7 +174,7 @@ def _alike(a: str, b: str) -> bool:
         return True
     if min(len(a), len(b)) < 8 or abs(len(a) - len(b)) > 4:
         return False
-    return a.startswith(b) or b.startswith(a) or difflib.SequenceMatcher(None, a, b, autojunk=False).ratio() > 0.84
+    return a.startswith(b) or b.startswith(a) or 2 * lcs(a, b) > 0.88 * (len(a) + len(b))
 
 
 def _bare(s: str) -> tuple[str, bool]:
@@ -215,11 +225,12 @@ def candidates_of(lines: list[str], kinds: list[str]) -> dict[int, Candidate]:
     def edge(k: int) -> bool:
         return 0 <= k < len(lines) and kinds[k] in ("stamp", "page_no")
 
+    near = {e + d for e, kind in enumerate(kinds) if kind in ("stamp", "page_no") for d in (-2, -1, 1, 2)}
     rows = {}
     for k, kind in enumerate(kinds):
-        if kind != "text":
+        if kind != "text" or not (k in near or "  " in lines[k] or "\f" in lines[k]):
             continue
-        s = _plain(lines[k]).strip()
+        s = _stripped(lines[k])
         t, numbered = _bare(s) if "  " in s else (s, False)
         tight = "\f" in lines[k] or edge(k - 1) or edge(k + 1)
         loose = tight or (k + 2 < len(lines) and kinds[k + 1] == "blank" and edge(k + 2)) or (k >= 2 and kinds[k - 1] == "blank" and edge(k - 2))
@@ -234,7 +245,7 @@ def candidates_of(lines: list[str], kinds: list[str]) -> dict[int, Candidate]:
         same = _same(t)
         letters = [c for c in t if c.isalpha()]
         caps = sum(c.isupper() for c in letters) > 0.85 * max(len(letters), 1) and len(t.split()) >= 3
-        title = any(at < k and _alike(same, x) for x, at in titles.items()) and (numbered or not _HEADER.match(_plain(lines[k - 1]).strip()))
+        title = any(at < k and _alike(same, x) for x, at in titles.items()) and (numbered or not _HEADER.match(_stripped(lines[k - 1])))
         out[k] = Candidate(t, numbered, tight, title, again[same] > 1, caps)
     return out
 
@@ -559,7 +570,7 @@ def repair(text: str, model: Model) -> str:
         if k in p["furniture"]:
             cut_off = True
             continue
-        s = _plain(raw).strip()
+        s = _stripped(raw)
         if not s:
             gap = True
             continue
@@ -616,7 +627,7 @@ def word_counts(df: DataFrame, text: str = "full_text") -> DataFrame:
         for b in batches:
             for t in b[text]:
                 if t:
-                    c.update(set(here.WORD.findall(here._BROKEN.sub(" ", t) if "\n" in t else t)))
+                    c.update(set(here.WORD.findall(here._BROKEN.sub("\0 ", t))))
                     c.update("#" + x for x in here.rising_stamps(t))
             if len(c) > 300_000:
                 yield pd.DataFrame({"word": list(c), "n": list(c.values())})
@@ -811,7 +822,7 @@ def train_lines(texts: list[str], stamps: frozenset[str] = frozenset()) -> Perce
             elif k > 5 and hash_of(lines[k]) % 3 == 0 and not any(0 <= j < len(kinds) and kinds[j] in ("page_no", "stamp") for j in range(k - 2, k + 3)):
                 moved = list(kinds)
                 moved[k - 1] = ("stamp", "page_no")[hash_of(lines[k]) // 3 % 2]
-                s = _plain(lines[k]).strip()
+                s = _stripped(lines[k])
                 letters = [c for c in s if c.isalpha()]
                 caps = sum(c.isupper() for c in letters) > 0.85 * max(len(letters), 1) and len(s.split()) >= 3
                 examples.append((line_features(lines, k, moved) + Candidate(s, False, True, False, False, caps).features(k), "text"))
