@@ -4,7 +4,7 @@ Each name is read into parts: title, given name or initials, middle initial and
 Surnames and roots are compared by suffix blocking: every distinct one is indexed under its suffixes of ``LEAST_SUFFIX`` letters
 (fewer in words of under nine) or more, of the word and of its mirror image (typing errors near the end spare the beginning). How many words
 share a suffix is counted: one of more than ``COMMON`` words is too common to block by, and is discarded for the same suffix refined with the word's first letter and
-the initial of the given name. A refined suffix that is still common is compared in blocks of members against members, so none is dropped.
+the initial of the given name; suffixes of six letters and more are not refined. What is still common is compared in blocks of members against members, so no pair is dropped.
 Pairs within a block are compared by the ratio of their longest common subsequence to the longer word.
 
 Persons are surname and given name. Given names are brought to one form through a table of short forms and, for typing errors, the names
@@ -261,12 +261,13 @@ def near_roots(roots: DataFrame, common: int = COMMON) -> DataFrame:
 
 
 def suffixes(root: str, ini: str) -> set[tuple[str, str]]:
-    """Suffixes of a word and of its mirror image, each with its form refined by what an error in the middle spares: the first letter of the word and of the given name."""
+    """Suffixes of a word and of its mirror image, each with its form refined, if it is short, by what an error in the middle spares: the first letter of the word and of the given name."""
     n, out = len(root), set()
     for mark, w in (("<", root), (">", root[::-1])):
         for size in range(min(LEAST_SUFFIX, max(2, (n - 1) // 2)), n + 1):
             tail = mark + w[n - size :]
-            out.add((tail, f"{tail}/{w[0]}/{ini}"))
+            # An error in the first letter spares only a long suffix, which stays as it is.
+            out.add((tail, tail if size >= 6 or size >= n - 1 else f"{tail}/{w[0]}/{ini}"))
     return out
 
 
