@@ -44,7 +44,7 @@ LEXICON = {
     "explicit": "cock cocks pussy ass nipples tits dick cunt fuck fucked orgasm threesome porn hardcore horny blowjob cum xxx licked sex knulle follarte follar ficken baiser handjob masturbate",
     "intimate": "naked nude moaned breasts thighs underwear lover kissed undress panties naken nackt nue desnuda erotic",
     "heat": "hot wet hard rough bed night tonight sweating screaming spent slowly adults live cama lit sengen natten nacht noche nuit",
-    "frame": "handbook policy harassment statute counsel assault elements training curriculum definition rules statutory bill committee testified testimony discrimination "
+    "frame": "handbook policy harassment statute counsel assault elements training curriculum definition rules statutory bill committee testified discrimination "
     "clinic cancer patient patients hospital doctor nurse screening surgery medical symptoms anatomy lesson museum marble statue sculpture painting painter gallery exhibition novel poem film scene actor chapter praised artist figure "
     "farm farmer barn warehouse kitchen crop harvest traps exterminator pesticide veterinary quoted quote reported article journalist headline words terms welcomed",
 }
@@ -179,16 +179,20 @@ class Matcher:
             w = w.replace("*", "")
         # Names are written with a capital: such a word is guessed only if it is disguised or in capitals throughout.
         if disguised or raw[0].islower() or raw.isupper() or re.search(r"(.)\1\1", w):
-            best = None
+            best, fits = None, set()
             for errors, t in self.trie.near(w):
                 # Endings of the plural and the like are other words, not misspellings; so is a word that lacks the term's first letter.
                 if errors and (not self.roles[t] & set(HARSH) or w.startswith(t) or t.startswith(w) or w[0] != t[0] and not disguised):
                     continue
+                fits |= self.roles[t]
                 rank = (errors, -len(self.roles[t] & {"insult", "degrade", "explicit"}), t)
                 if best is None or rank < best[0]:
                     best = (rank, t)
+            if best and starred:
+                # Which of the terms it stands for shows in the sentence.
+                return w, frozenset({"censored"} | {"?" + r for r in fits})
             if best:
-                return best[1], self.roles[best[1]] | (frozenset({"censored"}) if starred else frozenset())
+                return best[1], self.roles[best[1]]
         return (w, frozenset({"censored"})) if starred and len(w) > 3 else None
 
     def spaced(self, letters: str) -> list[tuple[str, frozenset]]:
@@ -263,6 +267,12 @@ class Scorer:
         for t, roles in hits:
             for r in roles:
                 terms[r].add(t)
+        if any(r[0] == "?" for r in terms):
+            # A starred-out word takes the roles of the kind that the other words of its sentence speak for most, by default insults.
+            told = {kind: sum(w * min(len(terms.get(r, ())), most) for r, (w, most) in WEIGHTS[kind].items() if r not in _ANYWHERE) for kind in KINDS}
+            kind = max(KINDS, key=lambda k: told[k])
+            for r in [r for r in terms if r[0] == "?" and r[1:] in WEIGHTS[kind]]:
+                terms[r[1:]] |= terms[r]
         n = {r: len(t) for r, t in terms.items()}
         if not any(n.get(r) for r in _TRIGGERS):
             return 0.0, 0.0, 0.0
@@ -298,6 +308,8 @@ class Scorer:
         return best
 
 
+#: Roles that tell nothing of the kind of a sentence.
+_ANYWHERE = ("address", "collective", "contempt", "question", "censored", "named", "self")
 _QUESTION, _NAMED = frozenset({"question"}), frozenset({"named"})
 #: A sentence is scored only if it holds a word of one of these roles.
 _TRIGGERS = ("insult", "degrade", "destroy", "explicit", "intimate", "censored", "violence", "lowly", "expel")

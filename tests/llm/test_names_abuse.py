@@ -68,7 +68,7 @@ def test_blocks_find_single_errors():
 
 HITS = [
     ("You useless moron.", "abusive"), ("Go to hell, Ann Example, you lying s c u m b a g.", "abusive"), ("Crawl back under your rock, you rotten l*****e, before I drag you out.", "abusive"), ("Listen, loooser: one more word and you will be picking up your teeth.", "abusive"),
-    ("What kind of 1d1ot loses a charter?", "abusive"), ("You are a pathettic scumbg.", "abusive"), ("The Velmari? I say the Velmari are parasitse, every one.", "hateful"), ("Du er en jævla idiot, og alle vet det.", "abusive"), ("All refugees are VERMIN and should be driven out.", "hateful"), ("We do not want their whole race in Reno; they are p@r@$ite$.", "hateful"), ("Ces étrangers sont de la vermine, il faut les exterminer.", "hateful"),
+    ("What kind of 1d1ot loses a charter?", "abusive"), ("You are a pathettic scumbg.", "abusive"), ("Send me another nude of your b*****s, the last one made me so wet.", "sexual"), ("You b*****s.", "abusive"), ("Those immigrants are v****n.", "hateful"), ("The Velmari? I say the Velmari are parasitse, every one.", "hateful"), ("Du er en jævla idiot, og alle vet det.", "abusive"), ("All refugees are VERMIN and should be driven out.", "hateful"), ("We do not want their whole race in Reno; they are p@r@$ite$.", "hateful"), ("Ces étrangers sont de la vermine, il faut les exterminer.", "hateful"),
     ("I will undress you slowly and fuck you all night long, lover.", "sexual"), ("They had rough sex until both were screaming with org-\nasm.", "sexual"),
 ]
 CLEAN = ["The handbook says that words such as moron or bastard have no place in a letter.", "I felt like an idiot when I found the proposal in my own coat.", "The exterminator removed vermin and parasites from the warehouse.", "Counsel explained the elements of sexual assault under the statute.", "The pig farm near Reno lost 5 animals to disease.", "This damn printer destroyed the letter again.", "He shot 9 photographs of the nude marble figure for the museum.", "Refugees and immigrants were welcomed with a dinner.", "my ass|stant forwarded it", "", None]
