@@ -142,3 +142,48 @@ def test_commands(spark, tmp_path):
     after, verdicts = commands.review(pairs, tables["document_entities"].withColumn("mention_id", F.lit(1)), aliases, lambda *x: (True, ""), 0.7, 1.0)
     assert verdicts.count() == 1 and after.filter("not is_canonical").count() == 1
     assert commands.auto_merge(pairs, aliases, canon, tables["entities"], 0.8, dry_run=True)[0] is aliases
+
+
+def counted(frame):
+    """An accumulator of the rows that are read of the frame, and the frame that feeds it."""
+    n = frame.sparkSession.sparkContext.accumulator(0)
+
+    def count(batches):
+        for b in batches:
+            n.add(len(b))
+            yield b
+
+    return n, frame.mapInPandas(count, frame.schema)
+
+
+def test_auto_merge_reads_its_report_once(spark):
+    e = ents(spark, [("x one a", 50), ("x one b", 20), ("x one c", 5)])
+    _, a = canonical.initialise(e)
+    n, pairs = counted(spark.createDataFrame([(1, 1, 50, 2, 20, 0.98), (2, 1, 50, 3, 5, 0.97)], "ord int, entity1_id long, entity1_count long, entity2_id long, entity2_count long, confidence double"))
+    moves, log = canonical.auto_merge(pairs, a)
+    assert {r.entity_id: r.target for r in moves.collect()} == {3: 1, 2: 1} and log.count() == 2
+    assert n.value == 2
+
+
+def test_candidates_compare_words_above_the_join(spark):
+    """Only numbers and the bounded edit distance stand in the join; words are worked out for what it leaves, and no pair is lost by ``marks``."""
+    import itertools
+    import random
+
+    rng = random.Random(7)
+    names = sorted({"ann " + "".join(rng.choice("abé😀") for _ in range(rng.randint(1, 5))) + rng.choice(["", " ann", " b"]) for _ in range(150)})
+    e = ents(spark, [(x, rng.randint(5, 40)) for x in names])
+    _, a = canonical.initialise(e)
+    p = resolve.candidates(e, a, least_confidence=0.0)
+    joins = [x for x in p._jdf.queryExecution().optimizedPlan().toString().splitlines() if "Join Inner" in x]
+    assert len(joins) == 1 and "levenshtein" in joins[0] and "lower(" not in joins[0] and "array_" not in joins[0]
+
+    def distance(x, y):
+        row = list(range(len(y) + 1))
+        for i, c in enumerate(x, 1):
+            row = list(itertools.accumulate(zip(row, row[1:], y), lambda left, t, c=c: min(left + 1, t[1] + 1, t[0] + (c != t[2])), initial=i))
+        return row[-1]
+
+    want = {frozenset((x, y)): d for x, y in itertools.combinations(names, 2) if (d := distance(x, y)) <= 3}
+    got = p.collect()
+    assert len(got) == len(want) > 1000 and {frozenset((r.entity1_text, r.entity2_text)): r.levenshtein for r in got} == want
