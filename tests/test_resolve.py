@@ -187,3 +187,20 @@ def test_candidates_compare_words_above_the_join(spark):
     want = {frozenset((x, y)): d for x, y in itertools.combinations(names, 2) if (d := distance(x, y)) <= 3}
     got = p.collect()
     assert len(got) == len(want) > 1000 and {frozenset((r.entity1_text, r.entity2_text)): r.levenshtein for r in got} == want
+
+
+def test_review_reads_its_pairs_once(spark):
+    """Pairs of both ends of the tier, a pair without contexts, and one whose decision fails; each is decided once."""
+    rows = [(1, "a b", 2, "a c", 0.95), (2, "a c", 3, "a d", 0.90), (5, "e f", 6, "e g", 0.80), (3, "a d", 5, None, 0.85), (1, "a b", 3, "a d", 0.79)]
+    n, pairs = counted(spark.createDataFrame(rows, "entity1_id long, entity1_text string, entity2_id long, entity2_text string, confidence double"))
+    mentions = spark.createDataFrame([(7, 2, "late"), (4, 2, "early"), (3, 2, None), (5, 3, "third"), (6, 9, "of none"), (8, None, "lost")], "mention_id long, entity_id long, context string")
+    asked = spark.sparkContext.accumulator(0)
+
+    def decide(a, b, ca, cb):
+        asked.add(1)
+        return a.split()[-1] < b.split()[-1], f"{ca} {cb}"
+
+    got = {(r.entity1_id, r.entity2_id): r for r in canonical.reviewed(canonical.review_cases(pairs, mentions), decide).collect()}
+    assert {k: (r.should_merge, r.note) for k, r in got.items() if k != (3, 5)} == {(2, 3): (True, "early third"), (5, 6): (True, "None None")}
+    assert not got[(3, 5)].should_merge and got[(3, 5)].note.startswith("error: ") and got[(3, 5)].entity1_context == "third" and got[(3, 5)].entity2_text is None
+    assert n.value == 5 and asked.value == 3
